@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .numbers import hash_key
 from .schema import col
 
@@ -85,6 +86,10 @@ def knn_join(
         return queries.sparkSession.createDataFrame([], empty + extra)
     pivots = _pivots(d, xs, int(n_groups), int(n_donors), donors_per_cell)
     located = _locate(d, pivots, xs, payload)
+    if n_donors > donors_per_cell:
+        # read by the cell statistics and by both rounds
+        located = cut_lineage(located)
+    many = q.count() > queries_per_chunk
     stats = {
         (r["_g"], r["_cell"]): (int(r["n"]), float(r["r"]))
         for r in located.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_radius").alias("r")).collect()
@@ -92,17 +97,15 @@ def knn_join(
     cells = _Cells(pivots, stats, xs, need, donors_per_chunk)
     donors_cut = located.withColumn("_chunk", F.pmod(F.xxhash64("_d"), _chunks(stats, donors_per_chunk))).drop("_radius")
 
-    first = _visit(_route(q, cells, xs), donors_cut, xs, payload, need, queries_per_chunk)
+    first = _visit(_route(q, cells, xs), donors_cut, xs, payload, need, queries_per_chunk if many else None)
     top = Window.partitionBy("_q").orderBy("_distance", "_donor")
     if len(stats) > 1:
         # The work of round one feeds both the bound of round two and the result.
-        from ..session import cut_lineage
-
         first = cut_lineage(first)
         ranked = first.withColumn("_rank", F.row_number().over(top)).filter(F.col("_rank") <= need)
         bound = ranked.groupBy("_q").agg(F.max(F.when(F.col("_rank") == need, F.col("_distance"))).alias("_bound"))
         second = _visit(
-            _route(q.join(bound, "_q", "left"), cells, xs, bounded=True), donors_cut, xs, payload, need, queries_per_chunk
+            _route(q.join(bound, "_q", "left"), cells, xs, bounded=True), donors_cut, xs, payload, need, queries_per_chunk if many else None
         )
         found = ranked.drop("_rank").unionByName(second)
     else:
@@ -209,12 +212,14 @@ def _route(q: DataFrame, cells: _Cells, xs, bounded: bool = False) -> DataFrame:
     return q.mapInPandas(run, schema)
 
 
-def _visit(routed: DataFrame, donors: DataFrame, xs, payload, need: int, queries_per_chunk: int) -> DataFrame:
+def _visit(routed: DataFrame, donors: DataFrame, xs, payload, need: int, queries_per_chunk: int | None) -> DataFrame:
+    """Searches every (cell, donor chunk, query chunk) on its own. No limit: so few queries that no chunk can be too large."""
     place = ["_g", "_cell", "_chunk"]
-    hot = [
-        r
-        for r in routed.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > queries_per_chunk).collect()
-    ]
+    hot = []
+    if queries_per_chunk:
+        sizes = routed.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+        # at most one row per (cell, donor chunk) with more than queries_per_chunk queries
+        hot = sizes.filter(F.col("n") > queries_per_chunk).collect()
     salts_q = F.lit(1)
     for r in hot:
         here = (F.col("_g") == r["_g"]) & (F.col("_cell") == r["_cell"]) & (F.col("_chunk") == r["_chunk"])

@@ -15,13 +15,13 @@ def parse_double(c: Column) -> Column:
 
 
 def sample_skew(c: Column) -> Column:
-    """Bias-corrected skew G1; NULL below three values."""
+    """Bias-corrected skew as one aggregate; NULL below three values. For many columns see ``moments``."""
     n = F.count(c).cast("double")
     return F.when(F.count(c) > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
 def sample_kurtosis(c: Column) -> Column:
-    """Bias-corrected excess kurtosis G2; NULL below four values."""
+    """Bias-corrected excess kurtosis as one aggregate; NULL below four values."""
     n = F.count(c).cast("double")
     return F.when(F.count(c) > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
 

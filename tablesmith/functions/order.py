@@ -106,26 +106,39 @@ class Ranges:
     def fit(
         df: DataFrame, order_by: list[str], rows_per_range: int | None = None, distinct: bool = False
     ) -> "Ranges":
-        """``distinct``: the table will be reduced to one row per value first, so count values.
+        """``distinct``: the table will be reduced to one row per value first, so count values."""
+        return Ranges.fit_each(df, [order_by], rows_per_range, distinct)[0]
 
-        With a NULL ``rows_per_range`` the module default applies.
-        """
+    @staticmethod
+    def fit_each(
+        df: DataFrame, orders: list[list[str]], rows_per_range: int | None = None, distinct: bool = False
+    ) -> "list[Ranges]":
+        """Ranges for several orders of one table: a count, and one job for all sketches if it is large."""
         rows_per_range = rows_per_range or ROWS_PER_RANGE
-        skip = {
-            c: common_prefix(df, c) for c in order_by[:2] if isinstance(type_of(df, c), T.StringType)
-        }
-        usable = {c: p for c in order_by[:2] if (p := as_position(df, c, skip.get(c, 0))) is not None}
+        rows = df.count()
+        if rows <= rows_per_range:
+            return [Ranges(tuple(o), {}, rows) for o in orders]
+        names = list(dict.fromkeys(c for o in orders for c in o[:2]))
+        skip = {c: common_prefix(df, c) for c in names if isinstance(type_of(df, c), T.StringType)}
+        usable = {c: p for c in names if (p := as_position(df, c, skip.get(c, 0))) is not None}
         ranks = [i / 512 for i in range(1, 512)] if rows_per_range >= 10_000 else [i / 32 for i in range(1, 32)]
-        total, found = sketch_quantiles(df, usable, ranks)
-        if distinct and total > rows_per_range:
+        _, found = sketch_quantiles(df, usable, ranks)
+        size = {o[0]: rows for o in orders}
+        if distinct:
             # 1.3: far outside the error of the distinct sketch
-            total = int(1.3 * df.agg(F.approx_count_distinct(col(order_by[0]))).first()[0])
-        wanted = min(MAX_RANGES, -(-total // rows_per_range))
-        edges: dict[str, tuple[float, ...]] = {}
-        for c, (_, qs) in found.items():
-            step = max(1, len(qs) // max(wanted, 1))
-            edges[c] = tuple(sorted(set(qs[::step]))) if wanted > 1 else ()
-        return Ranges(tuple(order_by), edges, total, skip)
+            row = df.agg(*[F.approx_count_distinct(col(c)) for c in size]).first()
+            size = {c: min(rows, int(1.3 * n)) for c, n in zip(size, row)}
+        out = []
+        for o in orders:
+            wanted = min(MAX_RANGES, -(-size[o[0]] // rows_per_range))
+            edges: dict[str, tuple[float, ...]] = {}
+            for c in o[:2]:
+                if c in found:
+                    qs = found[c][1]
+                    step = max(1, len(qs) // max(wanted, 1))
+                    edges[c] = tuple(sorted(set(qs[::step]))) if wanted > 1 else ()
+            out.append(Ranges(tuple(o), edges, rows, skip))
+        return out
 
     def add(self, df: DataFrame) -> DataFrame:
         """Adds the range number; it never decreases along the order.
@@ -202,6 +215,18 @@ def running_totals(
     )
 
 
+def _nearest(df: DataFrame, value: str, part: list[Column]) -> DataFrame:
+    """Last and next non-null value by ``_pos``.
+
+    The next one is the last one in reverse order: a frame that runs to the end of the partition
+    would be evaluated anew for every row.
+    """
+    item = F.when(col(value).isNotNull(), F.struct(col(value).alias("v"), F.col("_pos").alias("p")))
+    ahead = Window.partitionBy(*part).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*part).orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({"_prev": F.last(item, ignorenulls=True).over(ahead), "_next": F.last(item, ignorenulls=True).over(back)})
+
+
 def with_neighbours(
     df: DataFrame, value: str, order_by: list[str], partition_by: list[str], rows_per_range: int | None = None
 ) -> DataFrame:
@@ -213,30 +238,20 @@ def with_neighbours(
     if ranges.single:
         spec = Window.partitionBy(*part).orderBy(*order)
         out = df.withColumn("_pos", F.row_number().over(spec).cast("long"))
-        item = F.when(col(value).isNotNull(), F.struct(col(value).alias("v"), F.col("_pos").alias("p")))
-        return out.withColumns(
-            {
-                "_prev": F.last(item, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, 0)),
-                "_next": F.first(item, ignorenulls=True).over(spec.rowsBetween(0, Window.unboundedFollowing)),
-            }
-        )
+        return _nearest(out, value, part)
     ranged = ranges.add(df)
     keys = [*partition_by, RANGE]
     spec = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
     local = ranged.withColumn("_pos", F.row_number().over(spec).cast("long"))
+    local = _nearest(local, value, [col(k) for k in keys])
     item = F.when(col(value).isNotNull(), F.struct(col(value).alias("v"), F.col("_pos").alias("p")))
-    local = local.withColumns(
-        {
-            "_prev": F.last(item, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, 0)),
-            "_next": F.first(item, ignorenulls=True).over(spec.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
     summary = local.groupBy(*[col(k) for k in keys]).agg(
         F.count(F.lit(1)).alias("_cnt"),
         F.max_by(item, F.when(col(value).isNotNull(), F.col("_pos"))).alias("_lastv"),
         F.min_by(item, F.when(col(value).isNotNull(), F.col("_pos"))).alias("_firstv"),
     )
     over = Window.partitionBy(*part).orderBy(RANGE)
+    back = Window.partitionBy(*part).orderBy(F.desc(RANGE))
     summary = summary.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     )
@@ -250,7 +265,7 @@ def with_neighbours(
         *[col(k) for k in keys],
         "_off",
         F.last("_lastv", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_prev"),
-        F.first("_firstv", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_next"),
+        F.last("_firstv", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_next"),
     )
     out = _null_safe(local, summary, keys, "inner")
     out = out.withColumns(

@@ -4,12 +4,15 @@
 fine for a table of known small size and used there. Beyond it the wanted order
 statistics are bracketed with a quantile sketch, the bracket is checked by counting
 (and narrowed again while too many values are inside), and only the few values inside
-are ordered. Every pass is an aggregate with map-side combining.
+are ordered. Every pass is an aggregate with map-side combining. Counting and ordering read each
+column on its own, which costs a stored table nothing; persist an expensive derived one first.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +22,8 @@ from .schema import col
 
 DIRECT_ROWS = 250_000
 BRACKET_ROWS = 1_000_000
-SLACK = 0.006
-BRACKET_K = 1600
+SLACK = 0.002
+BRACKET_K = 4096
 
 
 def exact_quantiles(
@@ -48,128 +51,185 @@ def exact_quantiles(
     return _select(data, {f"c{i}": (c, wanted[c]) for i, c in enumerate(names)}, bracket_rows)
 
 
+@dataclass
+class _Target:
+    """One wanted quantile: ranks k0 and k1 of the column, and the bracket believed to hold them."""
+
+    column: str
+    name: str
+    p: float
+    n: int
+    lo: float | None = None
+    hi: float | None = None
+    below: int = 0
+    inside: int = 0
+    v0: float = 0.0
+    v1: float = 0.0
+
+    @property
+    def h(self) -> float:
+        return (self.n - 1) * self.p
+
+    @property
+    def k0(self) -> int:
+        return math.floor(self.h)
+
+    @property
+    def k1(self) -> int:
+        return math.ceil(self.h)
+
+    @property
+    def bracket(self):
+        return (self.column, self.lo, self.hi)
+
+
+def _clip(x: float) -> float:
+    return min(1.0, max(0.0, x))
+
+
 def _select(data: DataFrame, wanted: dict[str, tuple[str, list[float]]], bracket_rows: int):
     probs = sorted({p for _, ps in wanted.values() for p in ps})
-    ranks = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-SLACK, SLACK)})
+    ranks = sorted({_clip(p + s) for p in probs for s in (-SLACK, SLACK)})
     _, found = sketch_quantiles(data, {c: F.col(c) for c in wanted}, ranks, BRACKET_K)
     targets = []
     for c, (name, ps) in wanted.items():
         n, qs = found[c]
         at = dict(zip(ranks, qs))
         for p in ps:
-            t = {"c": c, "name": name, "p": p, "n": n, "lo": None, "hi": None}
+            t = _Target(c, name, p, n)
             if n:
-                h = (n - 1) * p
-                t.update(h=h, k0=math.floor(h), k1=math.ceil(h))
-                lo, hi = min(1.0, max(0.0, p - SLACK)), min(1.0, max(0.0, p + SLACK))
-                t.update(lo=at[lo] if lo > 0 else None, hi=at[hi] if hi < 1 else None)
+                t.lo = at[_clip(p - SLACK)] if p > SLACK else None
+                t.hi = at[_clip(p + SLACK)] if p < 1 - SLACK else None
             targets.append(t)
-    live = [t for t in targets if t["n"]]
-    _count_brackets(data, live)
+    live = [t for t in targets if t.n]
+    _count(data, live, {})
     for _ in range(6):
-        wide = [t for t in live if t["inside"] > bracket_rows and t["lo"] != t["hi"]]
+        wide = [t for t in live if t.inside > bracket_rows and t.lo != t.hi]
         if not wide:
             break
-        exprs = {f"t{i}": F.when(_inside(t), F.col(t["c"])) for i, t in enumerate(wide)}
-        fractions = [
-            [min(1.0, max(0.0, (k - t["below"]) / t["inside"] + s)) for k, s in ((t["k0"], -SLACK), (t["k1"], SLACK))]
-            for t in wide
-        ]
-        ranks = sorted({f for pair in fractions for f in pair})
+        # narrow again with sketches of what is inside
+        shares = [(_clip((t.k0 - t.below) / t.inside - SLACK), _clip((t.k1 - t.below) / t.inside + SLACK)) for t in wide]
+        ranks = sorted({x for pair in shares for x in pair})
+        exprs = {f"t{i}": F.when(_within(*t.bracket), F.col(t.column)) for i, t in enumerate(wide)}
         _, found = sketch_quantiles(data, exprs, ranks, BRACKET_K)
-        for i, t in enumerate(wide):
+        old = {id(t): (t.lo, t.hi, t.inside) for t in wide}
+        for i, (t, (low, high)) in enumerate(zip(wide, shares)):
             at = dict(zip(ranks, found[f"t{i}"][1]))
-            t["old"] = (t["lo"], t["hi"])
-            if fractions[i][0] > 0:
-                t["lo"] = at[fractions[i][0]]
-            if fractions[i][1] < 1:
-                t["hi"] = at[fractions[i][1]]
-        before = {id(t): t["inside"] for t in wide}
-        _count_brackets(data, wide)
-        if all(t["inside"] >= before[id(t)] for t in wide):
+            t.lo = at[low] if low > 0 else t.lo
+            t.hi = at[high] if high < 1 else t.hi
+        _count(data, wide, old)
+        if all(t.inside >= old[id(t)][2] for t in wide):
             break
     _pick(data, live)
     out: dict[str, dict[float, float | None]] = {name: {} for name, _ in wanted.values()}
     for t in targets:
-        if t["n"]:
-            out[t["name"]][t["p"]] = t["v0"] + (t["v1"] - t["v0"]) * (t["h"] - t["k0"])
-        else:
-            out[t["name"]][t["p"]] = None
+        out[t.name][t.p] = t.v0 + (t.v1 - t.v0) * (t.h - t.k0) if t.n else None
+    return out
+
+
+def _by_column(brackets: list[tuple]) -> dict[str, list[tuple]]:
+    out: dict[str, list[tuple]] = {}
+    for b in brackets:
+        out.setdefault(b[0], []).append(b)
     return out
 
 
-def _inside(t) -> Column:
-    c = F.col(t["c"])
+def _within(column: str, lo: float | None, hi: float | None) -> Column:
+    c = F.col(column)
     cond = c.isNotNull()
-    if t["lo"] is not None:
-        cond = cond & (c >= F.lit(t["lo"]))
-    if t["hi"] is not None:
-        cond = cond & (c <= F.lit(t["hi"]))
+    if lo is not None:
+        cond = cond & (c >= F.lit(lo))
+    if hi is not None:
+        cond = cond & (c <= F.lit(hi))
     return cond
 
 
-def _count_brackets(data: DataFrame, targets) -> None:
-    """Counts around each bracket; a side that cut off a wanted rank goes back to its last safe edge."""
-    aggs = []
-    for i, t in enumerate(targets):
-        below = F.lit(False) if t["lo"] is None else F.col(t["c"]) < F.lit(t["lo"])
-        aggs += [F.count_if(below).alias(f"b{i}"), F.count_if(_inside(t)).alias(f"i{i}")]
-    if not aggs:
+def _count(data: DataFrame, targets: list[_Target], safe: dict) -> None:
+    """Counts below and inside each bracket; a side that cut off a wanted rank goes back to its last safe edge."""
+    brackets = list(dict.fromkeys(t.bracket for t in targets))
+    if not brackets:
         return
-    row = data.agg(*aggs).first()
-    again = False
-    for i, t in enumerate(targets):
-        t["below"], t["inside"] = int(row[f"b{i}"]), int(row[f"i{i}"])
-        old_lo, old_hi = t.pop("old", (None, None))
-        if t["below"] > t["k0"]:
-            t["lo"], again = old_lo, True
-        if t["below"] + t["inside"] <= t["k1"]:
-            t["hi"], again = old_hi, True
-    if again:
-        _count_brackets(data, targets)
-
-
-def _pick(data: DataFrame, targets) -> None:
+    counts = {}
+    for part in _by_column(brackets).values():
+        aggs = []
+        for c, lo, hi in part:
+            below = F.lit(False) if lo is None else F.col(c) < F.lit(lo)
+            aggs += [F.sum(below.cast("long")), F.sum(_within(c, lo, hi).cast("long"))]
+        counts[tuple(part)] = data.agg(F.array(*aggs).alias("n"))
+    # one job; each part reads its one column
+    rows = reduce(DataFrame.unionAll, [f.select(F.lit(i).alias("i"), "n") for i, f in enumerate(counts.values())]).collect()
+    found = {r["i"]: r["n"] for r in rows}
+    counts = {
+        b: (int(found[i][2 * j] or 0), int(found[i][2 * j + 1] or 0)) for i, part in enumerate(counts) for j, b in enumerate(part)
+    }
+    missed = []
+    for t in targets:
+        t.below, t.inside = counts[t.bracket]
+        old = safe.get(id(t), (None, None, 0))
+        if t.below > t.k0 or t.below + t.inside <= t.k1:
+            if t.below > t.k0:
+                t.lo = old[0]
+            if t.below + t.inside <= t.k1:
+                t.hi = old[1]
+            missed.append(t)
+    if missed:
+        _count(data, missed, safe)
+
+
+def _pick(data: DataFrame, targets: list[_Target]) -> None:
+    """Orders the values inside the brackets and reads the wanted ranks off."""
+    for t in targets:
+        # the counts have shown that both ranks fall on this one value
+        if t.lo is not None and t.lo == t.hi:
+            t.v0 = t.v1 = t.lo
+    targets = [t for t in targets if t.lo is None or t.lo != t.hi]
     if not targets:
         return
-    near = None
-    for t in targets:
-        near = _inside(t) if near is None else near | _inside(t)
-    items = F.array(
-        *[F.when(_inside(t), F.struct(F.lit(i).alias("t"), F.col(t["c"]).alias("v"))) for i, t in enumerate(targets)]
-    )
-    cells = (
-        data.filter(near)
-        .select(F.explode(F.filter(items, lambda x: x.isNotNull())).alias("x"))
-        .groupBy(F.col("x.t").alias("t"), F.col("x.v").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    # brackets of a column that overlap become one interval, so that a value belongs to one at most
+    intervals: list[tuple[str, float, float, int]] = []
+    place: dict[int, int] = {}
+    inf = float("inf")
+    for t in sorted(targets, key=lambda t: (t.column, -inf if t.lo is None else t.lo, inf if t.hi is None else t.hi)):
+        lo, hi = (-inf if t.lo is None else t.lo), (inf if t.hi is None else t.hi)
+        if intervals and intervals[-1][0] == t.column and lo <= intervals[-1][2]:
+            c, first, last, below = intervals[-1]
+            intervals[-1] = (c, first, max(last, hi), below)
+        else:
+            intervals.append((t.column, lo, hi, t.below))
+        place[id(t)] = len(intervals) - 1
+    labels: dict[str, Column] = {}
+    for i, (c, lo, hi, _) in enumerate(intervals):
+        here = _within(c, None if lo == -inf else lo, None if hi == inf else hi)
+        labels[c] = labels[c].when(here, F.lit(i)) if c in labels else F.when(here, F.lit(i))
+    near = [data.select(label.alias("t"), F.col(c).alias("v")).filter("t is not null") for c, label in labels.items()]
+    cells = reduce(DataFrame.unionAll, near).groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
     spec = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(spec), F.lit(0)))
-    k0 = F.element_at(F.array(*[F.lit(t["k0"] - t["below"]).cast("long") for t in targets]), F.col("t") + 1)
-    k1 = F.element_at(F.array(*[F.lit(t["k1"] - t["below"]).cast("long") for t in targets]), F.col("t") + 1)
     upto = F.col("before") + F.col("n")
-    rows = (
-        cells.groupBy("t")
-        .agg(
-            F.max(F.when((F.col("before") <= k0) & (k0 < upto), F.col("v"))).alias("v0"),
-            F.max(F.when((F.col("before") <= k1) & (k1 < upto), F.col("v"))).alias("v1"),
-        )
-        .collect()
-    )
-    for r in rows:
-        targets[r["t"]].update(v0=r["v0"], v1=r["v1"])
+    aggs = []
+    for j, t in enumerate(targets):
+        i = place[id(t)]
+        for side, k in (("a", t.k0), ("b", t.k1)):
+            at = F.lit(k - intervals[i][3]).cast("long")
+            aggs.append(F.max(F.when((F.col("t") == i) & (F.col("before") <= at) & (at < upto), F.col("v"))).alias(f"{side}{j}"))
+    row = cells.agg(*aggs).first()
+    for j, t in enumerate(targets):
+        t.v0, t.v1 = row[f"a{j}"], row[f"b{j}"]
 
 
 def value_cells(
-    df: DataFrame, column: str, by: list[str] | None = None, rows_per_range: int | None = None
+    df: DataFrame,
+    column: str,
+    by: list[str] | None = None,
+    rows_per_range: int | None = None,
+    ranges: Ranges | None = None,
 ) -> DataFrame:
     """One row per distinct value (and group): ``(by.., v, n, before, dense)``.
 
     ``before`` counts the rows and ``dense`` the distinct values that are smaller.
     """
     by = by or []
-    ranges = Ranges.fit(df.filter(col(column).isNotNull()), [column], rows_per_range, distinct=True)
+    ranges = ranges or Ranges.fit(df.filter(col(column).isNotNull()), [column], rows_per_range, distinct=True)
     cells = (
         df.filter(col(column).isNotNull())
         .groupBy(*[col(b) for b in by], col(column).alias(column))

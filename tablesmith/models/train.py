@@ -67,6 +67,12 @@ def assemble(df: DataFrame, features: list[str], target: str | None = None, key:
     return out.select(*([key] if key else []), *(["label"] if target else []), "features")
 
 
+def spread(data: DataFrame) -> DataFrame:
+    """Training data on all cores: an input of few splits is redistributed once, as fits read it many times."""
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    return data.repartition(cores) if data.rdd.getNumPartitions() < cores else data
+
+
 # ---- models
 
 CLASSIFIERS = ("logistic_regression", "decision_tree", "random_forest", "svm", "knn", "naive_bayes", "gradient_boosting", "xgboost")
@@ -242,7 +248,7 @@ def cross_validate(df: DataFrame, features: list[str], target: str, key: str, mo
     if not 2 <= cv <= 10:
         raise ValueError("cv is 2 to 10 folds")
     problem = problem_type(df, target)
-    data = with_fold(assemble(df, features, target, key), key, cv).persist()
+    data = spread(with_fold(assemble(df, features, target, key), key, cv)).persist()
     try:
         scores = _fold_scores(data, model, problem, cv, _classes(data, problem), params or {})
     finally:
@@ -285,7 +291,7 @@ def grid_search(
     """``(rank, params, mean_score, std_score)`` best first; the full grid unless one is given."""
     grid = grid or GRIDS[model]
     problem = problem_type(df, target)
-    data = with_fold(assemble(df, features, target, key), key, cv).persist()
+    data = spread(with_fold(assemble(df, features, target, key), key, cv)).persist()
     try:
         rows, classes = data.count(), _classes(data, problem)
         results = []
@@ -320,7 +326,7 @@ def train_many(
 
     n = len(features)
     parts = parts.select(key, "label", array_to_vector(F.slice("_a", 1, n)).alias("features"), F.col("_a")[n].alias("_t"))
-    a = parts.filter("_t = 0").drop("_t").persist()
+    a = spread(parts.filter("_t = 0").drop("_t")).persist()
     b = parts.filter("_t = 1").drop("_t").persist()
     rows: list[tuple[str, str, float | None, str | None]] = []
     try:

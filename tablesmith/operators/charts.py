@@ -226,9 +226,9 @@ def recommend_charts(df: DataFrame, top: int = 8) -> DataFrame:
     def first(low: int, high: int):
         return next((c for c in cat if low <= unique[c] <= high), None)
 
-    skewed = [c for c in num if p.base[c]["skew"] is not None and abs(p.base[c]["skew"]) > 1]
+    skewed = [c for c in num if p.skew[c] is not None and abs(p.skew[c]) > 1]
     for c in skewed:
-        found.append((3, "histogram", c, "log" if p.base[c]["skew"] > 2 else "linear"))
+        found.append((3, "histogram", c, "log" if p.skew[c] > 2 else "linear"))
     if num:
         for r in outliers(df, num).filter("percent > 0.5").collect():
             found.append((2, "box", r["column"], first(0, 8) or ""))

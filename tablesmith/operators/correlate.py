@@ -8,34 +8,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import safe_corr
+from ..functions.moments import correlations
 from ..functions.order import Ranges, running_totals
 from ..functions.quantiles import value_cells
 from ..functions.schema import col, numeric_columns, require_numeric
 from ..plans.step import Fitted, register
 
-PAIRS_PER_JOB = 300
-
 
 def pair_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(col1, col2, r)`` for every unordered pair; r over rows where both are present.
 
-    All pairs share one pass over the table (PAIRS_PER_JOB at a time); columns**2 rows result.
+    Two passes over the table for all pairs together; columns**2 numbers result.
     """
     require_numeric(df, *columns)
-    pairs = list(combinations(columns, 2))
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        part = pairs[start : start + PAIRS_PER_JOB]
-        one = df.agg(*[safe_corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        items = [
-            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(part)
-        ]
-        rows = one.select(F.inline(F.array(*items)))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
-    return out
+    rows = [(a, b, r) for (a, b), r in correlations(df, columns).items()]
+    return df.sparkSession.createDataFrame(rows, "col1 string, col2 string, r double")
 
 
 def full_matrix(pairs: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,8 +38,9 @@ def matrix_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def with_average_ranks(df: DataFrame, columns: list[str], rows_per_range=None) -> DataFrame:
     """Replaces each column by its average rank (ties share the mean of their positions)."""
-    for c in columns:
-        cells = value_cells(df, c, rows_per_range=rows_per_range)
+    ranges = Ranges.fit_each(df, [[c] for c in columns], rows_per_range, distinct=True)
+    for c, fitted in zip(columns, ranges):
+        cells = value_cells(df, c, ranges=fitted)
         ranks = cells.select(F.col("v").alias("_lk"), (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("_rk"))
         df = df.join(ranks, col(c) == F.col("_lk"), "left").withColumn(c, F.col("_rk")).drop("_lk", "_rk")
     return df
@@ -134,7 +122,17 @@ def matrix_by_pairs(df: DataFrame, columns: list[str], one_pair, rows_per_range=
 
 
 def matrix_spearman(df, columns, rows_per_range=None):
-    return matrix_by_pairs(df, columns, pair_spearman, rows_per_range)
+    """Complete columns are ranked once each and correlated in one pass; a pair with NULLs is ranked by itself."""
+    row = df.agg(*[F.count_if(col(c).isNull()) for c in columns]).first()
+    complete = [c for c, n in zip(columns, row) if not n]
+    pairs = None
+    if len(complete) > 1:
+        pairs = pair_correlations(with_average_ranks(df.select(*complete), complete, rows_per_range), complete)
+    for a, b in combinations(columns, 2):
+        if not (a in complete and b in complete):
+            one = pair_spearman(df, a, b, rows_per_range)
+            pairs = one if pairs is None else pairs.unionByName(one)
+    return full_matrix(pairs, columns)
 
 
 def matrix_kendall(df, columns, rows_per_range=None):

@@ -7,7 +7,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import parse_double, sample_kurtosis, sample_skew
+from ..functions.moments import basic_stats, central_moments
+from ..functions.numbers import parse_double
 from ..functions.quantiles import exact_quantiles
 from ..functions.schema import (
     categorical_columns,
@@ -56,23 +57,16 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column, count, mean, std, min, q25, q50, q75, max)``."""
+    """``(column, count, mean, std, min, max, q25, q50, q75)``."""
     columns = columns or numeric_columns(df)
     require_numeric(df, *columns)
     q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
-    x = {c: col(c).cast("double") for c in columns}
-    stats = (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
-    one = df.agg(*[fn(x[c]).alias(f"{name}{i}") for i, c in enumerate(columns) for name, fn in stats])
-    items = [
-        F.struct(
-            F.lit(c).alias("column"),
-            *[F.col(f"{name}{i}").alias(name) for name, _ in stats],
-            *[F.lit(q[c][p]).cast("double").alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))],
-        )
-        for i, c in enumerate(columns)
+    s = basic_stats(df, columns, {"std": F.stddev_samp})
+    rows = [
+        (c, s[c]["n"], *(s[c][k] for k in ("mean", "std", "min", "max")), *(q[c][p] for p in (0.25, 0.5, 0.75))) for c in columns
     ]
     schema = "column string, count bigint, mean double, std double, min double, max double, q25 double, q50 double, q75 double"
-    return long_form(one, items, schema)
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -80,32 +74,19 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     columns = columns or numeric_columns(df)
     require_numeric(df, *columns)
     median = exact_quantiles(df, {c: [0.5] for c in columns})
-    x = {c: col(c).cast("double") for c in columns}
-    stats = {
-        "min": F.min,
-        "max": F.max,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "skew": sample_skew,
-        "kurtosis": sample_kurtosis,
+    more = {
         "is_integer": lambda c: F.bool_and(c == F.floor(c)),
         "zeros": lambda c: F.count_if(c == 0),
         "negatives": lambda c: F.count_if(c < 0),
     }
-    one = df.agg(*[fn(x[c]).alias(f"{name}{i}") for i, c in enumerate(columns) for name, fn in stats.items()])
-    items = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(median[c][0.5]).cast("double").alias("median"),
-            *[F.col(f"{name}{i}").alias(name) for name in stats],
-        )
-        for i, c in enumerate(columns)
-    ]
+    s = central_moments(df, columns, more)
+    names = ("min", "max", "mean", "std", "skew", "kurtosis", "is_integer", "zeros", "negatives")
+    rows = [(c, median[c][0.5], *(s[c][k] for k in names)) for c in columns]
     schema = (
         "column string, median double, min double, max double, mean double, std double, skew double, kurtosis double, "
         "is_integer boolean, zeros bigint, negatives bigint"
     )
-    return long_form(one, items, schema)
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -256,7 +237,7 @@ class TableProfile:
             aggs.append(F.count_if(col(c).isNull()).alias(f"m{i}"))
             if c in self.numeric:
                 x = col(c).cast("double")
-                aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), sample_skew(x).alias(f"sk{i}")]
+                aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
             elif c in self.categorical:
                 aggs += [
                     F.avg(F.length(F.coalesce(col(c), F.lit("nan")))).alias(f"len{i}"),
@@ -269,13 +250,16 @@ class TableProfile:
                 "rows": n,
                 "nulls": row[f"m{i}"],
                 "range": None if row.get(f"lo{i}") is None else row[f"hi{i}"] - row[f"lo{i}"],
-                "skew": row.get(f"sk{i}"),
                 "mean_length": row.get(f"len{i}"),
                 "numeric_texts": row.get(f"num{i}"),
             }
             for i, c in enumerate(df.columns)
         }
 
+    @cached_property
+    def skew(self) -> dict[str, float | None]:
+        return {c: s["skew"] for c, s in central_moments(self.df, self.numeric).items()} if self.numeric else {}
+
     @cached_property
     def rows(self) -> int:
         return next(iter(self.base.values()))["rows"]
@@ -286,16 +270,16 @@ class TableProfile:
 
     @cached_property
     def columns(self) -> DataFrame:
-        """``(pos, column, class, rows, nulls, missing_pct, range, skew, mean_length, numeric_texts, time_hint)``."""
+        """``(pos, column, class, rows, nulls, missing_pct, range, mean_length, numeric_texts, time_hint)``."""
         rows = []
         for c, b in self.base.items():
             cls = column_class(type_of(self.df, c))
             pct = b["nulls"] * 100.0 / b["rows"] if b["rows"] else 0.0
             rows.append(
-                (self.position[c], c, cls, b["rows"], b["nulls"], pct, b["range"], b["skew"], b["mean_length"], b["numeric_texts"], has_time_hint(c))
+                (self.position[c], c, cls, b["rows"], b["nulls"], pct, b["range"], b["mean_length"], b["numeric_texts"], has_time_hint(c))
             )
         schema = (
-            "pos int, column string, class string, rows bigint, nulls bigint, missing_pct double, range double, skew double, "
+            "pos int, column string, class string, rows bigint, nulls bigint, missing_pct double, range double, "
             "mean_length double, numeric_texts bigint, time_hint boolean"
         )
         return self.frame(rows, schema)

@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
+from itertools import combinations_with_replacement
+
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.moments import basic_stats, sums_in_parts
 from ..functions.schema import col, require_numeric
 from ..plans.step import Fitted, register
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means and covariance (n - 1) over complete rows, from one aggregate."""
+    """Rows, means and covariance (n - 1) over complete rows, from two aggregates."""
     require_numeric(df, *columns)
     data = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
-    p = len(columns)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    row = data.agg(
-        F.count(F.lit(1)),
-        *[F.avg(f"x{i}") for i in range(p)],
-        *[F.covar_samp(f"x{i}", f"x{j}") for i, j in pairs],
-    ).first()
-    mean = np.array(row[1 : 1 + p], dtype=float)
-    cov = np.zeros((p, p))
-    for (i, j), v in zip(pairs, row[1 + p :]):
-        cov[i, j] = cov[j, i] = v
-    return int(row[0]), mean, cov
+    names = data.columns
+    stats = basic_stats(data, names)
+    n, mean = int(stats[names[0]]["n"]), np.array([stats[x]["mean"] for x in names], dtype=float)
+    centred = data.select(*[(F.col(x) - F.lit(stats[x]["mean"])).alias(x) for x in names])
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    sums = sums_in_parts(centred, {(i, j): F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs})
+    cov = np.zeros((len(names), len(names)))
+    for (i, j), v in sums.items():
+        cov[i, j] = cov[j, i] = v / max(n - 1, 1)
+    return n, mean, cov
 
 
 def _signed(vectors: np.ndarray) -> np.ndarray:

@@ -41,8 +41,9 @@ def stop_words(language: str) -> list[str]:
 
 
 def _stopwords(df, s, f):
-    words = F.array(*[F.lit(w.lower()) for w in stop_words(s.params.get("language", "english"))])
-    kept = F.filter(tokens(F.lower(_text(s))), lambda t: ~F.array_contains(words, t))
+    words = [w.lower() for w in stop_words(s.params.get("language", "english"))]
+    # a long IN list of literals is looked up as a hash set
+    kept = F.filter(tokens(F.lower(_text(s))), lambda t: ~t.isin(words))
     return df.withColumn(f"{s.column}_filtered", F.array_join(kept, " "))
 
 
@@ -120,20 +121,23 @@ register(
 
 def vocabulary(df: DataFrame, column: str, max_features: int = 100) -> DataFrame:
     """``(term, corpus_count, df, idf)`` of the most frequent words (ties by word)."""
-    docs = df.select(F.regexp_extract_all(F.lower(F.coalesce(col(column).cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)).alias("t"))
+    docs = df.select(F.array_sort(_words(df, column)).alias("t"))
     n = docs.count()
-    # one row per (document, term) never shuffles whole: both counts are summed per task first
-    per_doc = F.explode(F.array_distinct("t")).alias("term")
-    counts = docs.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"))
+    # sorted words of a text: the first of each run counts the text, every one counts the word; one shuffle of sums
+    marked = F.transform("t", lambda w, i: F.struct(w.alias("term"), ((i == 0) | (w != F.get("t", i - 1))).cast("int").alias("first")))
+    counts = (
+        docs.select(F.inline(marked))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("corpus_count"), F.sum("first").alias("df"))
+    )
     top = counts.orderBy(F.desc("corpus_count"), "term").limit(max_features)
-    words = [(r["term"], r["corpus_count"]) for r in top.collect()]
-    spark = df.sparkSession
-    if not words:
-        return spark.createDataFrame([], "term string, corpus_count bigint, df bigint, idf double")
-    dfs = docs.select(per_doc).filter(F.col("term").isin([w for w, _ in words])).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    local = spark.createDataFrame(words, "term string, corpus_count bigint")
-    idf = F.ln(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1.0
-    return local.join(dfs, "term").withColumn("idf", idf)
+    rows = [(r["term"], r["corpus_count"], r["df"]) for r in top.collect()]
+    local = df.sparkSession.createDataFrame(rows, "term string, corpus_count bigint, df bigint")
+    return local.withColumn("idf", F.ln(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1.0)
+
+
+def _words(df: DataFrame, column: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(col(column).cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def tfidf(df: DataFrame, column: str, key: str, vocab: DataFrame) -> DataFrame:
@@ -142,8 +146,8 @@ def tfidf(df: DataFrame, column: str, key: str, vocab: DataFrame) -> DataFrame:
     if not rows:
         return df.sparkSession.createDataFrame([], f"{key} {df.schema[key].dataType.simpleString()}, term string, tfidf double")
     words = [r["term"] for r in rows]
-    text = F.lower(F.coalesce(col(column).cast("string"), F.lit("")))
-    found = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("term")).filter(F.col("term").isin(words))
+    known = F.filter(_words(df, column), lambda t: t.isin(words))
+    found = df.select(key, F.explode(known).alias("term"))
     counts = found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     weighted = counts.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     per_key = (

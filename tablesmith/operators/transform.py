@@ -212,10 +212,11 @@ def _cluster_fit(hierarchical: bool):
             .na.fill(0.0)
         )
         stats = cats.agg(F.avg("n"), F.stddev_pop("n"), F.avg("m"), F.stddev_pop("m")).first()
+        # standardised, then moved off the origin: bisecting starts from centres scaled by their length
         z = cats.select(
             "v",
             *[
-                ((F.col(c) - F.lit(stats[2 * i])) / F.lit(stats[2 * i + 1] or 1.0)).alias(f"z{i}")
+                ((F.col(c) - F.lit(stats[2 * i])) / F.lit(stats[2 * i + 1] or 1.0) + F.lit(10.0)).alias(f"z{i}")
                 for i, c in enumerate(("n", "m"))
             ],
         )

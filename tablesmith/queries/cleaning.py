@@ -42,7 +42,7 @@ EVENTS_K = Input(
     "events",
     (
         "event_id", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value_n",
-        "CAST(user_id AS DOUBLE) AS f1", "event_id + CAST((event_id * 7919) % 997 AS DOUBLE) / 997 AS f2",
+        "CAST(user_id AS DOUBLE) AS f1", "event_id + CAST((event_id * event_id) % 997 AS DOUBLE) / 997 AS f2",
     ),
 )
 
