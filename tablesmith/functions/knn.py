@@ -229,9 +229,15 @@ def _visit(routed: DataFrame, donors: DataFrame, xs, payload, need: int, queries
     fields = [T.StructField("_q", T.LongType()), T.StructField("_donor", T.LongType()), T.StructField("_distance", T.DoubleType())]
     schema = T.StructType([*fields, *[donors.schema[p] for p in payload]])
 
+    def nothing() -> pd.DataFrame:
+        kinds = {"string": "str", "double": "float64", "float": "float32", "int": "int32", "boolean": "bool"}
+        return pd.DataFrame(
+            {f.name: np.array([], dtype=object if isinstance(f.dataType, T.StringType) else kinds.get(f.dataType.simpleString(), "int64")) for f in schema.fields}
+        )
+
     def search(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ds):
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return nothing()
         ds = ds.sort_values("_d", kind="stable").reset_index(drop=True)
         a, b = qs[xs].to_numpy(dtype=float), ds[xs].to_numpy(dtype=float)
         take = min(need, len(b))

@@ -7,7 +7,6 @@ and are called once per distinct word of an Arrow batch.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 # ---------------------------------------------------------------- Porter
 
@@ -67,7 +66,6 @@ def _swap(word: str, rules, least: int) -> str:
     return word
 
 
-@lru_cache(maxsize=200_000)
 def porter(word: str) -> str:
     w = word.lower()
     if w in PORTER_IRREGULAR:
@@ -159,7 +157,6 @@ def _short_syllable(w: str) -> bool:
     return bool(re.search(f"[^{_V}][{_V}][^{_V}wxY]$", w) or re.fullmatch(f"[{_V}][^{_V}]", w))
 
 
-@lru_cache(maxsize=200_000)
 def porter2(word: str) -> str:
     w = word.lower().replace("’", "'").replace("‘", "'").replace("‛", "'")
     if len(w) <= 2:

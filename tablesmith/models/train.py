@@ -68,9 +68,19 @@ def assemble(df: DataFrame, features: list[str], target: str | None = None, key:
 
 
 def spread(data: DataFrame) -> DataFrame:
-    """Training data on all cores: an input of few splits is redistributed once, as fits read it many times."""
+    """Persisted training data on all cores; the caller unpersists.
+
+    An input of few splits is redistributed once, as fits read it many times.
+    """
+    kept = data.persist()
+    kept.count()
     cores = data.sparkSession.sparkContext.defaultParallelism
-    return data.repartition(cores) if data.rdd.getNumPartitions() < cores else data
+    if kept.rdd.getNumPartitions() >= cores:
+        return kept
+    wide = kept.repartition(cores).persist()
+    wide.count()
+    kept.unpersist()
+    return wide
 
 
 # ---- models
@@ -248,7 +258,7 @@ def cross_validate(df: DataFrame, features: list[str], target: str, key: str, mo
     if not 2 <= cv <= 10:
         raise ValueError("cv is 2 to 10 folds")
     problem = problem_type(df, target)
-    data = spread(with_fold(assemble(df, features, target, key), key, cv)).persist()
+    data = spread(with_fold(assemble(df, features, target, key), key, cv))
     try:
         scores = _fold_scores(data, model, problem, cv, _classes(data, problem), params or {})
     finally:
@@ -291,7 +301,7 @@ def grid_search(
     """``(rank, params, mean_score, std_score)`` best first; the full grid unless one is given."""
     grid = grid or GRIDS[model]
     problem = problem_type(df, target)
-    data = spread(with_fold(assemble(df, features, target, key), key, cv)).persist()
+    data = spread(with_fold(assemble(df, features, target, key), key, cv))
     try:
         rows, classes = data.count(), _classes(data, problem)
         results = []
@@ -326,7 +336,7 @@ def train_many(
 
     n = len(features)
     parts = parts.select(key, "label", array_to_vector(F.slice("_a", 1, n)).alias("features"), F.col("_a")[n].alias("_t"))
-    a = spread(parts.filter("_t = 0").drop("_t")).persist()
+    a = spread(parts.filter("_t = 0").drop("_t"))
     b = parts.filter("_t = 1").drop("_t").persist()
     rows: list[tuple[str, str, float | None, str | None]] = []
     try:

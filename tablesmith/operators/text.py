@@ -61,7 +61,14 @@ def _stemming(df, s, f):
 
     @F.pandas_udf("string")
     def stemmed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else " ".join([stem(w) for w in t.lower().split()]))
+        known: dict[str, str] = {}
+
+        def one(word: str) -> str:
+            if word not in known:
+                known[word] = stem(word)
+            return known[word]
+
+        return texts.map(lambda t: None if t is None else " ".join([one(w) for w in t.lower().split()]))
 
     return df.withColumn(f"{s.column}_stemmed", stemmed(_text(s)))
 

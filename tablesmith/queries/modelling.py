@@ -130,7 +130,7 @@ def _parts(spark, sf, target):
     df = T.split_random(LINES.df(spark, sf), "line_key")
     train = T.assemble(df.filter(~F.col("is_test")), FEATURES, target, "line_key")
     test = T.assemble(df.filter("is_test"), FEATURES, target, "line_key")
-    return T.spread(train).persist(), test
+    return T.spread(train), test
 
 
 def _classifier(key: str, model: str, target: str = "dear", **params):
