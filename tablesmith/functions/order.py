@@ -173,14 +173,15 @@ class Ranges:
         return binned.withColumn(out, number + 2).drop("_p", "_b")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join on keys that may be NULL; the right keys are dropped."""
-    renamed = right.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
-    cond = None
-    for i, k in enumerate(keys):
-        part = col(k).eqNullSafe(F.col(f"_k{i}"))
-        cond = part if cond is None else cond & part
-    return left.join(renamed, cond, how).drop(*[f"_k{i}" for i in range(len(keys))])
+def _group_keys(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Adds never-null copies of the group columns.
+
+    Windows, sums and the join back all use these, so they share one partitioning and the large
+    side is shuffled once; a null-safe join would hash other expressions and shuffle it again.
+    """
+    names = [f"_g{i}" for i in range(len(by))]
+    copies = {n: F.coalesce(col(b).cast("string"), F.lit("\u0000")) for n, b in zip(names, by)}
+    return (df.withColumns(copies) if copies else df), names
 
 
 def running_totals(
@@ -194,14 +195,18 @@ def running_totals(
 
     ``ranged`` says that the cells carry a RANGE column; otherwise one window per group is used.
     """
-    keys = [*by, RANGE] if ranged else (by or [])
+    groups: list[str] = []
+    if ranged:
+        cells, groups = _group_keys(cells, by)
+    keys = [*groups, RANGE] if ranged else by
     spec = Window.partitionBy(*[col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
     inner = spec.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     inside = {f"{o}_before": F.coalesce(F.sum(col(w)).over(inner), F.lit(0)) for o, w in weights.items()}
     if not ranged:
         return cells.withColumns(inside)
     sums = cells.groupBy(*[col(k) for k in keys]).agg(*[F.sum(col(w)).alias(f"_s_{o}") for o, w in weights.items()])
-    outer = (Window.partitionBy(*[col(k) for k in by]) if by else Window.partitionBy(F.lit(0))).orderBy(RANGE)
+    # one row per group and range, so a window per group is small
+    outer = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy(RANGE)
     offsets = sums.select(
         *[col(k) for k in keys],
         *[
@@ -209,9 +214,9 @@ def running_totals(
             for o in weights
         ],
     )
-    out = _null_safe(cells.withColumns(inside), offsets, keys)
+    out = cells.withColumns(inside).join(offsets, keys)
     return out.withColumns({f"{o}_before": F.col(f"{o}_before") + F.col(f"_o_{o}") for o in weights}).drop(
-        *[f"_o_{o}" for o in weights]
+        *[f"_o_{o}" for o in weights], *groups
     )
 
 
@@ -239,8 +244,9 @@ def with_neighbours(
         spec = Window.partitionBy(*part).orderBy(*order)
         out = df.withColumn("_pos", F.row_number().over(spec).cast("long"))
         return _nearest(out, value, part)
-    ranged = ranges.add(df)
-    keys = [*partition_by, RANGE]
+    ranged, groups = _group_keys(ranges.add(df), partition_by)
+    keys = [*groups, RANGE]
+    part = groups or [F.lit(0)]
     spec = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
     local = ranged.withColumn("_pos", F.row_number().over(spec).cast("long"))
     local = _nearest(local, value, [col(k) for k in keys])
@@ -267,7 +273,7 @@ def with_neighbours(
         F.last("_lastv", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_prev"),
         F.last("_firstv", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_next"),
     )
-    out = _null_safe(local, summary, keys, "inner")
+    out = local.join(summary, keys)
     out = out.withColumns(
         {
             "_pos": F.col("_pos") + F.col("_off"),
@@ -275,7 +281,7 @@ def with_neighbours(
             "_next": F.coalesce(shifted("_next"), F.col("_carry_next")),
         }
     )
-    return out.drop(RANGE, "_off", "_carry_prev", "_carry_next")
+    return out.drop(RANGE, "_off", "_carry_prev", "_carry_next", *groups)
 
 
 def with_lags(
@@ -294,8 +300,9 @@ def with_lags(
         spec = Window.partitionBy(*part).orderBy(*order)
         return df.withColumns({f"{value}_lag_{k}": F.lag(col(value), k).over(spec) for k in lags})
     deepest = max(lags)
-    ranged = ranges.add(df)
-    keys = [*partition_by, RANGE]
+    ranged, groups = _group_keys(ranges.add(df), partition_by)
+    keys = [*groups, RANGE]
+    part = groups or [F.lit(0)]
     whole = Window.partitionBy(*[col(k) for k in keys])
     spec = whole.orderBy(*order)
     local = ranged.withColumns(
@@ -314,14 +321,14 @@ def with_lags(
     over = Window.partitionBy(*part).orderBy(RANGE).rowsBetween(-deepest, -1)
     # Each range holds at least one row, so the `deepest` ranges before this one always suffice.
     tails = tails.select(*[col(k) for k in keys], F.flatten(F.collect_list("_tail").over(over)).alias("_before"))
-    out = _null_safe(local, tails, keys, "inner")
+    out = local.join(tails, keys)
 
     def lagged(k: int) -> Column:
         back = F.size("_before") - (F.lit(k) - F.col("_pos"))
         return F.when(F.col("_pos") > k, F.col(f"_lag{k}")).when(back >= 1, F.try_element_at("_before", back)["v"])
 
     out = out.withColumns({f"{value}_lag_{k}": lagged(k) for k in lags})
-    return out.drop(RANGE, "_pos", "_cnt", "_before", *[f"_lag{k}" for k in lags])
+    return out.drop(RANGE, "_pos", "_cnt", "_before", *[f"_lag{k}" for k in lags], *groups)
 
 
 def rank_by_hash(

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import RANGE, Ranges, running_totals, sketch_quantiles
+from ..session import small_or_cut
 from .schema import col
 
 DIRECT_ROWS = 250_000
@@ -250,12 +251,10 @@ def grouped_quantiles(
     """
     cells = value_cells(df.withColumn("_q", col(column).cast("double")), "_q", by, rows_per_range)
     totals = df.filter(col(column).isNotNull()).groupBy(*[col(b) for b in by]).agg(F.count(F.lit(1)).alias("_total"))
-    cond = None
-    renamed = totals.select(*[col(b).alias(f"_g{i}") for i, b in enumerate(by)], "_total")
-    for i, b in enumerate(by):
-        part = col(b).eqNullSafe(F.col(f"_g{i}"))
-        cond = part if cond is None else cond & part
-    joined = cells.join(renamed, cond).drop(*[f"_g{i}" for i in range(len(by))])
+    # fixed first: a small table is broadcast, so that the cells need no shuffle by group
+    totals = small_or_cut(totals.withColumnsRenamed({b: f"_g{i}" for i, b in enumerate(by)}))
+    cond = reduce(lambda a, b: a & b, [col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)])
+    joined = cells.join(totals, cond).drop(*[f"_g{i}" for i in range(len(by))])
     upto = F.col("before") + F.col("n")
     aggs = [F.max("_total").alias("n")]
     for name, p in probs.items():

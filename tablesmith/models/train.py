@@ -25,6 +25,7 @@ from ..functions.knn import knn_join
 from ..functions.numbers import hash_key
 from ..functions.order import rank_by_hash
 from ..functions.schema import col, is_numeric
+from ..session import small_or_cut
 from .metrics import metrics_classification, metrics_regression
 from .validate import problem_type
 
@@ -46,7 +47,7 @@ def split_stratified(
     df: DataFrame, target: str, key: str, test: float = 0.2, seed: int = SEED, rows_per_range: int | None = None
 ) -> DataFrame:
     """Adds ``is_test`` with the share met in every class: the first ceil(share * rows) by hash."""
-    counts = df.groupBy(col(target).alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = small_or_cut(df.groupBy(col(target).alias("_cls")).agg(F.count(F.lit(1)).alias("_n")))
     rows = df.count()
     ranked = rank_by_hash(df, key, seed, [target], rows, rows_per_range)
     joined = ranked.join(counts, col(target).eqNullSafe(F.col("_cls")))

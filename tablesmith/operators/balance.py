@@ -9,8 +9,11 @@ from ..functions.knn import knn_join
 from ..functions.numbers import hash_uniform
 from ..functions.order import rank_by_hash
 from ..functions.schema import col, numeric_columns
+from ..session import cut_lineage
 from ..plans.step import Fitted, left_lookup, register, small_or_cut
 
+COPIES_PER_BLOCK = 100_000
+
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     return df.filter(col(target).isNotNull()).groupBy(col(target).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
@@ -32,9 +35,21 @@ def _features(df: DataFrame, target: str, key: str, given=None) -> list[str]:
     return feats
 
 
-def _spread(base: DataFrame, quota: str) -> DataFrame:
-    """One row per synthetic point: copy number 1..quota of each base row."""
-    return base.filter(F.col(quota) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(quota))))
+def _spread(base: DataFrame, key: str, quota: str, most: int) -> DataFrame:
+    """One row per synthetic point: copy number 1..quota of each base row.
+
+    ``most`` bounds the quota. A row with many copies is cut into blocks that go to different
+    tasks, so no task makes more than COPIES_PER_BLOCK copies of a row at once.
+    """
+    base = base.filter(F.col(quota) > 0)
+    one, step = F.lit(1).cast("long"), F.lit(COPIES_PER_BLOCK).cast("long")
+    if most <= COPIES_PER_BLOCK:
+        return base.withColumn("_copy", F.explode(F.sequence(one, F.col(quota))))
+    blocks = base.withColumn("_block", F.explode(F.sequence(one, F.ceil(F.col(quota) / step).cast("long"))))
+    parts = max(base.sparkSession.sparkContext.defaultParallelism, 200)
+    blocks = blocks.repartition(parts, col(key), F.col("_block"))
+    first = (F.col("_block") - 1) * step + 1
+    return blocks.withColumn("_copy", F.explode(F.sequence(first, F.least(F.col("_block") * step, F.col(quota))))).drop("_block")
 
 
 def _interpolated(points: DataFrame, near: DataFrame, feats: list[str], target: str, key: str, seed: int) -> DataFrame:
@@ -80,7 +95,7 @@ def smote(
     for c, n in minority.items():
         each, rest = divmod(largest - n, n)
         quota = F.when(col(target) == F.lit(c), F.lit(each) + F.when(F.col("_rank") <= rest, 1).otherwise(0)).otherwise(quota)
-    points = _spread(ranked.withColumn("_quota", quota.cast("long")), "_quota")
+    points = _spread(ranked.withColumn("_quota", quota.cast("long")), key, "_quota", max((largest - n) // n + 1 for n in minority.values()))
     return original.unionByName(_interpolated(points, near, feats, target, key, seed))
 
 
@@ -106,8 +121,6 @@ def adasyn(
         .groupBy(key)
         .agg(F.max("_own").alias("_own"), F.avg(F.when(F.col("_cls") != F.col("_own"), 1.0).otherwise(0.0)).alias("_share"))
     )
-    from ..session import cut_lineage
-
     share = cut_lineage(share)
     sums = {r["_own"]: r["s"] for r in share.groupBy("_own").agg(F.sum("_share").alias("s")).collect()}
     quota = F.lit(0).cast("long")
@@ -115,7 +128,7 @@ def adasyn(
         if sums.get(c):
             quota = F.when(F.col("_own") == F.lit(c), F.round(F.col("_share") * F.lit((largest - n) / sums[c])).cast("long")).otherwise(quota)
     quotas = share.select(F.col(key).alias("_qk"), quota.alias("_quota"))
-    points = _spread(small.join(quotas, col(key) == F.col("_qk")).drop("_qk"), "_quota")
+    points = _spread(small.join(quotas, col(key) == F.col("_qk")).drop("_qk"), key, "_quota", largest)
     near = knn_join(small, small, feats, k, key, key, payload=feats, exclude_self=True, by=target)
     return original.unionByName(_interpolated(points, near, feats, target, key, seed))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import safe_corr, sample_kurtosis, sample_skew
 from ..functions.quantiles import exact_quantiles, grouped_quantiles
 from ..functions.schema import categorical_columns, col, columns_of, numeric_columns, require_numeric
+from ..session import small_or_cut
 from ..sources.readers import sample_n
 from .clean import fences
 from .correlate import matrix_pearson
@@ -56,10 +57,11 @@ def box(df: DataFrame, column: str, group_by: str | None = None) -> DataFrame:
     group = col(group_by).cast("string") if group_by else F.lit("all")
     if group_by:
         q = grouped_quantiles(df, column, [group_by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
-        q = q.select(col(group_by).cast("string").alias("_g"), "q1", "median", "q3")
+        q = small_or_cut(q.select(col(group_by).cast("string").alias("_g"), "q1", "median", "q3"))
     else:
         v = exact_quantiles(df, {column: [0.25, 0.5, 0.75]})[column]
         q = df.sparkSession.createDataFrame([("all", v[0.25], v[0.5], v[0.75])], "_g string, q1 double, median double, q3 double")
+        q = F.broadcast(q)  # one row
     lo, hi = fences(F.col("q1"), F.col("q3"))
     inside = c.between(lo, hi)
     joined = df.filter(c.isNotNull()).select(group.alias("group"), c.alias(column)).join(q, F.col("group").eqNullSafe(F.col("_g")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..functions.schema import col, require_numeric
+from ..functions.schema import col, column_class, distinct_key, require_numeric, type_of
 from ..plans.step import Fitted, register
 
 
@@ -21,7 +21,8 @@ def _keep(last: bool):
             raise ValueError("keeping the first or last row of a subset needs order_by")
         order = [col(c).desc() if last else col(c).asc() for c in s.order_by]
         # A row_number bound to 1 is pruned in every task before the shuffle: a hot group sends one row per task.
-        spec = Window.partitionBy(*[col(c) for c in subset]).orderBy(*order)
+        keys = [distinct_key(col(c), column_class(type_of(df, c)) == "categorical") for c in subset]
+        spec = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn("_rn", F.row_number().over(spec)).filter(F.col("_rn") == 1).drop("_rn")
 
     return apply

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_double
 from ..functions.quantiles import exact_quantiles
-from ..functions.schema import categorical_columns, col, column_class, numeric_columns, type_of
+from ..functions.schema import categorical_columns, col, column_class, distinct_key, numeric_columns, type_of
 from .clean import fences
 from .correlate import pairs_over
-from .profile import distinct_counts, distinct_key, long_form, missing_profile, value_table
+from .profile import distinct_counts, long_form, missing_profile, value_table
 
 
 def missing(df: DataFrame) -> DataFrame:

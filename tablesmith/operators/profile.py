@@ -15,6 +15,7 @@ from ..functions.schema import (
     col,
     column_class,
     columns_of,
+    distinct_key,
     numeric_columns,
     require_numeric,
     type_of,
@@ -22,7 +23,6 @@ from ..functions.schema import (
 
 # Fixed value: name parts that hint at a date or time column.
 TIME_HINTS = ("date", "time", "day", "month", "year")
-LONG_TEXT = 64
 
 
 def has_time_hint(name: str) -> bool:
@@ -173,11 +173,6 @@ def datetime_candidates(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
 
 
-def distinct_key(c: Column, is_text: bool) -> Column:
-    """What to count distinct: long texts shuffle as their SHA-256 digest."""
-    return F.when(F.length(c) > LONG_TEXT, F.sha2(c, 256)).otherwise(c) if is_text else c
-
-
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """``(column, unique_count)`` without NULLs; exact unless asked otherwise."""
     count = F.approx_count_distinct if approximate else F.count_distinct

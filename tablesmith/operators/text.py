@@ -156,7 +156,7 @@ def tfidf(df: DataFrame, column: str, key: str, vocab: DataFrame) -> DataFrame:
     known = F.filter(_words(df, column), lambda t: t.isin(words))
     found = df.select(key, F.explode(known).alias("term"))
     counts = found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = counts.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = counts.join(small_or_cut(vocab.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
     per_key = (
         weighted.groupBy(key)
         .agg(F.collect_list(F.struct("term", "w")).alias("ws"))

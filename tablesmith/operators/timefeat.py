@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import with_lags
 from ..functions.schema import col
-from ..plans.step import register
+from ..plans.step import register, small_or_cut
 
 _DATE = {"year": F.year, "month": F.month, "day": F.dayofmonth, "weekday": F.weekday, "quarter": F.quarter}
 _TIME = {"hour": F.hour, "minute": F.minute, "second": F.second}
@@ -41,7 +41,7 @@ register("time_features", "cyclical", apply=_cyclical)
 def _holidays(df, s, f):
     """Flag from a list of dates (ISO texts), which becomes a small table joined by date."""
     table = df.sparkSession.createDataFrame([(d,) for d in sorted(set(s.params["holidays"]))], "d string")
-    table = table.select(F.to_date("d").alias("_hd"), F.lit(True).alias("_hit"))
+    table = small_or_cut(table.select(F.to_date("d").alias("_hd"), F.lit(True).alias("_hit")))
     out = df.join(table, F.to_date(col(s.column)) == F.col("_hd"), "left")
     return out.withColumn(f"{s.column}_is_holiday", F.coalesce("_hit", F.lit(False))).drop("_hd", "_hit")
 

@@ -22,9 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.schema import col
-from ..session import cut_lineage
-
-SMALL_TABLE_ROWS = 10_000
+from ..session import small_or_cut  # noqa: F401  (part of the step toolbox)
 
 
 @dataclass(frozen=True)
@@ -102,18 +100,6 @@ def method_of(step: Step) -> Method:
     return found
 
 
-def small_or_cut(table: DataFrame) -> DataFrame:
-    """Fixes a fitted mapping table.
-
-    Up to SMALL_TABLE_ROWS rows it becomes a local table, whose known size lets Spark
-    broadcast it; beyond, it is checkpointed in the shared folder and joined by shuffle.
-    """
-    rows = table.limit(SMALL_TABLE_ROWS + 1).collect()
-    if len(rows) <= SMALL_TABLE_ROWS:
-        return table.sparkSession.createDataFrame(rows, table.schema)
-    return cut_lineage(table)
-
-
 def left_lookup(df: DataFrame, table: DataFrame, column: str, table_key: str) -> DataFrame:
     """Left join on one column; the strategy (broadcast, shuffle, skew split) is Spark's by size."""
     return df.join(table.withColumnRenamed(table_key, "_lk"), col(column) == F.col("_lk"), "left").drop("_lk")

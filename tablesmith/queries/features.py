@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import select as S
 from ..operators.balance import adasyn, imbalance_ratio, smote
-from ..plans.step import Step, apply_step, fit_step
+from ..plans.step import Step, apply_step, fit_step, small_or_cut
 from .common import LABELS_TEXT, query, r, rounded, table
 
 NUM4 = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -82,6 +82,7 @@ def _balance_check(out):
     real = out.filter(~F.col("synthetic")).groupBy(F.col("toxic").alias("_t")).agg(
         *[fn(c).alias(f"{n}_{c}") for c in ("n_chars", "words") for n, fn in (("lo", F.min), ("hi", F.max))]
     )
+    real = small_or_cut(real)
     inside = F.col("n_chars").between(F.col("lo_n_chars") - 1e-6, F.col("hi_n_chars") + 1e-6) & F.col("words").between(
         F.col("lo_words") - 1e-6, F.col("hi_words") + 1e-6
     )

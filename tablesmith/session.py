@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_scratch: str | None = None
 
@@ -56,3 +58,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+SMALL_TABLE_ROWS = 10_000
+SMALL_TABLE_CHARS = 8_000_000
+
+
+def small_or_cut(table: DataFrame) -> DataFrame:
+    """Fixes a small derived table before it is joined to a large one.
+
+    Up to SMALL_TABLE_ROWS rows and SMALL_TABLE_CHARS characters it becomes a local table that
+    is broadcast; beyond, it is checkpointed in the shared folder and joined by shuffle.
+    """
+    try:
+        rows = table.limit(SMALL_TABLE_ROWS + 1).collect()
+    except PySparkException as e:
+        if "maxResultSize" not in str(e):
+            raise
+        return cut_lineage(table)
+    chars = sum(len(v) for r in rows for v in r if isinstance(v, str))
+    if len(rows) <= SMALL_TABLE_ROWS and chars <= SMALL_TABLE_CHARS:
+        # a local table has no size estimate of its own, hence the hint
+        return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+    return cut_lineage(table)

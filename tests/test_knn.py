@@ -82,3 +82,12 @@ def test_adasyn_puts_points_near_the_other_class(spark):
     made = adasyn(df, "cls", "id").filter("synthetic")
     total, near = made.agg(F.count("*"), F.count_if(F.col("a") < 15)).first()
     assert 150 <= total <= 190 and near == total
+
+
+def test_many_copies_go_to_blocks(spark, monkeypatch):
+    from tablesmith.operators import balance
+
+    monkeypatch.setattr(balance, "COPIES_PER_BLOCK", 7)
+    rows = [(i, "major" if i > 2 else "minor", float(i)) for i in range(103)]
+    out = balance.smote(spark.createDataFrame(rows, "id long, cls string, a double"), "cls", "id")
+    assert {r["cls"]: r["count"] for r in out.groupBy("cls").count().collect()} == {"major": 100, "minor": 100}
