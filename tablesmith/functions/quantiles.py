@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import RANGE, Ranges, running_totals, sketch_quantiles
+from .order import MERGE_GROUPS, RANGE, Ranges, running_totals
 from ..session import small_or_cut
 from .schema import col
 
@@ -91,7 +91,7 @@ def _clip(x: float) -> float:
 def _select(data: DataFrame, wanted: dict[str, tuple[str, list[float]]], bracket_rows: int):
     probs = sorted({p for _, ps in wanted.values() for p in ps})
     ranks = sorted({_clip(p + s) for p in probs for s in (-SLACK, SLACK)})
-    _, found = sketch_quantiles(data, {c: F.col(c) for c in wanted}, ranks, BRACKET_K)
+    found = _sketches(data, {c: (c, F.col(c)) for c in wanted}, ranks)
     targets = []
     for c, (name, ps) in wanted.items():
         n, qs = found[c]
@@ -111,8 +111,8 @@ def _select(data: DataFrame, wanted: dict[str, tuple[str, list[float]]], bracket
         # narrow again with sketches of what is inside
         shares = [(_clip((t.k0 - t.below) / t.inside - SLACK), _clip((t.k1 - t.below) / t.inside + SLACK)) for t in wide]
         ranks = sorted({x for pair in shares for x in pair})
-        exprs = {f"t{i}": F.when(_within(*t.bracket), F.col(t.column)) for i, t in enumerate(wide)}
-        _, found = sketch_quantiles(data, exprs, ranks, BRACKET_K)
+        exprs = {f"t{i}": (t.column, F.when(_within(*t.bracket), F.col(t.column))) for i, t in enumerate(wide)}
+        found = _sketches(data, exprs, ranks)
         old = {id(t): (t.lo, t.hi, t.inside) for t in wide}
         for i, (t, (low, high)) in enumerate(zip(wide, shares)):
             at = dict(zip(ranks, found[f"t{i}"][1]))
@@ -128,6 +128,22 @@ def _select(data: DataFrame, wanted: dict[str, tuple[str, list[float]]], bracket
     return out
 
 
+def _sketches(data: DataFrame, exprs: dict[str, tuple[str, Column]], ranks: list[float]) -> dict[str, tuple[int, list[float]]]:
+    """Row count and approximate quantiles per expression, in one job that reads each column on its own."""
+    names = list(exprs)
+    parts = [data.select(F.lit(i).alias("i"), expr.alias("v")).filter("v is not null") for i, (_, expr) in enumerate(exprs.values())]
+    level1 = (
+        reduce(DataFrame.unionAll, parts)
+        .groupBy("i", (F.spark_partition_id() % MERGE_GROUPS).alias("p"))
+        .agg(F.count("v").alias("n"), F.kll_sketch_agg_double("v", BRACKET_K).alias("s"))
+    )
+    probe = F.array(*[F.lit(float(r)) for r in ranks])
+    merged = level1.groupBy("i").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("s").alias("s"))
+    rows = merged.select("i", "n", F.kll_sketch_get_quantile_double("s", probe).alias("q")).collect()
+    found = {names[r["i"]]: (int(r["n"]), list(r["q"])) for r in rows}
+    return {name: found.get(name, (0, [])) for name in names}
+
+
 def _by_column(brackets: list[tuple]) -> dict[str, list[tuple]]:
     out: dict[str, list[tuple]] = {}
     for b in brackets:
