@@ -21,7 +21,7 @@ from .order import MERGE_GROUPS, RANGE, Ranges, running_totals
 from ..session import small_or_cut
 from .schema import col
 
-DIRECT_ROWS = 250_000
+DIRECT_ROWS = 1_000_000
 BRACKET_ROWS = 1_000_000
 SLACK = 0.002
 BRACKET_K = 4096
@@ -43,12 +43,13 @@ def exact_quantiles(
     data = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values.values())])
     rows = data.count()
     if rows <= direct_rows:
-        row = data.agg(
-            *[F.percentile(f"c{i}", F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(f"q{i}") for i, c in enumerate(names)]
-        ).first()
-        return {
-            c: dict(zip(wanted[c], row[f"q{i}"] or [None] * len(wanted[c]))) for i, c in enumerate(names)
-        }
+        # at most direct_rows map entries per column, one column per task
+        parts = [
+            data.agg(F.percentile(f"c{i}", F.array(*[F.lit(float(p)) for p in wanted[c]])).alias("q")).select(F.lit(i).alias("i"), "q")
+            for i, c in enumerate(names)
+        ]
+        found = {r["i"]: r["q"] for r in reduce(DataFrame.unionAll, parts).collect()}
+        return {c: dict(zip(wanted[c], found[i] or [None] * len(wanted[c]))) for i, c in enumerate(names)}
     return _select(data, {f"c{i}": (c, wanted[c]) for i, c in enumerate(names)}, bracket_rows)
 
 

@@ -128,7 +128,7 @@ register(
 
 def vocabulary(df: DataFrame, column: str, max_features: int = 100) -> DataFrame:
     """``(term, corpus_count, df, idf)`` of the most frequent words (ties by word)."""
-    docs = df.select(F.array_sort(_words(df, column)).alias("t"))
+    docs = df.select(F.sort_array(_words(df, column)).alias("t"))
     n = docs.count()
     # sorted words of a text: the first of each run counts the text, every one counts the word; one shuffle of sums
     marked = F.transform("t", lambda w, i: F.struct(w.alias("term"), ((i == 0) | (w != F.get("t", i - 1))).cast("int").alias("first")))
