@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.readers import scan_named
 from .exact_dedup import exact_dedup
+from .packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,8 @@ def query(key: str, sql: str | None = None):
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(scan_named(spark, "documents", sf_dir)).drop("raw")
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(scan_named(spark, "documents", sf_dir))
