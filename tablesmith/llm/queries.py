@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.readers import scan_named
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .token_files import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +40,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(scan_named(spark, "documents", sf_dir))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(scan_named(spark, "documents", sf_dir))
