@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.readers import scan_named
 from .exact_dedup import exact_dedup
+from .language import identify
 from .packing import pack
 from .token_files import token_counts
 
@@ -45,3 +46,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(scan_named(spark, "documents", sf_dir))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(scan_named(spark, "documents", sf_dir)).drop("raw")
