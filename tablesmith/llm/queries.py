@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.readers import scan_named
 from .exact_dedup import exact_dedup
 from .language import identify
+from .near_dedup import near_dedup
 from .packing import pack
 from .token_files import token_counts
 
@@ -51,3 +52,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(scan_named(spark, "documents", sf_dir)).drop("raw")
+
+
+@query(
+    "op3_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE [array_to_string(words[i : i + 4], ' ') FOR i IN range(1, len(words) - 3)] END) AS shingles FROM w),
+    n AS (SELECT doc_id, len(shingles) AS n_shingles FROM s),
+    e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id
+        WHERE 100 * same >= 75 * (na.n_shingles + nb.n_shingles - same)),
+    c AS (SELECT doc_id, doc_id AS reach FROM n UNION SELECT c.doc_id, l.b FROM c JOIN l ON c.reach = l.a)
+    SELECT doc_id, n_shingles, min(reach) AS component_id, doc_id = min(reach) AS kept FROM n JOIN c USING (doc_id) GROUP BY doc_id, n_shingles
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(scan_named(spark, "documents", sf_dir)).drop("raw")
