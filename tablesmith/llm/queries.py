@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.readers import scan_named
+from . import mixing
 from .exact_dedup import exact_dedup
 from .language import identify
 from .near_dedup import near_dedup
@@ -73,3 +75,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(scan_named(spark, "documents", sf_dir)).drop("raw")
+
+
+@query("op6_source_mix", mixing.oracle())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(scan_named(spark, "documents", sf_dir)).drop("raw").withColumn("chance", F.round("chance", 9))
