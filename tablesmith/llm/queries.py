@@ -14,6 +14,7 @@ from .language import identify
 from .near_dedup import near_dedup
 from .packing import pack
 from .token_files import token_counts
+from .url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +81,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_source_mix", mixing.oracle())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(scan_named(spark, "documents", sf_dir)).drop("raw").withColumn("chance", F.round("chance", 9))
+
+
+@query("op7_url_filter")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(scan_named(spark, "pages", sf_dir))
