@@ -11,6 +11,7 @@ from ..sources.readers import scan_named
 from . import mixing
 from .exact_dedup import exact_dedup
 from .language import identify
+from .license_scan import license_scan
 from .near_dedup import near_dedup
 from .packing import pack
 from .token_files import token_counts
@@ -86,3 +87,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_url_filter")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(scan_named(spark, "pages", sf_dir))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(scan_named(spark, "documents", sf_dir))
