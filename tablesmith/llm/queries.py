@@ -16,6 +16,7 @@ from .near_dedup import near_dedup
 from .packing import pack
 from .token_files import token_counts
 from .url_filter import filter_urls
+from .vector_search import search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(scan_named(spark, "documents", sf_dir))
+
+
+@query("op1_permutation_index")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(scan_named(spark, "embeddings", sf_dir), F.col("vec_id") % 20 == 0)
