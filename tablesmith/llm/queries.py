@@ -15,6 +15,7 @@ from .license_scan import license_scan
 from .near_dedup import near_dedup
 from .packing import pack
 from .token_files import token_counts
+from .tool_calls import TOOLS, calls_of, link
 from .url_filter import filter_urls
 from .vector_search import search
 
@@ -98,3 +99,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_permutation_index")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(scan_named(spark, "embeddings", sf_dir), F.col("vec_id") % 20 == 0)
+
+
+@query("op8_tool_calls")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(*calls_of(scan_named(spark, "conversations", sf_dir)), TOOLS)
