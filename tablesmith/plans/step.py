@@ -105,10 +105,33 @@ def left_lookup(df: DataFrame, table: DataFrame, column: str, table_key: str) ->
     return df.join(table.withColumnRenamed(table_key, "_lk"), col(column) == F.col("_lk"), "left").drop("_lk")
 
 
+def _names(value) -> set[str]:
+    """All strings in a parameter, lists and mappings included: any of them may name a column."""
+    if isinstance(value, str):
+        return {value}
+    if isinstance(value, dict):
+        return set().union(*map(_names, [*value, *value.values()])) if value else set()
+    return set().union(*map(_names, value)) if isinstance(value, (list, tuple, set)) else set()
+
+
+def _columns(step: Step) -> set[str]:
+    return {*step.columns, *step.order_by, *step.partition_by, *([step.key] if step.key else [])}
+
+
 def _touched(step: Step) -> set[str]:
-    return {*step.columns, *step.order_by, *step.partition_by, *([step.key] if step.key else [])} | {
-        v for k, v in step.params.items() if k.endswith("column") and isinstance(v, str)
-    }
+    """Columns that a step may read or write, from its fields and its parameters."""
+    return _columns(step) | _names(step.params)
+
+
+def _fuses(batch: list[Step], written: set[str], step: Step, columns: list[str]) -> bool:
+    """Whether a step can be fitted in the same job as the steps before it, as if they had been applied first."""
+    last = method_of(batch[-1])
+    own = method_of(step)
+    if last.changes_rows or not batch[-1].columns or not step.columns:
+        return False  # rows change, or a step without columns reads whatever there is
+    if own.fit and not own.aggs and not own.quantiles:
+        return False  # it runs jobs of its own, over columns that it need not name
+    return not _touched(step) & written and _columns(step) <= set(columns)
 
 
 def _fit_batch(df: DataFrame, steps: list[Step]) -> list[Fitted]:
@@ -269,10 +292,9 @@ class Workflow:
             return out
 
         for s in self.expanded():
-            if batch and (_touched(s) & written or method_of(batch[-1]).changes_rows or not _touched(s) <= set(df.columns)):
+            if batch and not _fuses(batch, written, s, df.columns):
                 df = flush(df)
             batch.append(s)
             written |= _touched(s)
-        return_df = flush(df)
-        del return_df
+        flush(df)
         return FittedWorkflow(done, fitted, skipped)
