@@ -76,33 +76,29 @@ def model_candidates(df: DataFrame, features: list[str], target: str) -> DataFra
     rows = df.count()
     n = len(features)
     text = any(column_class(type_of(df, c)) == "categorical" for c in df.columns)
-    slow_kernel, no_note = rows > KERNEL_ROWS, None
-    shared = [
-        ("knn", False, not slow_kernel, "slow for large data" if slow_kernel else no_note),
-        ("decision_tree", False, True, "prone to overfitting" if rows < TREE_ROWS else no_note),
-        ("random_forest", True, True, "slow to train" if rows > FOREST_ROWS else no_note),
-        ("gradient_boosting", True, True, "slow to train" if rows > BOOSTING_ROWS else no_note),
-        ("xgboost", False, True, "slow to train" if rows > FOREST_ROWS else no_note),
-    ]
-    kernel_note = "slow for large data" if slow_kernel else no_note
+    others = len(df.columns) - 1
+    resample, k = False, None
     if problem == "classification":
         counts = df.filter(col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
         top, total, k = counts.agg(F.max("n"), F.sum("n"), F.count(F.lit(1))).first()
         resample = bool(total and top / total > IMBALANCED_SHARE)
-        table = [
-            ("logistic_regression", k == 2, True, no_note),
-            ("svm", rows < KERNEL_ROWS, not slow_kernel, kernel_note),
-            ("naive_bayes", False, True, "works best with independent features" if n > MANY_FEATURES else no_note),
-            *shared,
-        ]
-    else:
-        resample = False
-        others = len(df.columns) - 1
-        table = [
-            ("linear_regression", others < LINEAR_FEATURES and not text, True, "assumes linear relationship" if n > MANY_FEATURES else no_note),
-            ("svr", rows < KERNEL_ROWS, not slow_kernel, kernel_note),
-            *shared,
-        ]
+    # model: (recommended, suitable, code, whether the code holds)
+    over = {limit: rows > limit for limit in (KERNEL_ROWS, BOOSTING_ROWS, FOREST_ROWS)}
+    small, wide = rows < TREE_ROWS, n > MANY_FEATURES
+    rules = {
+        "logistic_regression": (k == 2, True, None, False),
+        "linear_regression": (others < LINEAR_FEATURES and not text, True, "many_features", wide),
+        "naive_bayes": (False, True, "many_features", wide),
+        "svm": (rows < KERNEL_ROWS, not over[KERNEL_ROWS], "many_rows", over[KERNEL_ROWS]),
+        "svr": (rows < KERNEL_ROWS, not over[KERNEL_ROWS], "many_rows", over[KERNEL_ROWS]),
+        "decision_tree": (False, True, "few_rows", small),
+        "knn": (False, not over[KERNEL_ROWS], "many_rows", over[KERNEL_ROWS]),
+        "gradient_boosting": (True, True, "many_rows", over[BOOSTING_ROWS]),
+        "random_forest": (True, True, "many_rows", over[FOREST_ROWS]),
+        "xgboost": (False, True, "many_rows", over[FOREST_ROWS]),
+    }
+    left_out = {"linear_regression", "svr"} if problem == "classification" else {"logistic_regression", "naive_bayes", "svm"}
+    table = [(m, rec, ok, code if holds else None) for m, (rec, ok, code, holds) in rules.items() if m not in left_out]
     return spark.createDataFrame(
         [(problem, *row, resample) for row in table],
         "problem string, model string, recommended boolean, suitable boolean, warning string, resample boolean",

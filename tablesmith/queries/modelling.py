@@ -89,13 +89,13 @@ def _assemble(spark, sf):
 def _candidate_sql() -> str:
     rows = [
         ("logistic_regression", "k = 2", "true", "NULL"),
-        ("svm", "n < 10000", "n <= 10000", "CASE WHEN n > 10000 THEN 'slow for large data' END"),
+        ("svm", "n < 10000", "n <= 10000", "CASE WHEN n > 10000 THEN 'many_rows' END"),
         ("naive_bayes", "false", "true", "NULL"),
-        ("knn", "false", "n <= 10000", "CASE WHEN n > 10000 THEN 'slow for large data' END"),
-        ("decision_tree", "false", "true", "CASE WHEN n < 100 THEN 'prone to overfitting' END"),
-        ("random_forest", "true", "true", "CASE WHEN n > 100000 THEN 'slow to train' END"),
-        ("gradient_boosting", "true", "true", "CASE WHEN n > 50000 THEN 'slow to train' END"),
-        ("xgboost", "false", "true", "CASE WHEN n > 100000 THEN 'slow to train' END"),
+        ("knn", "false", "n <= 10000", "CASE WHEN n > 10000 THEN 'many_rows' END"),
+        ("decision_tree", "false", "true", "CASE WHEN n < 100 THEN 'few_rows' END"),
+        ("random_forest", "true", "true", "CASE WHEN n > 100000 THEN 'many_rows' END"),
+        ("gradient_boosting", "true", "true", "CASE WHEN n > 50000 THEN 'many_rows' END"),
+        ("xgboost", "false", "true", "CASE WHEN n > 100000 THEN 'many_rows' END"),
     ]
     profile = "(SELECT sum(c) AS n, count(*) AS k, max(c) AS top FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_returnflag))"
     return union(
