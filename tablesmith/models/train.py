@@ -192,7 +192,8 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], target:
         best = votes.groupBy(col(key).alias("_k")).agg(F.min_by(target, F.struct(-F.col("_v"), col(target))).alias("prediction"))
     else:
         best = near.groupBy(col(key).alias("_k")).agg((F.sum(col(target) * F.col("_w")) / F.sum("_w")).alias("prediction"))
-    return test.join(best, col(key) == F.col("_k")).select(key, col(target).alias("label"), "prediction")
+    # rows without neighbours (a missing feature) stay, without a prediction
+    return test.join(best, col(key) == F.col("_k"), "left").select(key, col(target).alias("label"), "prediction")
 
 
 def fit_predict(model: str, problem: str, train: DataFrame, test: DataFrame, classes: int = 2, **params) -> DataFrame:
@@ -273,19 +274,24 @@ def _classes(data: DataFrame, problem: str) -> int:
     return int(data.agg(F.max("label")).first()[0]) + 1 if problem == "classification" else 0
 
 
-# Search grids per model. Values without a Spark parameter are left out (solver, minimum
-# rows to split, kernel, gamma, neighbour algorithm).
+# Search grids per model, in Spark's names. Spark has no parameter for solver, minimum rows to split, kernel,
+# gamma and neighbour algorithm, and its Gaussian naive Bayes has none at all; depth 30 is its deepest tree.
 GRIDS: dict[str, dict[str, list[Any]]] = {
-    "logistic_regression": {"C": [0.01, 0.1, 1, 10, 100], "elasticNetParam": [0.0, 0.5, 1.0]},
-    "decision_tree": {"maxDepth": [30, 5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4]},
+    "logistic_regression": {"C": [0.01, 0.1, 1, 10, 100], "penalty": ["l1", "l2", "elasticnet", "none"]},
+    "decision_tree": {"maxDepth": [30, 5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4], "impurity": ["gini", "entropy"]},
     "random_forest": {"numTrees": [50, 100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2, 4]},
     "svm": {"C": [0.1, 1, 10, 100]},
-    "svr": {"C": [0.1, 1, 10, 100], "epsilon": [0.01, 0.1, 0.2]},
-    "naive_bayes": {"smoothing": [1e-9, 1e-8, 1e-7]},
-    "gradient_boosting": {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7], "subsamplingRate": [0.8, 1.0]},
-    "xgboost": {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7], "subsamplingRate": [0.7, 0.8, 1.0]},
+    "svr": {"C": [0.1, 1, 10, 100], "epsilon": [0.1, 0.2, 0.5]},
+    "naive_bayes": {},
+    "gradient_boosting": {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7], "subsamplingRate": [0.7, 0.8, 0.9, 1.0]},
+    "xgboost": {
+        "maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7], "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
+        "featureSubsetStrategy": ["0.7", "0.8", "0.9", "1.0"],
+    },
     "linear_regression": {"fitIntercept": [True, False], "standardization": [True, False]},
-}
+}
+
+PENALTIES = {"l1": 1.0, "l2": 0.0, "elasticnet": 0.5}
 
 
 def spark_params(model: str, point: dict[str, Any], rows: int) -> dict[str, Any]:
@@ -293,6 +299,11 @@ def spark_params(model: str, point: dict[str, Any], rows: int) -> dict[str, Any]
     out = dict(point)
     if "C" in out and model != "svr":
         out["regParam"] = 1.0 / (out.pop("C") * max(rows, 1))
+    penalty = out.pop("penalty", None)
+    if penalty == "none":
+        out["regParam"] = 0.0
+    elif penalty:
+        out["elasticNetParam"] = PENALTIES[penalty]
     return out
 
 
@@ -300,8 +311,9 @@ def grid_search(
     df: DataFrame, features: list[str], target: str, key: str, model: str, grid: dict[str, list[Any]] | None = None, cv: int = 3, top: int = 10
 ) -> DataFrame:
     """``(rank, params, mean_score, std_score)`` best first; the full grid unless one is given."""
-    grid = grid or GRIDS[model]
     problem = problem_type(df, target)
+    if grid is None:  # regression trees have one impurity only
+        grid = {k: v for k, v in GRIDS[model].items() if problem == "classification" or k != "impurity"}
     data = spread(with_fold(assemble(df, features, target, key), key, cv))
     try:
         rows, classes = data.count(), _classes(data, problem)

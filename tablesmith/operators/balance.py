@@ -85,7 +85,8 @@ def smote(
     counts = {r["cls"]: r["n"] for r in class_counts(data, target).collect()}
     largest = max(counts.values())
     minority = {c: n for c, n in counts.items() if n < largest}
-    original = data.select(key, *[col(f).cast("double").alias(f) for f in feats], target, F.lit(False).alias("synthetic"))
+    # every row stays, those with a missing feature or class too; they only take no part in the new points
+    original = df.select(col(key).cast("long").alias(key), *[col(f).cast("double").alias(f) for f in feats], target, F.lit(False).alias("synthetic"))
     if not minority:
         return original
     small = data.filter(col(target).isin(list(minority)))
@@ -111,7 +112,8 @@ def adasyn(
     counts = {r["cls"]: r["n"] for r in class_counts(data, target).collect()}
     largest = max(counts.values())
     minority = {c: n for c, n in counts.items() if n < largest}
-    original = data.select(key, *[col(f).cast("double").alias(f) for f in feats], target, F.lit(False).alias("synthetic"))
+    # every row stays, those with a missing feature or class too; they only take no part in the new points
+    original = df.select(col(key).cast("long").alias(key), *[col(f).cast("double").alias(f) for f in feats], target, F.lit(False).alias("synthetic"))
     if not minority:
         return original
     small = data.filter(col(target).isin(list(minority)))

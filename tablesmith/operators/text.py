@@ -186,20 +186,23 @@ def _tfidf_apply(df, s, f):
 register("text_processing", "tfidf", fit=_tfidf_fit, apply=_tfidf_apply)
 
 
-def word_embeddings(df: DataFrame, column: str, size: int = 32, min_count: int = 5, seed: int = 42) -> DataFrame:
+def word_embeddings(df: DataFrame, column: str, size: int = 32, min_count: int = 5, seed: int = 42, epochs: int = 5) -> DataFrame:
     """Adds ``{column}_embedding``: the mean of trained word vectors of each text."""
     words = df.withColumn("_w", F.coalesce(tokens(F.lower(col(column).cast("string"))), F.array().cast("array<string>")))
-    model = Word2Vec(vectorSize=size, minCount=min_count, maxIter=1, numPartitions=_parts(df), seed=seed, inputCol="_w", outputCol="_v").fit(words)
+    model = Word2Vec(vectorSize=size, minCount=min_count, maxIter=epochs, numPartitions=_parts(df), seed=seed, inputCol="_w", outputCol="_v").fit(words)
     return model.transform(words).withColumn(f"{column}_embedding", vector_to_array("_v")).drop("_w", "_v")
 
 
+ROWS_PER_COPY = 20_000
+
+
 def _parts(df: DataFrame) -> int:
-    """Training partitions as the cluster offers them (each trains a copy that is then averaged)."""
-    return max(1, min(16, df.sparkSession.sparkContext.defaultParallelism // 2))
+    """Training partitions by the number of texts, whatever the cluster (each trains a copy that is then averaged)."""
+    return df.count() // ROWS_PER_COPY + 1
 
 
 register(
     "text_processing",
     "word_embeddings",
-    apply=lambda df, s, f: word_embeddings(df, s.column, int(s.params.get("size", 32))),
+    apply=lambda df, s, f: word_embeddings(df, s.column, int(s.params.get("size", 32)), epochs=int(s.params.get("epochs", 5))),
 )
