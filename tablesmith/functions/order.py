@@ -20,8 +20,7 @@ from pyspark.sql import types as T
 from .schema import NUMERIC, col, type_of
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 4096
-SKETCH_K = 800
+SKETCH_K, SKETCH_K_LIMIT = 800, 65_535  # the latter is the sketch's own limit
 MERGE_GROUPS = 64
 RANGE = "_range"
 
@@ -121,16 +120,19 @@ class Ranges:
         names = list(dict.fromkeys(c for o in orders for c in o[:2]))
         skip = {c: common_prefix(df, c) for c in names if isinstance(type_of(df, c), T.StringType)}
         usable = {c: p for c in names if (p := as_position(df, c, skip.get(c, 0))) is not None}
-        ranks = [i / 512 for i in range(1, 512)] if rows_per_range >= 10_000 else [i / 32 for i in range(1, 32)]
-        _, found = sketch_quantiles(df, usable, ranks)
         size = {o[0]: rows for o in orders}
         if distinct:
             # 1.3: far outside the error of the distinct sketch
             row = df.agg(*[F.approx_count_distinct(col(c)) for c in size]).first()
             size = {c: min(rows, int(1.3 * n)) for c, n in zip(size, row)}
+        # at least two ranks for each range wanted, and a sketch that can tell them apart
+        most = -(-max(size.values()) // rows_per_range)
+        steps = max(512 if rows_per_range >= 10_000 else 32, 2 * most)
+        ranks = [i / steps for i in range(1, steps)]
+        _, found = sketch_quantiles(df, usable, ranks, min(SKETCH_K_LIMIT, max(SKETCH_K, 4 * most)))
         out = []
         for o in orders:
-            wanted = min(MAX_RANGES, -(-size[o[0]] // rows_per_range))
+            wanted = -(-size[o[0]] // rows_per_range)
             edges: dict[str, tuple[float, ...]] = {}
             for c in o[:2]:
                 if c in found:
@@ -154,7 +156,7 @@ class Ranges:
         if rest and first == self.order_by[0]:
             out = self._locate(out, rest[0], "_r2")
             second = F.when(F.col("_r1") % 2 == 1, F.col("_r2")).otherwise(F.lit(0).cast("long"))
-        out = out.withColumn(RANGE, F.col("_r1") * F.lit(4 * MAX_RANGES) + second)
+        out = out.withColumn(RANGE, F.col("_r1") * F.lit(1 << 32) + second)
         return out.drop("_r1", "_r2")
 
     def _locate(self, df: DataFrame, column: str, out: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,11 +175,16 @@ def datetime_candidates(df: DataFrame) -> DataFrame:
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """``(column, unique_count)`` without NULLs; exact unless asked otherwise."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
     keys = [distinct_key(col(c), column_class(type_of(df, c)) == "categorical") for c in columns]
-    one = df.agg(*[count(k).alias(f"u{i}") for i, k in enumerate(keys)])
-    items = [F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("unique_count")) for i, c in enumerate(columns)]
-    return long_form(one, items, "column string, unique_count bigint")
+    if approximate:
+        one = df.agg(*[F.approx_count_distinct(k).alias(f"u{i}") for i, k in enumerate(keys)])
+        items = [F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("unique_count")) for i, c in enumerate(columns)]
+        return long_form(one, items, "column string, unique_count bigint")
+    # one aggregate per column, side by side in one job: several exact counts in one aggregate would repeat every row per column
+    parts = [df.agg(F.count_distinct(k).alias("unique_count")).select(F.lit(c).alias("column"), "unique_count") for c, k in zip(columns, keys)]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, unique_count bigint")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def target_candidates(df: DataFrame, max_classes: int = 10) -> DataFrame:
