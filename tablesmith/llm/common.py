@@ -15,15 +15,16 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread
 
     ``spread`` gives each row of the left table an integer hash that differs between rows of one key. Every key is cut
     into ``salts`` parts: the parts that occur are looked up once each (at most ``salts`` rows per key), and
-    the rows meet their part. Null keys match null keys. The left table is read twice, so it should be cheap to read.
+    the rows meet their part. Null keys match null keys. The left table is read twice, so it should be cheap to read. Both joins
+    are merge joins: rounds of look-ups would otherwise build many broadcast tables on the driver.
     """
     salt = F.pmod(spread, F.lit(salts)).cast("int")
     cut = left.withColumn("_salt", salt)
     parts = cut.select(*keys, "_salt").distinct().alias("p")
-    r = right.alias("r")
+    r = right.hint("merge").alias("r")
     same = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     found = parts.join(r, _all(same), "inner").select("p.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
-    l, f = cut.alias("l"), found.alias("f")
+    l, f = cut.alias("l"), found.hint("merge").alias("f")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"f.{k}")) for k in [*keys, "_salt"]]
     values = [F.col(f"f.{c}") for c in right.columns if c not in keys]
     return l.join(f, _all(same), "left").select(*[F.col(f"l.{c}") for c in left.columns], *values)
@@ -57,3 +58,15 @@ def keep_rows(docs: DataFrame, kept: DataFrame, once: bool = False) -> DataFrame
 
 def text_hash(text: Column) -> Column:
     return F.xxhash64(text, F.octet_length(text))
+
+
+def hash_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The at most n distinct values of the columns with the smallest hash.
+
+    Rows are counted first and most are dropped by a bound on the hash, so no task meets n rows of every other task.
+    """
+    h = F.xxhash64(*columns)
+    total = df.count()
+    bound = -(1 << 63) + int(2.0**64 * min(1.0, (4 * n + 100) / max(total, 1)))
+    rows = df.select(*columns).where(h < bound) if bound < 1 << 63 else df.select(*columns)
+    return rows.distinct().orderBy(h, *columns).limit(n)

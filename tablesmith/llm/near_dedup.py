@@ -146,7 +146,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             b["d"] = (_sigs(b.pop("sa")) != _sigs(b.pop("sb"))).sum(1)
             yield b[b["d"] <= DISTANCE]
 
-    sig = nodes.select("node", "sig")
+    sig = nodes.select("node", "sig").hint("merge")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return both.mapInPandas(run, "a binary, b binary, d int")
 
@@ -168,7 +168,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    both = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
     both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
     return cut_lineage(both.where(100 * F.col("same") >= 75 * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b"))
 
@@ -201,7 +201,7 @@ def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def remaining_pairs(live: DataFrame, roots: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Distinct pairs of one key, in different components and within the signature distance."""
-    own = live.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = live.select("key", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = cut_lineage(own)
     sizes = own.groupBy("key", "root").count()
     keys = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("n"), F.count("root").alias("roots"))
@@ -213,7 +213,7 @@ def remaining_pairs(live: DataFrame, roots: DataFrame, nodes: DataFrame, block:
     rows = rows.select("key", "node", "root", "at", F.explode(F.sequence(F.lit(0).cast("long"), met - 1)).alias("o"))
     side = F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1)
     rows = rows.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "node", "root", side.alias("side"))
-    rows = rows.join(nodes.select("node", "sig"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.join(nodes.select("node", "sig").hint("merge"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.select("key", "i", "j", "node", "root", "side", "sig").mapInPandas(_cross_pairs, "a binary, b binary").distinct()
 
 
@@ -227,15 +227,19 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     chain = cut_lineage(near_pairs(chain, nodes))
     ends = chain.select("a", "b", "d", F.explode(F.array("a", "b")).alias("end"))
     nearest = ends.withColumn("r", F.row_number().over(Window.partitionBy("end").orderBy("d", "a", "b"))).where(F.col("r") <= NEAREST).select("a", "b").distinct()
-    sets = full_sets(docs, nodes.join(live.select("node").distinct(), "node", "left_semi"))
+    sets = full_sets(docs, nodes.join(live.select("node").distinct().hint("merge"), "node", "left_semi"))
     nearest = cut_lineage(nearest)
     links = confirmed(nearest, sets)
     roots = cut_lineage(components(links))
-    rest = remaining_pairs(live, roots, nodes).join(nearest, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(rest, sets))
-    roots = cut_lineage(components(links))
-    named = nodes.select("node", F.col("rep.doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = remaining_pairs(live, roots, nodes).join(nearest.hint("merge"), ["a", "b"], "left_anti")
+    more = confirmed(rest, sets)
+    named = nodes.select("node", F.col("rep.doc_id").alias("least")).join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut_lineage(named)
+    if more.head(1):  # links between components: the roots are the nodes now
+        root = named.select("node", "root").hint("merge")
+        ends = more.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        top = components(ends).toDF("root", "top")
+        named = cut_lineage(salted_lookup(named, top, ["root"], F.xxhash64("node")).select("node", "least", F.coalesce("top", "root").alias("root")))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut_lineage(salted_lookup(named, ids, ["root"], F.xxhash64("node")).select("node", "component_id"))
     out = salted_lookup(rows.select("uid", "doc_id", "raw", "n_shingles", "node"), named, ["node"], F.xxhash64("uid"))
