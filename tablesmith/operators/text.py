@@ -16,7 +16,6 @@ from ..plans.step import Fitted, register, small_or_cut
 WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 # Fixed value: a vocabulary word is two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
-SMALL_LEXICON = 200_000
 
 
 def tokens(c: Column) -> Column:
@@ -76,34 +75,24 @@ def _stemming(df, s, f):
 register("text_processing", "stemming", apply=_stemming)
 
 
-def lemmatize(df: DataFrame, column: str, key: str, lemmas: DataFrame, small: int = SMALL_LEXICON) -> DataFrame:
+def lemmatize(df: DataFrame, column: str, key: str, lemmas: DataFrame) -> DataFrame:
     """Adds ``{column}_lemmatized``: each word replaced by its lemma from the ``(word, lemma)`` table.
 
-    A lexicon of known small size goes to the tasks as one broadcast map and texts stay where
-    they are. A larger one is joined to the distinct words of each text.
+    The lexicon is joined to the distinct words of each text, by broadcast only up to a checked size. ``key`` names the rows.
     """
-    lexicon = lemmas.groupBy("word").agg(F.min("lemma").alias("lemma"))
-    rows = lexicon.limit(small + 1).collect()
-    out = f"{column}_lemmatized"
-    if len(rows) <= small:
-        mapping = df.sparkSession.sparkContext.broadcast({r["word"]: r["lemma"] for r in rows})
-
-        @F.pandas_udf("string")
-        def replaced(texts: pd.Series) -> pd.Series:
-            m = mapping.value
-            return texts.map(lambda t: None if t is None else " ".join([m.get(w, w) for w in t.lower().split()]))
-
-        return df.withColumn(out, replaced(col(column).cast("string")))
+    if not key:
+        raise ValueError("lemmatization needs a key column")
+    lexicon = small_or_cut(lemmas.groupBy("word").agg(F.min("lemma").alias("lemma")))
     words = tokens(F.lower(col(column).cast("string")))
     hits = (
         df.select(col(key).alias("_k"), F.explode(F.array_distinct(words)).alias("word"))
         .join(lexicon, "word")
         .groupBy("_k")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_map"))
+        .agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "lemma")))).alias("_map"))
     )
     joined = df.join(hits, col(key) == F.col("_k"), "left")
     text = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at("_map", w), w)), " ")
-    return joined.withColumn(out, text).drop("_k", "_map")
+    return joined.withColumn(f"{column}_lemmatized", text).drop("_k", "_map")
 
 
 def _lemma_fit(df, s, found):

@@ -154,11 +154,24 @@ def test_dedup_keeps_nulls_equal(spark):
     assert apply_step(df, Step("remove_duplicates", method="all_columns")).count() == 2
 
 
-def test_lemmatize_both_ways(spark):
+def test_lemmatize(spark, monkeypatch):
     df = spark.createDataFrame([(1, "Two  feet and feet"), (2, None), (3, "")], "id long, t string")
     words = spark.createDataFrame([("feet", "foot")], "word string, lemma string")
-    for small in (10, 0):
-        assert col(lemmatize(df, "t", "id", words, small), "t_lemmatized") == ["two foot and foot", None, ""], small
+    for rows in (10_000, 0):  # broadcast and shuffle
+        monkeypatch.setattr("tablesmith.session.SMALL_TABLE_ROWS", rows)
+        assert col(lemmatize(df, "t", "id", words), "t_lemmatized") == ["two foot and foot", None, ""]
+    with pytest.raises(ValueError):
+        lemmatize(df, "t", "", words)
+
+
+def test_streams_refuse_steps_that_compare_rows(spark):
+    from tablesmith.streaming import transform_stream
+
+    df = spark.createDataFrame([(1, 1.0), (2, None)], "id long, x double")
+    fitted = Workflow([Step("impute_missing", ["x"], "mean")]).fit(df)
+    assert col(transform_stream(df, fitted), "x") == [1.0, 1.0]
+    with pytest.raises(ValueError):
+        transform_stream(df, FittedWorkflow([Step("impute_missing", ["x"], "knn", key="id")], fitted.fitted))
 
 
 # ---- workflows
