@@ -36,14 +36,15 @@ WORDS = 5
 CHUNKS, CHUNK, ERRORS = 17, 4, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 NEAREST = 3
-BLOCK = 1024
+BLOCK, SET_BLOCK = 1024, 2048
 MAX_WORDS = 500_000
 _rng = np.random.default_rng(20)
 _STEP = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _rng.integers(0, 1 << 63, CHUNKS * CHUNK, dtype=np.uint64) * np.uint64(2)
 _TURN = _rng.integers(1, 1 << 63, CHUNKS * CHUNK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-# chunk positions that make up each key
+# positions that make up each key
 KEYS = [[c * CHUNK + p for p in kept] for c in range(CHUNKS) for kept in combinations(range(CHUNK), CHUNK - ERRORS)]
+_PLACES = np.array(KEYS)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -166,15 +167,29 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut_lineage(sets.dropDuplicates(["node"]))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
-    both = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
-    both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
-    return cut_lineage(both.where(100 * F.col("same") >= 75 * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b"))
+def confirmed(pairs: DataFrame, sets: DataFrame, block: int = SET_BLOCK) -> DataFrame:
+    """The pairs whose full sets reach the similarity.
+
+    Nodes are dealt to blocks and pairs to tiles of two blocks, and a tile gets each of its nodes' sets once: many pairs among few
+    nodes cost few copies of a set, and no tile holds more than two blocks of them.
+    """
+    parts = F.lit(sets.count() // block + 1)
+    tiled = cut_lineage(pairs.select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("i"), F.pmod(F.xxhash64("b"), parts).alias("j")))
+    asked = tiled.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    given = asked.join(sets.hint("merge"), "node").select(F.col("i").alias("gi"), F.col("j").alias("gj"), "node", "shingles")
+
+    def compare(pairs: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(given["node"], given["shingles"]))
+        size = np.array([(len(own[a]), len(own[b])) for a, b in zip(pairs["a"], pairs["b"])]).reshape(-1, 2)
+        same = np.array([len(np.intersect1d(own[a], own[b], assume_unique=True)) for a, b in zip(pairs["a"], pairs["b"])])
+        return pairs.loc[100 * same >= 75 * (size.sum(1) - same), ["a", "b"]]
+
+    found = tiled.groupBy("i", "j").cogroup(given.groupBy("gi", "gj")).applyInPandas(compare, "a binary, b binary")
+    return cut_lineage(found)
 
 
 def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs across components and within the distance, tile by tile; rows come sorted by tile."""
+    """Pairs across components and within the distance, tile by tile, each once; rows come sorted by tile."""
 
     def tile(t: pd.DataFrame):
         sig, root, node, kind = _sigs(t["sig"]), t["root"].to_numpy(), t["node"].to_numpy(), t["side"].to_numpy()
@@ -182,8 +197,11 @@ def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i in np.flatnonzero(kind != 1):  # rows of the first block against the second, or against later rows of their own
             with_ = np.flatnonzero((kind == 1) | ((kind == 2) & (np.arange(len(kind)) > i))) if kind[i] == 2 else np.flatnonzero(kind == 1)
             with_ = with_[root[with_] != root[i]]
-            near = with_[(sig[with_] != sig[i]).sum(1) <= DISTANCE]
-            for j in near:
+            equal = sig[with_] == sig[i]
+            near = equal.sum(1) >= equal.shape[1] - DISTANCE
+            # a pair shares several keys: only the first one tells
+            first = equal[near][:, _PLACES].all(2).argmax(1) == t["key"].iloc[0] >> 48
+            for j in with_[near][first]:
                 yield min(node[i], node[j]), max(node[i], node[j])
 
     held = None
@@ -200,7 +218,7 @@ def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def remaining_pairs(live: DataFrame, roots: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs of one key, in different components and within the signature distance."""
+    """Pairs of one key, each once, in different components and within the signature distance."""
     own = live.select("key", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = cut_lineage(own)
     sizes = own.groupBy("key", "root").count()
@@ -214,7 +232,7 @@ def remaining_pairs(live: DataFrame, roots: DataFrame, nodes: DataFrame, block:
     side = F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1)
     rows = rows.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "node", "root", side.alias("side"))
     rows = rows.join(nodes.select("node", "sig").hint("merge"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.select("key", "i", "j", "node", "root", "side", "sig").mapInPandas(_cross_pairs, "a binary, b binary").distinct()
+    return rows.select("key", "i", "j", "node", "root", "side", "sig").mapInPandas(_cross_pairs, "a binary, b binary")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
