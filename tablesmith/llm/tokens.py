@@ -17,7 +17,7 @@ MAX_WORDS = 400_000
 # Fixed value: how the tokenizer splits a word of Latin letters, digits and ASCII signs.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+"
 # Fixed value: letters without a decomposed form in use, and printable ASCII.
-PLAIN = r"[!-~À-ÖØ-öø-ſ]+"
+PLAIN = r"[ -~À-ÖØ-öø-ſ]+"
 
 
 def default_path() -> str:
@@ -33,36 +33,50 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
+        self.model = self.tokenizer.model
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[bytes, bytes] = {}
+        self.seen: dict[str, bytes] = {}  # the parts of words: their letters without case and signs
         self.plain, self.pieces = re.compile(PLAIN).fullmatch, re.compile(PIECES).findall
         # byte-level models spell each byte as one character; printable ASCII and Latin-1 signs stand for themselves
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
         self.spelt = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.plain(text):
-            pieces = self.pieces(text.lower())
-            if not text.isascii():
-                pieces = [p.encode().decode("latin-1").translate(self.spelt) for p in pieces]
-        else:
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spelt)
+        packed = self.packed
+        out = self.seen[piece] = b"".join([packed[t.id] for t in self.model.tokenize(spelt)])
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, seen = self.words, self.seen
+        text = b" ".join(words).decode()
+        if not self.plain(text):
+            if len(words) > 1:
+                for w in words:
+                    self._learn([w])
+                return
             normal = self.tokenizer.normalizer.normalize_str(text)
-            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-        model = self.tokenizer.model.tokenize
-        return b"".join(t.id.to_bytes(4, "little") for p in pieces for t in model(p))
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+            known[words[0]] = b"".join([self.packed[t.id] for p, _ in pieces for t in self.model.tokenize(p)])
+            return
+        for word, low in zip(words, text.lower().split(" ")):
+            pieces = (low,) if low.isalpha() else self.pieces(low)
+            known[word] = b"".join([seen[p] if p in seen else self._piece(p) for p in pieces])
 
     def ids(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8", "replace").split()
         known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
+        new = set(words).difference(known)
+        if new:
             if len(known) > MAX_WORDS:
                 known.clear()
-            for w in set(words).difference(known):
-                known[w] = self._word(w)
-            return b"".join(map(known.__getitem__, words))
+                new = set(words)
+            if len(self.seen) > MAX_WORDS:
+                self.seen.clear()
+            self._learn(list(new))
+        return b"".join(map(known.__getitem__, words))
 
 
 def word_ids(path: str | None = None) -> WordIds:
