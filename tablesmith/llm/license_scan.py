@@ -2,7 +2,7 @@
 
 A multinomial logistic regression with an L1 penalty tells licence families from ordinary paragraphs by word uni- and bigrams. It is
 trained on wordings of each family (below), each also cut into overlapping excerpts, against a bounded sample of the corpus's
-own paragraphs (``sample_rows`` with the smallest hash, the documented bound; those that resemble a wording are left out). Of a
+own paragraphs (``sample_rows`` with the smallest hash out of ``sample_rows / 4`` documents, the documented bound; those that resemble a wording are left out). Of a
 fifth of the training rows, set aside, a temperature is fitted, and the unknown class is calibrated: a paragraph whose best family stays below
 ``threshold`` (the 1 % quantile of the set-aside licence rows' chances, at least 0.5) is ``unknown``. A prediction is confirmed by
 comparing the paragraph with the family's wordings: the share of a wording's words that the paragraph holds must reach
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import only
+from .common import hash_sample, only
 
 ORDINARY, UNKNOWN = "none", "unknown"
 SAMPLE_ROWS = 3000
@@ -107,7 +107,8 @@ def _training(spark: SparkSession, docs: DataFrame, sample_rows: int) -> tuple[D
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - EXCERPT, F.lit(1)), F.lit(3)), lambda i: F.slice("words", i, EXCERPT))
     licences = notices.select("family", F.explode(F.concat(F.array("words", "words", "words"), cut)).alias("words"))
     line = F.explode(F.split("text", "\n"))
-    lines = only(docs, text="text").select(line.alias("text")).where("text <> ''").orderBy(F.xxhash64("text"), "text").limit(sample_rows)
+    some = hash_sample(only(docs, text="text").where("text IS NOT NULL"), sample_rows // 4, "text")
+    lines = hash_sample(cut_lineage(some.select(line.alias("text")).where("text <> ''")), sample_rows, "text")
     telling = [w for ws in WORDINGS.values() for text in ws for w in text.lower().replace(",", " ").replace(".", " ").split() if w.startswith(("licen", "redistribut", "copyright", "spdx"))]
     plain = lines.select(F.lit(ORDINARY).alias("family"), words_of(F.col("text")).alias("words")).where(~F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(set(telling))])))
     # single words speak for no licence, whatever the corpus holds
