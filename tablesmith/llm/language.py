@@ -84,9 +84,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    """At most ``per_language`` rows of each language, by hash; every task drops the others before the shuffle."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
-    return labelled.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language).drop("_n")
+    """At most ``per_language`` rows of each language, by hash.
+
+    Rows are counted by language first (the languages are the classes of the model, so they are few) and most are dropped by a
+    bound on the hash, so no task meets rows from every other task.
+    """
+    totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, (4 * per_language + 100) / n))]) if totals else F.lit(None)
+    h = F.xxhash64("doc_id", "text")
+    some = labelled.where(h.cast("double") <= (share[F.col("lang")] * 2.0**64 - 2.0**63)) if totals else labelled
+    w = Window.partitionBy("lang").orderBy(h, "doc_id", "text")
+    return some.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language).drop("_n")
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
