@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import only
+from .common import hash_sample, only
 
 # The rules of the registered query.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -103,8 +103,8 @@ def with_rates(df: DataFrame, rates: DataFrame, mean: float) -> DataFrame:
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[GBTClassificationModel, DataFrame, float] | str:
     """Trees, suffix rates and block rate of a bounded sample; or the only verdict there is."""
-    order = F.xxhash64("url")
-    sample = cut_lineage(features(labelled.orderBy(order, "url").limit(sample_rows)).withColumn("label", (F.col("verdict") == "block").cast("double")))
+    sample = hash_sample(labelled, sample_rows, "url", "host", "path", "verdict")
+    sample = cut_lineage(features(sample).withColumn("label", (F.col("verdict") == "block").cast("double")))
     n, blocked = sample.agg(F.count("label"), F.sum("label")).first()
     if not n or blocked in (0, n):
         return "block" if n and blocked else "allow"
