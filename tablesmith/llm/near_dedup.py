@@ -1,10 +1,11 @@
 """Near duplicates: a multi-index Hamming join of b-bit MinHash signatures, confirmed on full shingle sets.
 
 A document's set holds its distinct five-word shingles (words lower-cased A-Z, split at ASCII white space), as 64-bit hashes. Equal sets are
-one node. A node's signature has ``CHUNKS * CHUNK`` positions of 16 bits, each from one MinHash. Pigeonhole: two signatures that differ at no
-more than ``DISTANCE = CHUNKS * (ERRORS + 1) - 1`` positions differ at ``ERRORS`` or fewer in some chunk. All ways to leave out ``ERRORS``
+one node. A node's signature has ``CHUNKS * CHUNK`` positions of 16 bits, each from one MinHash, and ``MORE`` that no key uses. Pigeonhole: two
+signatures that differ, among the former, at no more than ``DISTANCE = CHUNKS * (ERRORS + 1) - 1`` positions differ at ``ERRORS`` or fewer in some chunk. All ways to leave out ``ERRORS``
 positions of a chunk are enumerated and the rest is the key, so such a pair always shares a key: the join finds every pair
-within that distance. At similarity 0.75 a pair is farther apart with chance 1e-5 (34 or more of 68 positions), at 0.8 with 3e-8.
+within that distance. Of what shares a key, pairs that differ at more than ``FAR`` of all positions are dropped. At similarity 0.75 a pair is
+lost with chance 8e-6 (34 or more of 68 positions) or 3e-6 (59 or more of 136), at 0.8 with 3e-8 or less.
 
 Postings are sorted by range of (key, node), so a key of any size is spread over tasks, and keys of one node are dropped there.
 1. Neighbours in that order are candidates; each node's ``NEAREST`` nearest by signature are confirmed and contracted to components.
@@ -35,13 +36,15 @@ from .components import components
 WORDS = 5
 CHUNKS, CHUNK, ERRORS = 17, 4, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: positions beside those of the keys, and how many of all may differ in a pair that is looked at
+MORE, FAR = 68, 58
 NEAREST = 3
 BLOCK, SET_BLOCK = 1024, 2048
 MAX_WORDS = 500_000
 _rng = np.random.default_rng(20)
 _STEP = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _rng.integers(0, 1 << 63, CHUNKS * CHUNK, dtype=np.uint64) * np.uint64(2)
-_TURN = _rng.integers(1, 1 << 63, CHUNKS * CHUNK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _rng.integers(0, 1 << 63, CHUNKS * CHUNK + MORE, dtype=np.uint64) * np.uint64(2)
+_TURN = _rng.integers(1, 1 << 63, CHUNKS * CHUNK + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # positions that make up each key
 KEYS = [[c * CHUNK + p for p in kept] for c in range(CHUNKS) for kept in combinations(range(CHUNK), CHUNK - ERRORS)]
 _PLACES = np.array(KEYS)
@@ -145,7 +148,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["d"] = (_sigs(b.pop("sa")) != _sigs(b.pop("sb"))).sum(1)
-            yield b[b["d"] <= DISTANCE]
+            yield b[b["d"] <= FAR]
 
     sig = nodes.select("node", "sig").hint("merge")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
@@ -198,7 +201,7 @@ def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with_ = np.flatnonzero((kind == 1) | ((kind == 2) & (np.arange(len(kind)) > i))) if kind[i] == 2 else np.flatnonzero(kind == 1)
             with_ = with_[root[with_] != root[i]]
             equal = sig[with_] == sig[i]
-            near = equal.sum(1) >= equal.shape[1] - DISTANCE
+            near = equal.sum(1) >= equal.shape[1] - FAR
             # a pair shares several keys: only the first one tells
             first = equal[near][:, _PLACES].all(2).argmax(1) == t["key"].iloc[0] >> 48
             for j in with_[near][first]:
