@@ -5,7 +5,7 @@ one node. A node's signature has ``CHUNKS * CHUNK`` positions of 16 bits, each f
 signatures that differ, among the former, at no more than ``DISTANCE = CHUNKS * (ERRORS + 1) - 1`` positions differ at ``ERRORS`` or fewer in some chunk. All ways to leave out ``ERRORS``
 positions of a chunk are enumerated and the rest is the key, so such a pair always shares a key: the join finds every pair
 within that distance. Of what shares a key, pairs that differ at more than ``FAR`` of all positions are dropped. At similarity 0.75 a pair is
-lost with chance 8e-6 (34 or more of 68 positions) or 3e-6 (59 or more of 136), at 0.8 with 3e-8 or less.
+lost with chance 8e-6 (34 or more of 68 positions) or 2e-6 (59 or more of 136), at 0.8 with 3e-8 or less.
 
 Postings are sorted by range of (key, node), so a key of any size is spread over tasks, and keys of one node are dropped there.
 1. Neighbours in that order are candidates; each node's ``NEAREST`` nearest by signature are confirmed and contracted to components.
