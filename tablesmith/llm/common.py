@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SALTS = 64
 
 
@@ -61,12 +63,18 @@ def text_hash(text: Column) -> Column:
 
 
 def hash_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:
-    """The at most n distinct values of the columns with the smallest hash.
+    """The n distinct values of the columns with the smallest hash, all of them if there are fewer.
 
-    Rows are counted first and most are dropped by a bound on the hash, so no task meets n rows of every other task.
+    The distinct values are estimated first and most rows are dropped by a bound on the hash, so no task meets n rows of every other
+    task. Should fewer than n values lie below the bound, it is raised until n do or nothing is dropped. The sample is fixed in the
+    shared folder; the table is read twice, as a rule.
     """
     h = F.xxhash64(*columns)
-    total = df.count()
-    bound = -(1 << 63) + int(2.0**64 * min(1.0, (4 * n + 100) / max(total, 1)))
-    rows = df.select(*columns).where(h < bound) if bound < 1 << 63 else df.select(*columns)
-    return rows.distinct().orderBy(h, *columns).limit(n)
+    distinct = df.agg(F.approx_count_distinct(h, 0.02)).first()[0]
+    share = (4 * n + 100) / max(distinct, 1)
+    while True:
+        rows = df.select(*columns) if share >= 1 else df.select(*columns).where(h < -(1 << 63) + int(2.0**64 * share))
+        sample = cut_lineage(rows.distinct().orderBy(h, *columns).limit(n))
+        if share >= 1 or sample.count() >= n:
+            return sample
+        share *= 8

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from tablesmith.llm.common import hash_sample
 from tablesmith.llm.url_filter import RULES, filter_urls
 
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -53,3 +55,16 @@ def test_one_verdict_or_none(spark, verdict):
     assert {r.verdict for r in filter_urls(df, [(verdict, "org/")]).collect()} == {verdict}
     assert {r.verdict for r in filter_urls(df, []).collect()} == {"allow"}
     assert filter_urls(df.where("page_id < 0")).collect() == []
+
+
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_repeated_labelled_urls_do_not_shrink_the_sample(spark, copies):
+    urls = [f"http://a{i}.org/x" if i % 2 else f"http://b{i}.com/de/{i}" for i in range(400)]
+    once = spark.createDataFrame([(u,) for u in urls], "url string")
+    df = once.crossJoin(spark.range(copies).select(F.col("id").alias("page_id")))
+    order = [r.url for r in once.orderBy(F.xxhash64("url")).collect()]
+    for n in (50, 400, 1000):
+        assert [r.url for r in hash_sample(df, n, "url").orderBy(F.xxhash64("url")).collect()] == order[:n]
+    rest = spark.createDataFrame([(-1, "http://c.net/1"), (-2, "http://c.com/de")], "page_id long, url string")
+    rows = filter_urls(df.unionByName(rest)).select("rule", "page_id", F.col("block_chance").between(0.0001, 0.9999).alias("learned")).distinct().collect()
+    assert all(r.learned for r in rows)
