@@ -7,7 +7,7 @@ squares, rounded down and topped up while stock lasts. Tails take their place by
 greedily: one after the other, cut at every window edge; the last window is cut into powers of two, so nothing is padded.
 
 Ranks and running totals are taken in two levels (within parts of bounded size, then over the parts), so a length shared by any
-share of the documents is not one task. Null and empty texts are the end id alone. Rows that repeat an identifier are packed each;
+share of the documents is not one task. Special tokens in a text get their own ids. Null and empty texts are the end id alone. Rows that repeat an identifier are packed each;
 null identifiers are packed too. An empty table gives no rows; other columns are ignored.
 """
 

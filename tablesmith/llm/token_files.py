@@ -9,6 +9,7 @@ over the groups, so a file of any size is no single task. A document over many b
 Defined cases: an empty file has no document; ids after the last separator are a document of their own (unless there are none); two
 separators in a row enclose a document of no tokens. Writing: null and empty texts are documents of no tokens, rows that repeat
 an identifier are documents each, null identifiers are kept; other columns are ignored; an empty table gives no file and no rows.
+Special tokens in a text are spelt out, unlike in ``packing``: a literal ``<|endoftext|>`` would otherwise be a separator.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, sep
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        ids, end, file, out, n = word_ids(path), separator.to_bytes(ITEM, "little"), "", None, 0
+        ids, end, file, out, n = word_ids(path, spell_special=True), separator.to_bytes(ITEM, "little"), "", None, 0
         for b in batches:
             if out is None:
                 file = f"{folder}/{uuid.uuid4().hex}.bin"

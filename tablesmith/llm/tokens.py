@@ -3,6 +3,10 @@
 Every step of the tokenizer keeps white space apart, so the ids of a text are the ids of its words in a row. Long-tailed texts
 repeat most words; only new words go through the tokenizer's own normaliser, splitter and BPE model. Words of Latin letters and
 ASCII signs skip the first two, which amount to lower-casing and one pattern there.
+
+The tokenizer's added tokens (``<|endoftext|>``) are cut out of a text before its words and give their own ids, as in
+``Tokenizer.encode(text, add_special_tokens=False)``. With ``spell_special`` special tokens are spelt out like other text instead, as with
+``encode_special_tokens``.
 """
 
 from __future__ import annotations
@@ -29,13 +33,20 @@ def default_path() -> str:
 class WordIds:
     """Ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, spell_special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.model = self.tokenizer.model
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.words: dict[bytes, bytes] = {}
+        self.tokenizer.encode_special_tokens = spell_special
+        added = {i: t for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (spell_special and t.special)}
+        #: tokens that are not simply found as written need the whole text
+        self.whole = any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.added = {t.content.encode(): self.packed[i] for i, t in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")").split if added else None
+        self.words: dict[bytes, bytes] = dict(self.added)
         self.seen: dict[str, bytes] = {}  # the parts of words: their letters without case and signs
         self.plain, self.pieces = re.compile(PLAIN).fullmatch, re.compile(PIECES).findall
         # byte-level models spell each byte as one character; printable ASCII and Latin-1 signs stand for themselves
@@ -66,23 +77,29 @@ class WordIds:
             known[word] = b"".join([seen[p] if p in seen else self._piece(p) for p in pieces])
 
     def ids(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "replace").split()
+        data = (text or "").encode("utf-8", "replace")
+        if self.whole:
+            return b"".join([self.packed[i] for i in self.tokenizer.encode(data.decode(), add_special_tokens=False).ids])
+        words = data.split()
+        if any(a in data for a in self.added):
+            words = [w for i, part in enumerate(self.cut(data)) for w in ([part] if i % 2 else part.split())]
         known = self.words
         new = set(words).difference(known)
         if new:
             if len(known) > MAX_WORDS:
                 known.clear()
-                new = set(words)
+                known.update(self.added)
+                new = set(words).difference(known)
             if len(self.seen) > MAX_WORDS:
                 self.seen.clear()
             self._learn(list(new))
         return b"".join(map(known.__getitem__, words))
 
 
-def word_ids(path: str | None = None) -> WordIds:
+def word_ids(path: str | None = None, spell_special: bool = False) -> WordIds:
     """The worker process's own instance: tasks that follow one another share its cache."""
     here = sys.modules.setdefault("_tablesmith_worker", types.ModuleType("_tablesmith_worker"))
     kept = here.__dict__.setdefault("word_ids", {})
-    if path not in kept:
-        kept[path] = WordIds(path)
-    return kept[path]
+    if (path, spell_special) not in kept:
+        kept[path, spell_special] = WordIds(path, spell_special)
+    return kept[path, spell_special]

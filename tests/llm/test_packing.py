@@ -78,3 +78,21 @@ def test_words_equal_whole_texts(encode):
     ids = WordIds()
     for text in ["It's THE 'll ça va—oui", "İΣ ΣΣ ÀÉ", "a\x1cb\x85c d", "é ́x", "ǆ ŉ ſ 5½²", "__init__ @@ 'S", "x" * 3000]:
         assert ids.ids(text) + b"\x01\0\0\0" == encode(text).tobytes(), text
+
+
+def test_special_tokens_get_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    from tablesmith.llm.tokens import MAX_WORDS
+
+    t = Tokenizer.from_file(default_path())
+    plain = lambda text: np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+    ids = WordIds()
+    texts = ["hello <|endoftext|> world", "x<|startoftext|>", "<|endoftext|><|endoftext|>\u0301a", "<|ENDOFTEXT|> <|endoftext |>", "é<|endoftext|>é <|endoftext|", "word " * 50 + "<|startoftext|>"]
+    for text in texts:
+        assert ids.ids(text) + b"\x01\0\0\0" == plain(text).tobytes(), text
+    assert np.frombuffer(ids.ids(texts[0]), "<u4").tolist() == [3306, 49407, 1002]
+    ids.words.update({b"%d" % i: b"" for i in range(MAX_WORDS + 1)})
+    assert ids.ids("new <|endoftext|>") + b"\x01\0\0\0" == plain("new <|endoftext|>").tobytes()
+    df = spark.createDataFrame([(i, x, "x", b"y") for i, x in enumerate(texts)], SCHEMA)
+    check(pack(df, window=16).collect(), {i: [x] for i, x in enumerate(texts)}, plain, 16)

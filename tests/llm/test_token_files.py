@@ -43,5 +43,12 @@ def test_counts_of_documents(spark):
     assert max(r.n_blocks for r in got) >= 30
 
 
+def test_literal_separators_are_spelt_out(spark):
+    df = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "c"), (3, "<|endoftext|>")], "doc_id long, text string")
+    spelt = WordIds(spell_special=True)
+    want = [(i, len(spelt.ids(t)) // 4) for i, t in df.collect()]
+    assert sorted((r.doc_id, r.n_tokens) for r in token_counts(df).collect()) == want and want[0][1] > 4
+
+
 def test_empty_table(spark):
     assert token_counts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
