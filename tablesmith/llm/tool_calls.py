@@ -152,9 +152,8 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     name = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     pick = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(3))
-    line = F.get(F.split("text", "\n", 2), F.lit(0))
     arguments = (
-        F.when(pick == 0, F.to_json(F.struct(line.alias("query"), (F.col("turn") + 1).alias("limit"))))
+        F.when(pick == 0, F.to_json(F.struct(F.col("text").alias("query"), (F.col("turn") + 1).alias("limit"))))
         .when(pick == 1, F.to_json(F.struct(F.lit("en").alias("to"), F.col("text").alias("text"))))
         .otherwise(F.to_json(F.struct(F.expr("length(text) div 20").alias("words"), F.col("text").alias("text"))))
     )

@@ -58,6 +58,17 @@ def test_chains_hubs_cycles_and_odd_rows(spark):
     assert sorted(r.status for r in rows if r.call_id is None) == ["no_id"] * 4 and len(rows) == len(got) + 4
 
 
+def test_search_calls_carry_the_whole_text(spark):
+    texts = [f"first {i}\nsecond\n\n" + "x" * (i * 40) for i in range(30)]
+    df = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r for r in link(*calls_of(df), TOOLS).collect()}
+    mine = [(i, t) for i, t in enumerate(texts) if zlib.crc32(t.encode()) % 3 == 0]
+    assert {len(t) > 400 for _, t in mine} == {True, False}
+    for i, t in mine:
+        assert json.loads(got[f"{i}-0"].message)["arguments"] == {"query": t, "limit": 1}
+        assert got[f"{i}-0"].status == ("no_result" if len(t) <= 400 else "bad_arguments")
+
+
 def test_empty(spark):
     assert link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), TOOLS).collect() == []
     rows = [(1, None, "user", None), (None, 0, "user", "a"), (2, 0, None, "b"), (3, 1, "assistant", None)]
