@@ -1,12 +1,14 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights to several marginals, then sampling.
 
 Documents are counted once into cells (source, language, topic) with their tokens. The cells' weights are raked: in turn each
-dimension's weights are scaled to its target shares, ``sweeps`` times over. The budget of tokens is then filled with the
+dimension's weights are scaled to its target shares, ``sweeps`` times over and on until every value's share is within ``TOLERANCE``
+of its target, relative to it. Targets that no weights of these cells meet (sources in one language each, say) end after ``MAX_SWEEPS``
+with the weights of the last sweep and a warning that gives the error left. The budget of tokens is then filled with the
 raked mix: each document's chance is ``min(1, rate * weight / tokens of the cell)``, and the rate is raised until the expected tokens
 equal the budget although some cells are exhausted. A document is kept if a hash of its identifier, read as a number in
 [0, 1), is below its chance, so results repeat exactly and rows that repeat an identifier share its draw.
 
-Everything runs on the cells, which are aggregated before the shuffle. A dimension's factors are broadcast only up to a counted
+Everything runs on the cells, which are aggregated before the shuffle. Up to ``LOCAL_CELLS`` counted cells are raked on the driver. Beyond, a dimension's factors are broadcast only up to a counted
 number of values; beyond it a value has few cells each and is joined by shuffle. Documents find their cell by a salted look-up, so one
 cell may hold any share of the rows.
 
@@ -16,6 +18,9 @@ token shares to the power ``alpha``. An empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +30,11 @@ from .common import only, salted_lookup, text_hash
 NONE = "(none)"
 ALPHA = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 BUDGET = 0.5
+#: sweeps at least
 SWEEPS = 10
+MAX_SWEEPS = 1000
+TOLERANCE = 1e-6
+LOCAL_CELLS = 50_000
 RATE_STEPS = 12
 BROADCAST_VALUES = 10_000
 
@@ -85,16 +94,65 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     for d in dims:
         out = look(out, fixed[d], d)
     out = cut_lineage(out)
-    for _ in range(sweeps):
+    if out.count() <= LOCAL_CELLS:
+        return _rake_here(out, dims, sweeps).drop(*[f"_t_{d}" for d in dims])
+    for n in range(1, max(sweeps, MAX_SWEEPS) + 1):
         for d in dims:
             sums = out.groupBy(d).agg(F.sum("weight").alias("_sum"))
             out = look(out, sums, d)
             scaled = F.when(F.col("_sum") > 0, F.col("weight") * F.coalesce(F.col(f"_t_{d}"), F.lit(0.0)) / F.col("_sum")).otherwise(0.0)
             out = out.withColumn("weight", scaled).drop("_sum")
         out = cut_lineage(out)
+        if n >= sweeps and (error := max((_error(out, d) for d in dims), default=0.0)) <= TOLERANCE:
+            break
+    else:
+        _not_met(n, error)
     return out.drop(*[f"_t_{d}" for d in dims])
 
 
+def _error(cells: DataFrame, d: str) -> float:
+    """Largest relative error of a dimension's shares, among the values that have cells and a target."""
+    sums = cells.where(f"_t_{d} > 0").groupBy(d).agg(F.sum("weight").alias("s"), F.first(f"_t_{d}").alias("t"))
+    s, t = sums.agg(F.sum("s"), F.sum("t")).first()
+    if not s:
+        return 0.0
+    return sums.agg(F.max(F.abs(F.col("s") / F.lit(s) / (F.col("t") / F.lit(t)) - 1))).first()[0]
+
+
+def _not_met(sweeps: int, error: float) -> None:
+    warnings.warn(f"targets not met after {sweeps} sweeps: largest relative error {error:.2g}", stacklevel=3)
+
+
+def _rake_here(cells: DataFrame, dims: list[str], sweeps: int) -> DataFrame:
+    """The same sweeps over few cells in numpy."""
+    rows = cells.collect()  # bounded by LOCAL_CELLS
+    weight = np.array([r["weight"] for r in rows], float)
+    sides = []
+    for d in dims:
+        code: dict = {}
+        at = np.array([code.setdefault(r[d], len(code)) for r in rows], int)
+        target = np.zeros(len(code))
+        target[at] = [r[f"_t_{d}"] or 0.0 for r in rows]
+        sides.append((at, target))
+    for n in range(1, max(sweeps, MAX_SWEEPS) + 1):
+        for at, target in sides:
+            sums = np.bincount(at, weight, len(target))
+            weight = np.where(sums[at] > 0, weight * target[at] / np.where(sums[at] > 0, sums[at], 1.0), 0.0)
+        error = 0.0
+        for at, target in sides:
+            served = target > 0
+            sums = np.bincount(at, weight, len(target))[served]
+            if sums.sum() > 0:
+                error = max(error, float(np.abs(sums / sums.sum() / (target[served] / target[served].sum()) - 1).max()))
+        if n >= sweeps and error <= TOLERANCE:
+            break
+    else:
+        _not_met(n, error)
+    keep = [c for c in cells.columns if c != "weight"]
+    schema = cells.select(*keep, "weight").schema
+    return cells.sparkSession.createDataFrame([(*[r[c] for c in keep], float(w)) for r, w in zip(rows, weight)], schema)
+
+
 def fill_rate(cells: DataFrame, budget: float) -> float:
     """The rate at which the expected tokens, sum of min(tokens, rate * weight), equal the budget."""
     rate = None
@@ -131,7 +189,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
 
 
 def oracle() -> str:
-    """The same in SQL, sweeps and rate steps written out."""
+    """The same in SQL, the least number of sweeps and the rate steps written out."""
     dims = list(ALPHA)
     ctes = [
         r"""t AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS text,

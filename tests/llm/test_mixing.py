@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablesmith.llm.mixing import fill_rate, mix, rake
+from tablesmith.llm import mixing
+from tablesmith.llm.mixing import ALPHA, fill_rate, mix, rake, smoothed
 
 CELLS = "source string, lang string, topic string, tokens long"
 
@@ -22,6 +23,44 @@ def test_targets_are_met(spark):
         assert sum(min(r.tokens, rate * r.weight) for r in rows) == pytest.approx(budget * total, rel=1e-6)
 
 
+def worst(out, targets):
+    """Largest relative error of the shares of raked cells."""
+    rows, errors = out.collect(), []
+    total = sum(r.weight for r in rows)
+    for d, t in targets.items():
+        errors += [abs(sum(r.weight for r in rows if r[d] == x.asDict()[d]) / total / x.share - 1) for x in t.collect()]
+    return max(errors)
+
+
+@pytest.mark.parametrize("off", [0.01, 0.001])
+def test_sparse_cells_at_production_settings(spark, off):
+    rng = np.random.default_rng(2)
+    rows = []
+    for a in range(12):
+        size = 4_000_000 if a == 0 else int(rng.integers(100_000, 1_500_000))
+        rows += [(f"s{a}", f"l{b}", f"t{c}", max(1, int(size * (1 if b == a % 4 else off) * x))) for b in range(4) for c, x in enumerate(rng.dirichlet(np.ones(5)))]
+    cells = spark.createDataFrame(rows, CELLS)
+    targets = {d: smoothed(cells, d, a) for d, a in ALPHA.items()}
+    assert worst(rake(cells, targets), targets) < 1e-5
+
+
+def test_few_and_many_cells_alike(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    cells = spark.createDataFrame([(f"s{a}", f"l{b}", "t", int(rng.integers(50, 900))) for a in range(4) for b in range(3)], CELLS)
+    targets = {d: smoothed(cells, d, a) for d, a in ALPHA.items()}
+    few = {r[:3]: r.weight for r in rake(cells, targets, 2).collect()}
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
+    many = {r[:3]: r.weight for r in rake(cells, targets, 2).collect()}
+    assert few == pytest.approx(many, rel=1e-9)
+
+
+def test_impossible_targets_end_with_a_warning(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 30)], CELLS)
+    targets = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, share double"), "lang": spark.createDataFrame([("x", 0.2), ("y", 0.8)], "lang string, share double")}
+    with pytest.warns(UserWarning, match="not met"):
+        rake(cells, targets)
+
+
 def test_sample_follows_the_mix(spark):
     rows = [(i, "word " * (50 + i % 30), "hot" if i % 3 else f"s{i % 7}", "en" if i % 4 else "de", 5) for i in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, chance int").repartition(5)
