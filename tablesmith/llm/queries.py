@@ -14,6 +14,7 @@ from .language import identify
 from .license_scan import license_scan
 from .near_dedup import near_dedup
 from .packing import pack
+from .suffix_dedup import suffix_dedup
 from .token_files import token_counts
 from .tool_calls import TOOLS, calls_of, link
 from .url_filter import filter_urls
@@ -104,3 +105,28 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_tool_calls")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(*calls_of(scan_named(spark, "conversations", sf_dir)), TOOLS)
+
+
+@query(
+    "op11_suffix_dedup",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents),
+    w AS (SELECT doc_id, p, md5(substr(bytes, 2 * p + 1, 400)) AS win
+        FROM (SELECT doc_id, bytes, unnest(range(0, len(bytes) // 2 - 199)) AS p FROM d WHERE len(bytes) >= 400)),
+    r AS (SELECT doc_id, p FROM w SEMI JOIN (SELECT win FROM w GROUP BY win HAVING count(*) > 1) USING (win)),
+    -- runs of windows that touch or overlap
+    n AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM r),
+    g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM n),
+    s AS (SELECT doc_id, run, min(p) AS start, max(p) + 200 AS stop FROM g GROUP BY doc_id, run),
+    c AS (SELECT doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM s),
+    k AS (SELECT doc_id, count(*) AS n_spans, sum(stop - start) AS n_removed, max(stop) AS last,
+        string_agg(substr(bytes, 2 * before + 1, 2 * (start - before)), '' ORDER BY start) AS head FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, len(bytes) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(head, '') || substr(bytes, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(scan_named(spark, "documents", sf_dir))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
