@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+import types
+from collections.abc import Callable, Hashable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,3 +80,12 @@ def hash_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:
         if share >= 1 or sample.count() >= n:
             return sample
         share *= 8
+
+
+def per_worker(key: Hashable, make: Callable[[], object]):
+    """A Python worker's own instance of what is costly to make; tasks that follow one another share it."""
+    here = sys.modules.setdefault("_tablesmith_worker", types.ModuleType("_tablesmith_worker"))
+    kept = here.__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
