@@ -35,11 +35,11 @@ from ..session import new_path
 from .common import only, salted_lookup
 
 LENGTH, GRAM, LEAD = 200, 32, 48
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 60_000
 #: leading strings sampled for each bucket; texts in the sample
 SAMPLES, SAMPLE_TEXTS = 20, 4_000
 #: bytes of text hashed at a time, and sent at a time
-STEP, BLOCK = 2_000_000, 12_000_000
+STEP, BLOCK = 1_000_000, 6_000_000
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -354,6 +354,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, **sizes: int) -> DataFra
 
     both = salted_lookup(rows, found, ["id"], F.xxhash64("doc_id"))
     kind = dict(rows.dtypes)["doc_id"]
-    given = both.select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
-    out = given.mapInPandas(cut, f"doc_id {kind}, n_bytes long, start array<long>, stop array<long>, kept binary")
-    return out.select("doc_id", "n_bytes", F.arrays_zip("start", "stop").alias("spans"), "kept")
+    # identifiers as text: with nulls pandas would make them floats
+    given = both.select(F.col("doc_id").cast("string"), "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+    out = given.mapInPandas(cut, "doc_id string, n_bytes long, start array<long>, stop array<long>, kept binary")
+    return out.select(F.col("doc_id").cast(kind), "n_bytes", F.arrays_zip("start", "stop").alias("spans"), "kept")
