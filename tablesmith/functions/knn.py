@@ -55,11 +55,12 @@ def knn_join(
     donors_per_cell: int | None = None,
     donors_per_chunk: int | None = None,
     queries_per_chunk: int | None = None,
+    apart: str | None = None,
 ) -> DataFrame:
     """``(query_key, _rank, _donor, _distance, payload..)`` for ranks 1..k by (distance, donor key).
 
-    ``by`` restricts neighbours to the same value of that column (present on both sides).
-    Keys are bigints; rows with a NULL feature take no part.
+    ``by`` restricts neighbours to the same value of that column, ``apart`` to other values of one with few values, such as a fold (both
+    are on both sides). Keys are bigints; rows with a NULL feature take no part.
     """
     payload = payload or []
     donors_per_cell = donors_per_cell or DONORS_PER_CELL
@@ -71,12 +72,13 @@ def knn_join(
     for f in features:
         whole = col(f).isNotNull() if whole is None else whole & col(f).isNotNull()
     group = col(by).cast("string") if by else F.lit("")
+    part = (F.coalesce(col(apart).cast("string"), F.lit("")) if apart else F.lit("")).alias("_f")
     feats = [col(f).cast("double").alias(x) for f, x in zip(features, xs)]
-    q = queries.filter(whole).select(col(query_key).cast("long").alias("_q"), group.alias("_g"), *feats)
+    q = queries.filter(whole).select(col(query_key).cast("long").alias("_q"), group.alias("_g"), part, *feats)
     d = donors.filter(whole).select(
-        col(donor_key).cast("long").alias("_d"), group.alias("_g"), *feats, *[col(p) for p in payload]
+        col(donor_key).cast("long").alias("_d"), group.alias("_g"), part, *feats, *[col(p) for p in payload]
     )
-    same = Window.partitionBy("_g", *xs).orderBy("_d")
+    same = Window.partitionBy("_g", "_f", *xs).orderBy("_d")
     d = d.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= need).drop("_copy")
 
     n_groups, n_donors = d.agg(F.count_distinct("_g"), F.count(F.lit(1))).first()
@@ -90,14 +92,16 @@ def knn_join(
         # read by the cell statistics and by both rounds
         located = cut_lineage(located)
     many = q.count() > queries_per_chunk
-    stats = {
-        (r["_g"], r["_cell"]): (int(r["n"]), float(r["r"]))
-        for r in located.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_radius").alias("r")).collect()
-    }
-    cells = _Cells(pivots, stats, xs, need, donors_per_chunk)
+    stats: dict[tuple, tuple[int, float]] = {}
+    own: dict[tuple, int] = {}
+    for r in located.groupBy("_g", "_cell", "_f").agg(F.count(F.lit(1)).alias("n"), F.max("_radius").alias("r")).collect():
+        n, radius = stats.get((r["_g"], r["_cell"]), (0, 0.0))
+        stats[r["_g"], r["_cell"]] = n + int(r["n"]), max(radius, float(r["r"]))
+        own[r["_g"], r["_cell"], r["_f"]] = int(r["n"])
+    cells = _Cells(pivots, stats, xs, need, donors_per_chunk, own if apart else {})
     donors_cut = located.withColumn("_chunk", F.pmod(F.xxhash64("_d"), _chunks(stats, donors_per_chunk))).drop("_radius")
 
-    first = _visit(_route(q, cells, xs), donors_cut, xs, payload, need, queries_per_chunk if many else None)
+    first = _visit(_route(q, cells, xs), donors_cut, xs, payload, need, queries_per_chunk if many else None, apart is not None)
     top = Window.partitionBy("_q").orderBy("_distance", "_donor")
     if len(stats) > 1:
         # The work of round one feeds both the bound of round two and the result.
@@ -105,7 +109,7 @@ def knn_join(
         ranked = first.withColumn("_rank", F.row_number().over(top)).filter(F.col("_rank") <= need)
         bound = ranked.groupBy("_q").agg(F.max(F.when(F.col("_rank") == need, F.col("_distance"))).alias("_bound"))
         second = _visit(
-            _route(q.join(bound, "_q", "left"), cells, xs, bounded=True), donors_cut, xs, payload, need, queries_per_chunk if many else None
+            _route(q.join(bound, "_q", "left"), cells, xs, bounded=True), donors_cut, xs, payload, need, queries_per_chunk if many else None, apart is not None
         )
         found = ranked.drop("_rank").unionByName(second)
     else:
@@ -164,20 +168,29 @@ def _chunks(stats, donors_per_chunk: int):
 class _Cells:
     """Which cells a query must visit. Holds at most MAX_PIVOTS cells."""
 
-    def __init__(self, pivots, stats, xs, need, donors_per_chunk):
+    def __init__(self, pivots, stats, xs, need, donors_per_chunk, own):
         self.pivots = pivots
+        #: donors of a cell that a query of the same part leaves out
+        self.own = {
+            (g, f): np.array([own.get((g, j, f), 0) for j in range(len(p))]) for g, p in pivots.items() for f in {k[2] for k in own if k[0] == g}
+        }
         self.xs = xs
         self.need = need
         self.count = {g: np.array([stats.get((g, j), (0, 0.0))[0] for j in range(len(p))]) for g, p in pivots.items()}
         self.radius = {g: np.array([stats.get((g, j), (0, 0.0))[1] for j in range(len(p))]) for g, p in pivots.items()}
         self.parts = {g: -(-c // donors_per_chunk) for g, c in self.count.items()}
 
-    def visits(self, g: str, points: np.ndarray, bound: np.ndarray | None):
+    def visits(self, g: str, points: np.ndarray, bound: np.ndarray | None, parts: np.ndarray):
         """Boolean (query, cell): the nearest cells holding enough donors, or the rest within the bound."""
         dist = np.sqrt(_distances(points, self.pivots[g]))
         order = np.argsort(dist, axis=1, kind="stable")
-        have = np.cumsum(self.count[g][order], axis=1)
-        home_sorted = (have - self.count[g][order]) < self.need
+        usable = np.tile(self.count[g], (len(points), 1))
+        for f in set(parts.tolist()):
+            if (g, f) in self.own:
+                usable[parts == f] -= self.own[g, f]
+        usable = np.take_along_axis(usable, order, axis=1)
+        have = np.cumsum(usable, axis=1)
+        home_sorted = (have - usable) < self.need
         home = np.zeros_like(home_sorted)
         np.put_along_axis(home, order, home_sorted, axis=1)
         occupied = self.count[g][None, :] > 0
@@ -202,7 +215,7 @@ def _route(q: DataFrame, cells: _Cells, xs, bounded: bool = False) -> DataFrame:
                 points = rows[xs].to_numpy(dtype=float)
                 for part in _blocks(len(points), len(cells.pivots[g])):
                     bound = rows["_bound"].to_numpy(dtype=float)[part] if bounded else None
-                    at, cell = np.nonzero(cells.visits(g, points[part], bound))
+                    at, cell = np.nonzero(cells.visits(g, points[part], bound, rows["_f"].to_numpy()[part]))
                     parts = cells.parts[g][cell]
                     at, cell = np.repeat(at, parts), np.repeat(cell, parts)
                     first = np.repeat(np.cumsum(parts) - parts, parts)
@@ -212,7 +225,7 @@ def _route(q: DataFrame, cells: _Cells, xs, bounded: bool = False) -> DataFrame:
     return q.mapInPandas(run, schema)
 
 
-def _visit(routed: DataFrame, donors: DataFrame, xs, payload, need: int, queries_per_chunk: int | None) -> DataFrame:
+def _visit(routed: DataFrame, donors: DataFrame, xs, payload, need: int, queries_per_chunk: int | None, apart: bool = False) -> DataFrame:
     """Searches every (cell, donor chunk, query chunk) on its own. No limit: so few queries that no chunk can be too large."""
     place = ["_g", "_cell", "_chunk"]
     hot = []
@@ -244,12 +257,14 @@ def _visit(routed: DataFrame, donors: DataFrame, xs, payload, need: int, queries
         keys, picks, dists = [], [], []
         for part in _blocks(len(a), len(b)):
             dist = _distances(a[part], b)
+            if apart:
+                dist[qs["_f"].to_numpy()[part][:, None] == ds["_f"].to_numpy()[None, :]] = np.inf
             # donors are in key order, so a stable sort breaks ties by key; partition first to keep the sort short
             edge = np.partition(dist, take - 1, axis=1)[:, take - 1]
             at, pick = np.nonzero(dist <= edge[:, None])
             frame = pd.DataFrame({"at": at, "pick": pick, "dist": dist[at, pick]})
             frame = frame.sort_values(["at", "dist", "pick"], kind="stable")
-            frame = frame[frame.groupby("at").cumcount() < take]
+            frame = frame[(frame.groupby("at").cumcount() < take) & (frame["dist"] < np.inf)]
             keys.append(qs["_q"].to_numpy()[part][frame["at"]])
             picks.append(frame["pick"].to_numpy())
             dists.append(np.sqrt(frame["dist"].to_numpy()))

@@ -104,6 +104,16 @@ def roc_auc_multiclass(pred: DataFrame, scores: dict[str, str], rows_per_range=N
     return per.agg(F.try_divide(F.sum(F.col("auc") * F.col("n")), F.sum("n")).alias("auc"))
 
 
+def roc_auc_of_chances(pred: DataFrame, classes: list, chances: str = "chances", rows_per_range=None) -> DataFrame:
+    """``(auc)`` from an array of scores, one per class of ``classes`` in their order: the second one's of two, else as ``roc_auc_multiclass``."""
+    if len(classes) == 2:
+        scored = pred.withColumn("_score", F.get(chances, F.lit(1)))
+        return roc_auc(scored, classes[1], "_score", rows_per_range)
+    names = {str(c): f"_score{i}" for i, c in enumerate(classes)}
+    scored = pred.withColumns({n: F.get(chances, F.lit(i)) for i, n in enumerate(names.values())})
+    return roc_auc_multiclass(scored, names, rows_per_range)
+
+
 def _curve(pred, positive, score, rows_per_range):
     cells = _score_cells(pred, F.col("label") == F.lit(positive), score, [], rows_per_range)
     totals = pred.filter(col(score).isNotNull()).agg(
@@ -115,24 +125,30 @@ def _curve(pred, positive, score, rows_per_range):
 
 
 def roc_curve(pred: DataFrame, positive=1, score: str = "score", rows_per_range=None) -> DataFrame:
-    """``(threshold, fpr, tpr)`` at every distinct score: predictions at or above it count as positive."""
+    """``(threshold, fpr, tpr)`` at every distinct score: predictions at or above it count as positive. Without threshold, the start (0, 0)."""
     cells, p, n = _curve(pred, positive, score, rows_per_range)
-    return cells.select(
+    points = cells.select(
         F.col("score").alias("threshold"),
         F.try_divide(F.col("fp").cast("double"), F.lit(float(n))).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.lit(float(p))).alias("tpr"),
     )
+    return points.unionByName(_end(pred, fpr=0.0, tpr=0.0))
 
 
 def pr_curve(pred: DataFrame, positive=1, score: str = "score", rows_per_range=None) -> DataFrame:
-    """``(threshold, precision, recall)`` at every distinct score."""
+    """``(threshold, precision, recall)`` at every distinct score. Without threshold, the end (precision 1, recall 0)."""
     cells, p, _ = _curve(pred, positive, score, rows_per_range)
     tp = F.col("tp").cast("double")
-    return cells.select(
+    points = cells.select(
         F.col("score").alias("threshold"),
         F.try_divide(tp, tp + F.col("fp")).alias("precision"),
         F.try_divide(tp, F.lit(float(p))).alias("recall"),
     )
+    return points.unionByName(_end(pred, precision=1.0, recall=0.0))
+
+
+def _end(pred: DataFrame, **point: float) -> DataFrame:
+    return pred.sparkSession.createDataFrame([(None, *point.values())], "threshold double, " + ", ".join(f"{n} double" for n in point))
 
 
 def average_precision(pred: DataFrame, positive=1, score: str = "score", rows_per_range=None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 from typing import Any
 
@@ -10,8 +11,8 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
+    LinearSVCModel,
     LogisticRegression,
-    NaiveBayes,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -26,7 +27,9 @@ from ..functions.numbers import hash_key
 from ..functions.order import rank_by_hash
 from ..functions.schema import col, is_numeric
 from ..session import small_or_cut
-from .metrics import metrics_classification, metrics_regression
+from . import bayes, nearest
+from .bayes import GaussianBayes
+from .metrics import metrics_classification, metrics_regression, roc_auc_of_chances
 from .validate import problem_type
 
 SEED = 42
@@ -90,45 +93,64 @@ CLASSIFIERS = ("logistic_regression", "decision_tree", "random_forest", "svm", "
 REGRESSORS = ("linear_regression", "ridge", "lasso", "decision_tree", "random_forest", "svr", "knn", "gradient_boosting", "xgboost")
 
 
+# What the models start from where nothing is said, in Spark's names. Depth 30 is Spark's deepest tree and stands for no limit.
+DEFAULTS: dict[tuple[str, str], dict[str, Any]] = {
+    ("classification", "logistic_regression"): {"maxIter": 100, "standardization": False},
+    ("classification", "svm"): {"maxIter": 100, "standardization": False},
+    **{(p, "decision_tree"): {"maxDepth": 30} for p in ("classification", "regression")},
+    **{(p, "random_forest"): {"numTrees": 100, "maxDepth": 30} for p in ("classification", "regression")},
+    **{(p, "gradient_boosting"): {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3} for p in ("classification", "regression")},
+    **{(p, "xgboost"): {"maxIter": 100, "stepSize": 0.3, "maxDepth": 6} for p in ("classification", "regression")},
+}
+#: models whose penalty is an inverse strength C shared by all rows; Spark's is a strength per row
+PENALISED = ("logistic_regression", "svm")
+
+
 def estimator(model: str, problem: str, classes: int = 2, **params):
-    """Spark ML estimator for a model name. "xgboost" is gradient boosting on row and column samples."""
+    """Spark ML estimator for a model name. "xgboost" is gradient boosting with deeper trees and larger steps.
+
+    Penalised models take ``regParam``; ``fit_model`` derives it from C = 1 and the number of rows where neither is given.
+    """
+    own = {**DEFAULTS.get((problem, model), {}), **params}
     if problem == "classification":
-        wide = classes > 2
         if model == "logistic_regression":
-            return LogisticRegression(**{"maxIter": 100, **params})
+            return LogisticRegression(**own)
         if model == "decision_tree":
-            return DecisionTreeClassifier(**{"seed": SEED, **params})
+            return DecisionTreeClassifier(**{"seed": SEED, **own})
         if model == "random_forest":
-            return RandomForestClassifier(**{"seed": SEED, "numTrees": 100, **params})
+            return RandomForestClassifier(**{"seed": SEED, **own})
         if model == "naive_bayes":
-            return NaiveBayes(modelType="gaussian", **params)
+            return GaussianBayes(**own)
         inner = None
         if model == "svm":
-            inner = LinearSVC(**{"maxIter": 50, "regParam": 0.01, **params})
-        elif model == "gradient_boosting":
-            inner = GBTClassifier(**{"seed": SEED, "maxIter": 20, **params})
-        elif model == "xgboost":
-            inner = GBTClassifier(**{"seed": SEED, "maxIter": 20, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", **params})
+            inner = LinearSVC(**own)
+        elif model in ("gradient_boosting", "xgboost"):
+            inner = GBTClassifier(**{"seed": SEED, **own})
         if inner is not None:
-            return OneVsRest(classifier=inner, parallelism=min(4, classes)) if wide else inner
+            return OneVsRest(classifier=inner, parallelism=min(4, classes)) if classes > 2 else inner
     else:
         if model == "linear_regression":
-            return LinearRegression(**params)
+            return LinearRegression(**own)
         if model in ("ridge", "lasso"):
-            return LinearRegression(**{"regParam": 0.1, "elasticNetParam": 0.0 if model == "ridge" else 1.0, **params})
+            return LinearRegression(**{"regParam": 0.1, "elasticNetParam": 0.0 if model == "ridge" else 1.0, **own})
         if model == "decision_tree":
-            return DecisionTreeRegressor(**{"seed": SEED, **params})
+            return DecisionTreeRegressor(**{"seed": SEED, **own})
         if model == "random_forest":
-            return RandomForestRegressor(**{"seed": SEED, "numTrees": 100, **params})
+            return RandomForestRegressor(**{"seed": SEED, **own})
         if model == "svr":
-            return LinearSVR(**params)
-        if model == "gradient_boosting":
-            return GBTRegressor(**{"seed": SEED, "maxIter": 20, **params})
-        if model == "xgboost":
-            return GBTRegressor(**{"seed": SEED, "maxIter": 20, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", **params})
+            return LinearSVR(**own)
+        if model in ("gradient_boosting", "xgboost"):
+            return GBTRegressor(**{"seed": SEED, **own})
     raise ValueError(f"unknown {problem} model '{model}'")
 
 
+def fit_model(model: str, problem: str, train: DataFrame, classes: int = 2, **params):
+    """The fitted model; a penalty that is not given is C = 1, in Spark's terms one over the number of rows."""
+    if model in PENALISED and "regParam" not in params:
+        params = {**params, "regParam": 1.0 / max(train.count(), 1)}
+    return estimator(model, problem, classes, **params).fit(train)
+
+
 class LinearSVR:
     """Linear regression with epsilon-insensitive loss, by full-batch subgradient steps.
 
@@ -182,35 +204,67 @@ class LinearSVR:
         return data.withColumn("prediction", total)
 
 
-def knn_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, key: str, problem: str, n_neighbors: int = 5, weights: str = "uniform") -> DataFrame:
-    """``(key, label, prediction)``: vote (smallest label on ties) or mean of the nearest training rows."""
+def knn_predict(
+    train: DataFrame, test: DataFrame, features: list[str], target: str, key: str, problem: str, n_neighbors: int = 5, weights: str = "uniform", classes: list | None = None
+) -> DataFrame:
+    """``(key, label, prediction)``: vote (smallest label on ties) or mean of the nearest training rows.
+
+    With ``classes`` also ``chances``, each one's part of the votes.
+    """
     near = knn_join(test, train, features, n_neighbors, key, key, payload=[target])
-    w = F.lit(1.0) if weights == "uniform" else F.least(F.try_divide(F.lit(1.0), F.col("_distance")), F.lit(1e12))
-    near = near.withColumn("_w", F.coalesce(w, F.lit(1e12)))
+    near = near.withColumn("_w", nearest.weight(F.col("_distance"), weights))
     if problem == "classification":
         votes = near.groupBy(key, target).agg(F.sum("_w").alias("_v"))
-        best = votes.groupBy(col(key).alias("_k")).agg(F.min_by(target, F.struct(-F.col("_v"), col(target))).alias("prediction"))
+        shares = [F.try_divide(F.sum(F.when(col(target) == F.lit(c), F.col("_v")).otherwise(0.0)), F.sum("_v")) for c in classes or []]
+        best = votes.groupBy(col(key).alias("_k")).agg(
+            F.min_by(target, F.struct(-F.col("_v"), col(target))).alias("prediction"), *([F.array(*shares).alias("chances")] if shares else [])
+        )
     else:
         best = near.groupBy(col(key).alias("_k")).agg((F.sum(col(target) * F.col("_w")) / F.sum("_w")).alias("prediction"))
     # rows without neighbours (a missing feature) stay, without a prediction
-    return test.join(best, col(key) == F.col("_k"), "left").select(key, col(target).alias("label"), "prediction")
+    out = test.join(best, col(key) == F.col("_k"), "left")
+    return out.select(key, col(target).alias("label"), "prediction", *(["chances"] if "chances" in best.columns else []))
 
 
 def fit_predict(model: str, problem: str, train: DataFrame, test: DataFrame, classes: int = 2, **params) -> DataFrame:
     """Predictions on the test part from ``(key, label, features)`` frames."""
-    return predictions(estimator(model, problem, classes, **params).fit(train), test, problem)
+    return predictions(fit_model(model, problem, train, classes, **params), test, problem)
 
 
 def predictions(fitted, test: DataFrame, problem: str) -> DataFrame:
+    """``(.., prediction)``; for classifiers ``score``, the second class's, and ``chances``, all classes', where the model has them.
+
+    Several boosted models against the rest have margins instead of chances, which rank rows as well; a linear SVM has a margin alone.
+    """
     out = fitted.transform(test)
     keep = [c for c in test.columns if c != "features"]
-    if problem == "classification" and "probability" in out.columns:
-        out = out.withColumn("score", vector_to_array("probability")[1])
-    elif problem == "classification" and "rawPrediction" in out.columns:
-        out = out.withColumn("score", vector_to_array("rawPrediction")[1])
+    if problem != "classification":
+        return out.select(*keep, "prediction")
+
+    def array(name: str):
+        return F.col(name) if out.schema[name].dataType.typeName() == "array" else vector_to_array(name)
+
+    margins_only = isinstance(fitted, LinearSVCModel) or any(isinstance(m, LinearSVCModel) for m in getattr(fitted, "models", []))
+    if "probability" in out.columns:
+        out = out.withColumn("chances", array("probability"))
+    elif "rawPrediction" in out.columns and not margins_only:
+        out = out.withColumn("chances", array("rawPrediction"))
+    elif "rawPrediction" in out.columns:
+        return out.select(*keep, "prediction", array("rawPrediction")[1].alias("score"))
     else:
         return out.select(*keep, "prediction")
-    return out.select(*keep, "prediction", "score")
+    return out.select(*keep, "prediction", F.get("chances", F.lit(1)).alias("score"), "chances")
+
+
+def metric_table(pred: DataFrame, problem: str, classes: list | None = None) -> DataFrame:
+    """``(metric, value)`` of predictions; classifiers with chances also get ``roc_auc``, of several classes each against the rest, by class size."""
+    if problem != "classification":
+        return metrics_regression(pred)
+    out = metrics_classification(pred)
+    if classes and len(classes) > 1 and "chances" in pred.columns:
+        auc = roc_auc_of_chances(pred, classes)
+        out = out.unionByName(auc.select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value")))
+    return out
 
 
 def feature_importance(fitted, features: list[str]) -> list[tuple[str, float]]:
@@ -260,29 +314,54 @@ def cross_validate(df: DataFrame, features: list[str], target: str, key: str, mo
     if not 2 <= cv <= 10:
         raise ValueError("cv is 2 to 10 folds")
     problem = problem_type(df, target)
+    if model in ALL_POINTS:
+        scores = ALL_POINTS[model](df, features, target, key, problem, cv, [params or {}])[0]
+    else:
+        data = spread(with_fold(assemble(df, features, target, key), key, cv))
+        try:
+            scores = _fold_scores(data, model, problem, cv, _classes(data, problem), params or {})
+        finally:
+            data.unpersist()
+    mean = sum(scores) / cv
+    std = (sum((s - mean) ** 2 for s in scores) / cv) ** 0.5
+    return df.sparkSession.createDataFrame([(i, s, mean, std) for i, s in enumerate(scores)], "fold int, score double, mean double, std double")
+
+
+def _knn_scores(df, features, target, key, problem, cv, points) -> list[list[float]]:
+    points = [(int(p.get("n_neighbors", 5)), p.get("weights", "uniform")) for p in points]
+    data = with_fold(df.select(*dict.fromkeys([key, target, *features])), key, cv)
+    lists = nearest.neighbour_lists(data, features, target, key, max(k for k, _ in points))
+    return nearest.fold_scores(lists, points, problem, cv)
+
+
+def _bayes_scores(df, features, target, key, problem, cv, points) -> list[list[float]]:
+    if problem != "classification":
+        raise ValueError("naive Bayes is a classifier")
     data = spread(with_fold(assemble(df, features, target, key), key, cv))
     try:
-        scores = _fold_scores(data, model, problem, cv, _classes(data, problem), params or {})
+        return bayes.fold_scores(data, cv, [float(p.get("var_smoothing", bayes.SMOOTHING)) for p in points])
     finally:
         data.unpersist()
-    mean = sum(scores) / cv
-    std = (sum((s - mean) ** 2 for s in scores) / cv) ** 0.5
-    return df.sparkSession.createDataFrame([(i, s, mean, std) for i, s in enumerate(scores)], "fold int, score double, mean double, std double")
+
+
+#: models that score all points of a grid, in all folds, together
+ALL_POINTS = {"knn": _knn_scores, "naive_bayes": _bayes_scores}
 
 
 def _classes(data: DataFrame, problem: str) -> int:
     return int(data.agg(F.max("label")).first()[0]) + 1 if problem == "classification" else 0
 
 
-# Search grids per model, in Spark's names. Spark has no parameter for solver, minimum rows to split, kernel,
-# gamma and neighbour algorithm, and its Gaussian naive Bayes has none at all; depth 30 is its deepest tree.
+# Search grids per model, in Spark's names. Spark has no parameter for solver, minimum rows to split, kernel and
+# gamma, and the neighbour algorithm cannot change a result; depth 30 is its deepest tree.
 GRIDS: dict[str, dict[str, list[Any]]] = {
     "logistic_regression": {"C": [0.01, 0.1, 1, 10, 100], "penalty": ["l1", "l2", "elasticnet", "none"]},
     "decision_tree": {"maxDepth": [30, 5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4], "impurity": ["gini", "entropy"]},
     "random_forest": {"numTrees": [50, 100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2, 4]},
     "svm": {"C": [0.1, 1, 10, 100]},
     "svr": {"C": [0.1, 1, 10, 100], "epsilon": [0.1, 0.2, 0.5]},
-    "naive_bayes": {},
+    "knn": {"n_neighbors": [3, 5, 7, 9, 11], "weights": ["uniform", "distance"]},
+    "naive_bayes": {"var_smoothing": [1e-9, 1e-8, 1e-7, 1e-6]},
     "gradient_boosting": {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7], "subsamplingRate": [0.7, 0.8, 0.9, 1.0]},
     "xgboost": {
         "maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7], "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
@@ -291,6 +370,9 @@ GRIDS: dict[str, dict[str, list[Any]]] = {
     "linear_regression": {"fitIntercept": [True, False], "standardization": [True, False]},
 }
 
+#: grid points that are trained side by side
+SEARCH_THREADS = 4
+
 PENALTIES = {"l1": 1.0, "l2": 0.0, "elasticnet": 0.5}
 
 
@@ -314,23 +396,24 @@ def grid_search(
     problem = problem_type(df, target)
     if grid is None:  # regression trees have one impurity only
         grid = {k: v for k, v in GRIDS[model].items() if problem == "classification" or k != "impurity"}
-    data = spread(with_fold(assemble(df, features, target, key), key, cv))
-    try:
-        rows, classes = data.count(), _classes(data, problem)
-        results = []
-        for values in product(*grid.values()):
-            point = dict(zip(grid, values))
-            scores = _fold_scores(data, model, problem, cv, classes, spark_params(model, point, rows))
-            if problem == "regression":
-                # root of the mean squared error over folds
-                mean = (sum(s * s for s in scores) / cv) ** 0.5
-            else:
-                mean = sum(scores) / cv
-            plain = sum(scores) / cv
-            std = (sum((s - plain) ** 2 for s in scores) / cv) ** 0.5
-            results.append((json.dumps(point, sort_keys=True), mean, std))
-    finally:
-        data.unpersist()
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    if model in ALL_POINTS:
+        found = ALL_POINTS[model](df, features, target, key, problem, cv, points)
+    else:
+        data = spread(with_fold(assemble(df, features, target, key), key, cv))
+        try:
+            rows, classes = data.count(), _classes(data, problem)
+            with ThreadPoolExecutor(SEARCH_THREADS) as pool:  # points have nothing to do with one another
+                found = list(pool.map(lambda p: _fold_scores(data, model, problem, cv, classes, spark_params(model, p, rows)), points))
+        finally:
+            data.unpersist()
+    results = []
+    for point, scores in zip(points, found):
+        plain = sum(scores) / cv
+        # root of the mean squared error over folds
+        mean = (sum(s * s for s in scores) / cv) ** 0.5 if problem == "regression" else plain
+        std = (sum((s - plain) ** 2 for s in scores) / cv) ** 0.5
+        results.append((json.dumps(point, sort_keys=True), mean, std))
     results.sort(key=lambda r: (r[1] if problem == "regression" else -r[1], r[0]))
     return df.sparkSession.createDataFrame(
         [(i, *r) for i, r in enumerate(results[:top], start=1)], "rank int, params string, mean_score double, std_score double"
@@ -354,19 +437,20 @@ def train_many(
     rows: list[tuple[str, str, float | None, str | None]] = []
     try:
         classes, total = _classes(parts, problem), a.count()
+        numbers = [float(i) for i in range(classes)]
+        values = [r[0] for r in train.select(target).union(test.select(target)).distinct().dropna().orderBy(target).collect()] if problem == "classification" and "knn" in models else []
         for m in models:
             try:
                 params: dict[str, Any] = {}
                 if tune and m in GRIDS:
                     best = grid_search(train, features, target, key, m, top=1).first()
-                    params = spark_params(m, json.loads(best["params"]), total)
+                    params = json.loads(best["params"]) if m in ALL_POINTS else spark_params(m, json.loads(best["params"]), total)
                 if m == "knn":
-                    pred = knn_predict(train, test, features, target, key, problem)
+                    table = metric_table(knn_predict(train, test, features, target, key, problem, classes=values, **params), problem, values)
                 else:
-                    pred = fit_predict(m, problem, a, b, classes, **params)
-                table = metrics_classification(pred) if problem == "classification" else metrics_regression(pred)
+                    table = metric_table(fit_predict(m, problem, a, b, classes, **params), problem, numbers)
                 rows += [(m, r["metric"], r["value"], None) for r in table.collect()]
-                if cv and m != "knn":
+                if cv:
                     folds = cross_validate(train, features, target, key, m, cv, params).first()
                     rows += [(m, "cv_mean", folds["mean"], None), (m, "cv_std", folds["std"], None)]
             except Exception as e:  # one failed model must not end the comparison

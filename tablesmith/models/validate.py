@@ -24,8 +24,11 @@ def problem_type(df: DataFrame, target: str) -> str:
     """Classification for text targets or fewer than ten distinct values."""
     if column_class(type_of(df, target)) == "categorical":
         return "classification"
-    distinct = df.select(target).filter(col(target).isNotNull()).distinct().limit(REGRESSION_FROM_VALUES).count()
-    return "classification" if distinct < REGRESSION_FROM_VALUES else "regression"
+    known = df.select(target).filter(col(target).isNotNull())
+    # a sketch far above the limit decides; only few values are then counted exactly, so no continuous target is shuffled
+    if known.agg(F.approx_count_distinct(target)).first()[0] >= 4 * REGRESSION_FROM_VALUES:
+        return "regression"
+    return "classification" if known.distinct().count() < REGRESSION_FROM_VALUES else "regression"
 
 
 def validate(df: DataFrame, features: list[str], target: str, problem: str | None = None) -> DataFrame:

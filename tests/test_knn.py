@@ -62,7 +62,7 @@ def test_smote_counts_and_segments(spark):
     df = spark.createDataFrame(rows, "id long, cls string, a double, b double")
     out = smote(df, "cls", "id")
     counts = {r["cls"]: r["count"] for r in out.groupBy("cls").count().collect()}
-    assert counts == {"major": 90, "minor": 90}
+    assert counts == {"major": 90, "minor": 90, None: 1}  # a row without class stays, and no point is made from it
     base = np.array([(a, b) for _, c, a, b in rows if c == "minor"])
     for r in out.filter("synthetic").collect():
         p = np.array([r["a"], r["b"]])
@@ -91,3 +91,28 @@ def test_many_copies_go_to_blocks(spark, monkeypatch):
     rows = [(i, "major" if i > 2 else "minor", float(i)) for i in range(103)]
     out = balance.smote(spark.createDataFrame(rows, "id long, cls string, a double"), "cls", "id")
     assert {r["cls"]: r["count"] for r in out.groupBy("cls").count().collect()} == {"major": 100, "minor": 100}
+
+
+def test_rows_with_missing_features_count_for_their_class(spark):
+    rnd = random.Random(2)
+    rows = [(i, "a", rnd.gauss(0, 1) if i >= 20 else None) for i in range(100)] + [(100 + i, "b", rnd.gauss(3, 1)) for i in range(10)]
+    rows += [(200 + i, "c", rnd.gauss(6, 1) if i % 2 else None) for i in range(30)] + [(300, "d", None), (301, None, 1.0), (302, None, None)]
+    df = spark.createDataFrame(rows, "id long, cls string, x double")
+    out = smote(df, "cls", "id")
+    assert {r["cls"]: r["count"] for r in out.groupBy("cls").count().collect()} == {"a": 100, "b": 100, "c": 100, "d": 1, None: 2}
+    kept = out.filter("not synthetic")
+    assert sorted(map(str, kept.select("id", "cls", "x").collect())) == sorted(map(str, df.collect()))
+    assert out.filter("synthetic AND x IS NULL").count() == 0
+    made = {r["cls"]: r["count"] for r in adasyn(df, "cls", "id").filter("synthetic").groupBy("cls").count().collect()}
+    assert set(made) <= {"b", "c"} and all(abs(n - w) <= 15 for n, w in ((made.get("b", 90), 90), (made.get("c", 70), 70)))
+
+
+@pytest.mark.parametrize("limits", [SMALL, {}])
+def test_neighbours_of_other_parts(spark, limits):
+    rows = points(9, 260)
+    df = spark.createDataFrame([(*r, r[0] % 3) for r in rows], "id long, x double, y double, g string, part int").repartition(4)
+    out = knn_join(df, df, ["x", "y"], 5, "id", "id", apart="part", **limits).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r["id"], r["_rank"])):
+        got.setdefault(r["id"], []).append(r["_donor"])
+    assert got == {i: [j for _, j in sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b, _ in rows if j % 3 != i % 3)[:5]] for i, x, y, _ in rows}
