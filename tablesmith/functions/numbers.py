@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +47,39 @@ def hash_key(key: Column, seed: int) -> Column:
 def hash_uniform(key: Column, seed: int) -> Column:
     """Reproducible uniform number in [0, 1) per key (32 bits)."""
     return F.conv(F.substring(hash_key(key, seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def erfc(z: Column) -> Column:
+    """Complementary error function for z >= 0: its series below 2, its continued fraction from there on."""
+    steps = F.sequence(F.lit(1), F.lit(80))
+    # z * (1 + 2 z^2 / 3 + (2 z^2)^2 / (3 * 5) + ...), terms of one sign
+    series = F.aggregate(
+        steps,
+        F.struct(z.alias("term"), z.alias("sum")),
+        lambda s, k: F.struct((s["term"] * 2 * z * z / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * 2 * z * z / (2 * k + 1)).alias("sum")),
+        lambda s: s["sum"],
+    )
+    root = F.lit(math.sqrt(math.pi))
+    fraction = F.aggregate(F.reverse(steps), F.lit(1.0), lambda f, k: F.lit(1.0) + k / (F.lit(2.0) * z * z) / f)
+    return F.when(z < 2, F.lit(1.0) - F.lit(2.0) / root * F.exp(-z * z) * series).otherwise(F.exp(-z * z) / (z * root) / fraction)
+
+
+def chi2_pvalue(chi2: Column, dof: Column) -> Column:
+    """Chance of a larger chi-square value: the regularised upper incomplete gamma function Q(dof / 2, chi2 / 2) for whole degrees of freedom.
+
+    Q(a + 1, x) = Q(a, x) + x^a e^-x / gamma(a + 1), from Q(0, x) = 0 or Q(1/2, x) = erfc(sqrt(x)); terms are added as logarithms, so large values do not overflow.
+    """
+    x = F.greatest(chi2.cast("double"), F.lit(0.0)) / F.lit(2.0)
+    odd = dof % 2 == 1
+    half = F.when(odd, 0.5).otherwise(0.0)
+    start = F.when(odd, F.lit(math.log(2 / math.sqrt(math.pi))) + F.lit(0.5) * F.ln(x)).otherwise(F.lit(0.0)) - x
+    # one term for each whole step of a below dof / 2
+    steps = F.floor(dof / F.lit(2)).cast("int")
+    terms = F.aggregate(
+        F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")),
+        F.struct(start.alias("log"), F.lit(0.0).alias("sum")),
+        lambda s, k: F.struct((s["log"] + F.ln(x) - F.ln(k + half)).alias("log"), (s["sum"] + F.exp(s["log"])).alias("sum")),
+        lambda s: s["sum"],
+    )
+    base = F.when(odd, erfc(F.sqrt(x))).otherwise(F.lit(0.0))
+    return F.when(dof <= 0, F.lit(None).cast("double")).when(x == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), base + terms))

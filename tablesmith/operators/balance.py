@@ -10,7 +10,7 @@ from ..functions.numbers import hash_uniform
 from ..functions.order import rank_by_hash
 from ..functions.schema import col, numeric_columns
 from ..session import cut_lineage
-from ..plans.step import Fitted, left_lookup, register, small_or_cut
+from ..plans.step import Fitted, look_up, mapping_tables, register
 
 COPIES_PER_BLOCK = 100_000
 
@@ -72,31 +72,41 @@ def _interpolated(points: DataFrame, near: DataFrame, feats: list[str], target:
     return joined.select(F.lit(None).cast("bigint").alias(key), *out, col(target), F.lit(True).alias("synthetic"))
 
 
+def _short_classes(df: DataFrame, target: str, key: str, feats: list[str]) -> tuple[DataFrame, dict, dict]:
+    """Rows that points can be made from; what each smaller class lacks of the largest one, and its complete rows."""
+    known = df.filter(col(target).isNotNull()).select(col(key).cast("long").alias(key), *feats, target)
+    whole = F.lit(True)
+    for f in feats:
+        whole = whole & col(f).isNotNull()
+    counts = {r[0]: (r["n"], r["whole"]) for r in known.groupBy(col(target)).agg(F.count(F.lit(1)).alias("n"), F.count_if(whole).alias("whole")).collect()}
+    largest = max((n for n, _ in counts.values()), default=0)
+    missing = {c: largest - n for c, (n, w) in counts.items() if n < largest and w}
+    return known.filter(whole), missing, {c: w for c, (_, w) in counts.items()}
+
+
 def smote(
     df: DataFrame, target: str, key: str, features: list[str] | None = None, k: int = 5, seed: int = 42
 ) -> DataFrame:
     """Raises every class to the size of the largest by points between same-class neighbours.
 
-    A class row gets floor(missing / rows) points, and the first (missing mod rows) rows by
-    hash one more; class totals are therefore exact.
+    Rows with a missing feature count as rows of their class, but no point is made from them: a complete row gets floor(missing / complete rows)
+    points, and the first (missing mod complete rows) by hash one more. Class totals are therefore exact. Rows without a class stay
+    as they are; a class without any complete row stays short.
     """
     feats = _features(df, target, key, features)
-    data = df.filter(col(target).isNotNull()).select(col(key).cast("long").alias(key), *feats, target).dropna(subset=feats)
-    counts = {r["cls"]: r["n"] for r in class_counts(data, target).collect()}
-    largest = max(counts.values())
-    minority = {c: n for c, n in counts.items() if n < largest}
+    data, missing, complete = _short_classes(df, target, key, feats)
     # every row stays, those with a missing feature or class too; they only take no part in the new points
     original = df.select(col(key).cast("long").alias(key), *[col(f).cast("double").alias(f) for f in feats], target, F.lit(False).alias("synthetic"))
-    if not minority:
+    if not missing:
         return original
-    small = data.filter(col(target).isin(list(minority)))
+    small = data.filter(col(target).isin(list(missing)))
     near = knn_join(small, small, feats, k, key, key, payload=feats, exclude_self=True, by=target)
-    ranked = rank_by_hash(small, key, seed, [target], sum(minority.values()))
+    ranked = rank_by_hash(small, key, seed, [target], sum(complete[c] for c in missing))
     quota = F.lit(None).cast("long")
-    for c, n in minority.items():
-        each, rest = divmod(largest - n, n)
+    for c, short in missing.items():
+        each, rest = divmod(short, complete[c])
         quota = F.when(col(target) == F.lit(c), F.lit(each) + F.when(F.col("_rank") <= rest, 1).otherwise(0)).otherwise(quota)
-    points = _spread(ranked.withColumn("_quota", quota.cast("long")), key, "_quota", max((largest - n) // n + 1 for n in minority.values()))
+    points = _spread(ranked.withColumn("_quota", quota.cast("long")), key, "_quota", max(short // complete[c] + 1 for c, short in missing.items()))
     return original.unionByName(_interpolated(points, near, feats, target, key, seed))
 
 
@@ -108,15 +118,12 @@ def adasyn(
     Row quota = round(missing * share / sum of shares), share = other-class part of the k neighbours.
     """
     feats = _features(df, target, key, features)
-    data = df.filter(col(target).isNotNull()).select(col(key).cast("long").alias(key), *feats, target).dropna(subset=feats)
-    counts = {r["cls"]: r["n"] for r in class_counts(data, target).collect()}
-    largest = max(counts.values())
-    minority = {c: n for c, n in counts.items() if n < largest}
+    data, missing, complete = _short_classes(df, target, key, feats)
     # every row stays, those with a missing feature or class too; they only take no part in the new points
     original = df.select(col(key).cast("long").alias(key), *[col(f).cast("double").alias(f) for f in feats], target, F.lit(False).alias("synthetic"))
-    if not minority:
+    if not missing:
         return original
-    small = data.filter(col(target).isin(list(minority)))
+    small = data.filter(col(target).isin(list(missing)))
     around = knn_join(small, data.withColumn("_cls", col(target)), feats, k, key, key, payload=["_cls"], exclude_self=True)
     share = (
         around.join(small.select(col(key).alias("_sk"), col(target).alias("_own")), col(key) == F.col("_sk"))
@@ -126,11 +133,11 @@ def adasyn(
     share = cut_lineage(share)
     sums = {r["_own"]: r["s"] for r in share.groupBy("_own").agg(F.sum("_share").alias("s")).collect()}
     quota = F.lit(0).cast("long")
-    for c, n in minority.items():
+    for c, short in missing.items():
         if sums.get(c):
-            quota = F.when(F.col("_own") == F.lit(c), F.round(F.col("_share") * F.lit((largest - n) / sums[c])).cast("long")).otherwise(quota)
+            quota = F.when(F.col("_own") == F.lit(c), F.round(F.col("_share") * F.lit(short / sums[c])).cast("long")).otherwise(quota)
     quotas = share.select(F.col(key).alias("_qk"), quota.alias("_quota"))
-    points = _spread(small.join(quotas, col(key) == F.col("_qk")).drop("_qk"), key, "_quota", largest)
+    points = _spread(small.join(quotas, col(key) == F.col("_qk")).drop("_qk"), key, "_quota", max(missing.values()))
     near = knn_join(small, small, feats, k, key, key, payload=feats, exclude_self=True, by=target)
     return original.unionByName(_interpolated(points, near, feats, target, key, seed))
 
@@ -147,11 +154,11 @@ def undersample(df: DataFrame, target: str, key: str, seed: int = 42, rows_per_r
 def _weights_fit(df, s, found):
     counts = class_counts(df, s.column)
     top = counts.agg(F.max("n")).first()[0]
-    return Fitted({"largest": top}, {"weights": small_or_cut(counts.select("cls", (F.lit(float(top or 0)) / F.col("n")).alias("_w")))})
+    return Fitted({"largest": top}, mapping_tables("weights", counts.select("cls", (F.lit(float(top or 0)) / F.col("n")).alias("_w")), df, col(s.column), "cls"))
 
 
 def _weights_apply(df, s, f):
-    out = left_lookup(df, f.tables["weights"], s.column, "cls")
+    out = look_up(df, f.tables, "weights", s.column, "cls")
     return out.withColumn(f"{s.column}_weight", F.col("_w")).drop("_w")
 
 

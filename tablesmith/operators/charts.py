@@ -138,6 +138,27 @@ def line_series(df: DataFrame, x: str, y: str, unit: str = "day", group_by: str
     return df.groupBy(group.alias("group"), bucket.alias("bucket")).agg(F.avg(col(y).cast("double")).alias("y_mean"), F.count(F.lit(1)).alias("n"))
 
 
+def line_points(df: DataFrame, x: str, y: str, group_by: str | None = None, columns: int = 500) -> DataFrame:
+    """``(group, column, n, x_first, y_first, x_last, y_last, x_low, y_low, x_high, y_high)``: the line over a number or a time, as wide as a chart.
+
+    Of the points in a pixel column a drawn line shows the first, the last, the lowest and the highest (M4 aggregation), so these four
+    draw the same line as all points. Points at the same x are taken by y, points of the same y by x. One aggregate, at most ``columns`` rows a group.
+    """
+    cx, cy = _number(df, x), col(y).cast("double")
+    known = df.filter(cx.isNotNull() & cy.isNotNull())
+    lo, hi = known.agg(F.min(cx), F.max(cx)).first()
+    if lo is None:
+        lo = hi = 0.0
+    width = (hi - lo) / columns or 1.0
+    at = F.least(F.floor((cx - F.lit(lo)) / F.lit(width)), F.lit(columns - 1)).cast("int")
+    group = col(group_by).cast("string") if group_by else F.lit("all")
+    along, across = F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")), F.struct(F.col("_y").alias("y"), F.col("_x").alias("x"))
+    ends = {"first": F.min(along), "last": F.max(along), "low": F.min(across), "high": F.max(across)}
+    points = known.select(group.alias("group"), at.alias("column"), cx.alias("_x"), cy.alias("_y"))
+    cells = points.groupBy("group", "column").agg(F.count(F.lit(1)).alias("n"), *[e.alias(name) for name, e in ends.items()])
+    return cells.select("group", "column", "n", *[F.col(name)[c].alias(f"{c}_{name}") for name in ends for c in ("x", "y")])
+
+
 def pair_plot(df: DataFrame, columns: list[str], key: str, hue: str | None = None, n: int = 1000):
     """Correlations of the columns over all rows, and a sample of points."""
     points = sample_n(df.select(*dict.fromkeys([key, *columns, *([hue] if hue else [])])), key, n)
@@ -164,11 +185,17 @@ def violin(df: DataFrame, column: str, group_by: str | None = None) -> DataFrame
     return whole.unionByName(groups)
 
 
+#: terms kept of each kernel's expansion; cells are half a kernel's width, so what is left out is below 1e-11 of a kernel
+TERMS = 12
+#: kernel widths beyond which a kernel is below the last digit of a double
+REACH = 9.0
+
+
 def density(df: DataFrame, column: str, points: int = 1000, bins: int = 20) -> DataFrame:
-    """``(point, x, density, scaled)``: Gaussian kernel density (Scott's width) on an even grid.
+    """``(point, x, density, scaled)``: Gaussian kernel density (Scott's width) on an even grid, by the fast Gauss transform.
 
-    Values are counted first; each task then adds up its values' kernels on the whole grid, so
-    that a task sends ``points`` numbers on, whatever it read.
+    Values are summed into cells as moments about the cell's centre, which add up over tasks; a cell's kernels are then their Hermite expansion. Work
+    is linear in the rows, and a cell meets only the grid points within reach. Tasks send at most ``points`` numbers on.
     """
     c = col(column).cast("double")
     n, lo, hi, std = df.agg(F.count(c), F.min(c), F.max(c), F.stddev_samp(c)).first()
@@ -177,15 +204,30 @@ def density(df: DataFrame, column: str, points: int = 1000, bins: int = 20) -> D
         return spark.createDataFrame([], "point int, x double, density double, scaled double")
     width = std * n ** (-1 / 5)
     grid = np.linspace(lo, hi, points)
-    cells = df.filter(c.isNotNull()).groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    # distances in units of sqrt(2) widths; cells from lo on
+    cell = F.floor((c - F.lit(lo)) / F.lit(width / 2)).cast("long")
+    t = (c - F.lit(lo) - (F.col("cell") + F.lit(0.5)) * F.lit(width / 2)) / F.lit(width * math.sqrt(2))
+    placed = df.filter(c.isNotNull()).withColumn("cell", cell).select("cell", t.alias("t"))
+    power, moments = F.lit(1.0), []
+    for k in range(TERMS):
+        moments.append(F.sum(power).alias(f"m{k}"))
+        power = power * F.col("t")
+    cells = placed.groupBy("cell").agg(*moments)
 
     def add_up(batches):
         total = np.zeros(points)
         for pdf in batches:
-            v, w = pdf["v"].to_numpy(), pdf["w"].to_numpy(dtype=float)
-            for start in range(0, len(v), 2000):
-                z = (grid[:, None] - v[None, start : start + 2000]) / width
-                total += np.exp(-0.5 * z * z) @ w[start : start + 2000]
+            centres = lo + (pdf["cell"].to_numpy() + 0.5) * (width / 2)
+            m = pdf[[f"m{k}" for k in range(TERMS)]].to_numpy(dtype=float)
+            m /= np.array([math.factorial(k) for k in range(TERMS)], float)
+            first = np.searchsorted(grid, centres - REACH * width)
+            last = np.searchsorted(grid, centres + REACH * width, "right")
+            for i in range(len(centres)):
+                z = (grid[first[i] : last[i]] - centres[i]) / (width * math.sqrt(2))
+                before, term = np.zeros_like(z), np.exp(-z * z)
+                for k in range(TERMS):  # Hermite functions by their recurrence
+                    total[first[i] : last[i]] += m[i, k] * term
+                    before, term = term, 2 * z * term - 2 * k * before
         yield pd.DataFrame({"point": np.arange(points, dtype=np.int32), "k": total})
 
     sums = cells.mapInPandas(add_up, "point int, k double").groupBy("point").agg(F.sum("k").alias("k"))
@@ -234,7 +276,8 @@ def recommend_charts(df: DataFrame, top: int = 8) -> DataFrame:
     if num:
         for r in outliers(df, num).filter("percent > 0.5").collect():
             found.append((2, "box", r["column"], first(0, 8) or ""))
-        for r in high_correlation(df, num).limit(3).collect() if len(num) > 1 else []:
+        strongest = high_correlation(df, num).orderBy(F.desc(F.abs("r")), "col1", "col2") if len(num) > 1 else None
+        for r in strongest.limit(3).collect() if strongest is not None else []:
             found.append((1, "scatter", f"{r['col1']},{r['col2']}", first(0, 6) or ""))
     for c in cat:
         if unique[c] <= 15:

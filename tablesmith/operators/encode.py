@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import Ranges, running_totals
 from ..functions.schema import col
-from ..plans.step import Fitted, left_lookup, register, small_or_cut
+from ..plans.step import Fitted, look_up, mapping_tables, register
 
 MAX_ONEHOT = 1000
 
@@ -43,11 +44,12 @@ def _label_value(s):
 
 def _label_fit(df, s, found):
     _need_order(s)
-    return Fitted({}, {"codes": small_or_cut(first_seen_codes(df, _label_value(s), list(s.order_by), s.params.get("rows_per_range")))})
+    codes = first_seen_codes(df, _label_value(s), list(s.order_by), s.params.get("rows_per_range"))
+    return Fitted({}, mapping_tables("codes", codes, df, _label_value(s)))
 
 
 def _label_apply(df, s, f):
-    out = left_lookup(df.withColumn(s.column, _label_value(s)), f.tables["codes"], s.column, "v")
+    out = look_up(df.withColumn(s.column, _label_value(s)), f.tables, "codes", s.column)
     return out.withColumn(s.column, F.col("code")).drop("code")
 
 
@@ -71,6 +73,27 @@ def _onehot_apply(df, s, f):
 register("encode", "onehot", fit=_onehot_fit, apply=_onehot_apply)
 
 
+def _sparse_fit(df, s, found):
+    """Index of each value in alphabetical order, for any number of values; nothing is collected."""
+    value = col(s.column).cast("string")
+    values = df.filter(value.isNotNull()).select(value.alias("v")).distinct()
+    tables = mapping_tables("codes", _numbered(values, ["v"], s.params.get("rows_per_range")), df, value)
+    return Fitted({"size": int(tables["codes"].count())}, tables)
+
+
+def _sparse_apply(df, s, f):
+    """``{c}_index`` and ``{c}_onehot``, a sparse vector with a 1 at the index; NULL and unseen values have no index and all zeros."""
+    size, index, vector = f.params["size"], f"{s.column}_index", f"{s.column}_onehot"
+    out = look_up(df.withColumn(s.column, col(s.column).cast("string")), f.tables, "codes", s.column).withColumnRenamed("code", index)
+    # the encoder only needs to know the largest index; its last slot, for rows without one, is left out
+    known = df.sparkSession.createDataFrame([(float(max(size - 1, 0)),)], "_i double")
+    encoder = OneHotEncoder(inputCol="_i", outputCol=vector, handleInvalid="keep", dropLast=True).fit(known)
+    return _drop_if(encoder.transform(out.withColumn("_i", F.coalesce(col(index), F.lit(size)).cast("double"))).drop("_i"), s, default=True)
+
+
+register("encode", "onehot_sparse", fit=_sparse_fit, apply=_sparse_apply)
+
+
 def _drop_if(df, s, default=False):
     return df.drop(s.column) if s.params.get("drop_original", default) else df
 
@@ -80,11 +103,11 @@ def _target_fit(df, s, found):
     means = (
         df.filter(col(s.column).isNotNull()).groupBy(col(s.column).alias("v")).agg(F.avg(col(y).cast("double")).alias("_m"))
     )
-    return Fitted({"global_mean": found.values["mean"]}, {"means": small_or_cut(means)})
+    return Fitted({"global_mean": found.values["mean"]}, mapping_tables("means", means, df, col(s.column)))
 
 
 def _target_apply(df, s, f):
-    out = left_lookup(df, f.tables["means"], s.column, "v")
+    out = look_up(df, f.tables, "means", s.column)
     out = out.withColumn(f"{s.column}_target_encoded", F.coalesce(F.col("_m"), F.lit(f.params["global_mean"]))).drop("_m")
     return _drop_if(out, s)
 
@@ -100,12 +123,12 @@ register(
 
 def _counts_fit(df, s, found):
     counts = df.filter(col(s.column).isNotNull()).groupBy(col(s.column).alias("v")).agg(F.count(F.lit(1)).alias("_n"))
-    return Fitted({"rows": int(found.values["n"])}, {"counts": small_or_cut(counts)})
+    return Fitted({"rows": int(found.values["n"])}, mapping_tables("counts", counts, df, col(s.column)))
 
 
 def _counts_apply(share: bool):
     def apply(df, s, f):
-        out = left_lookup(df, f.tables["counts"], s.column, "v")
+        out = look_up(df, f.tables, "counts", s.column)
         if share:
             out = out.withColumn(f"{s.column}_freq_encoded", F.try_divide(F.col("_n").cast("double"), F.lit(float(f.params["rows"]))))
         else:
@@ -124,14 +147,14 @@ def _binary_fit(df, s, found):
     _need_order(s)
     known = df.filter(col(s.column).isNotNull())
     codes = first_seen_codes(known, col(s.column).cast("string"), list(s.order_by), s.params.get("rows_per_range"))
-    codes = small_or_cut(codes.withColumn("code", F.col("code") + 1))
-    k = int(codes.agg(F.max("code")).first()[0] or 0)
-    return Fitted({"digits": max(1, math.ceil(math.log2(k + 1)))}, {"codes": codes})
+    tables = mapping_tables("codes", codes.withColumn("code", F.col("code") + 1), known, col(s.column).cast("string"))
+    k = int(tables["codes"].agg(F.max("code")).first()[0] or 0)
+    return Fitted({"digits": max(1, math.ceil(math.log2(k + 1)))}, tables)
 
 
 def _binary_apply(df, s, f):
     """Code 1.. in base 2, high digit first; NULL and unseen values are all zero."""
-    out = left_lookup(df, f.tables["codes"], s.column, "v")
+    out = look_up(df, f.tables, "codes", s.column)
     n = f.params["digits"]
     code = F.coalesce(F.col("code"), F.lit(0))
     out = out.withColumns(
@@ -147,15 +170,16 @@ def _ordinal_fit(df, s, found):
     order = s.params.get("order")
     values = df.filter(col(s.column).isNotNull()).select(col(s.column).cast("string").alias("v")).distinct()
     if order is None:
-        return Fitted({}, {"codes": small_or_cut(_numbered(values, ["v"], s.params.get("rows_per_range")))})
+        codes = _numbered(values, ["v"], s.params.get("rows_per_range"))
+        return Fitted({}, mapping_tables("codes", codes, df, col(s.column).cast("string")))
     given = df.sparkSession.createDataFrame([(str(v), i) for i, v in enumerate(order)], "v string, code int")
     unseen = _numbered(values.join(given, "v", "left_anti"), ["v"], s.params.get("rows_per_range"))
     unseen = unseen.withColumn("code", F.col("code") + F.lit(len(order)))
-    return Fitted({"given": len(order)}, {"codes": small_or_cut(given.unionByName(unseen))})
+    return Fitted({"given": len(order)}, mapping_tables("codes", given.unionByName(unseen), df, col(s.column).cast("string")))
 
 
 def _ordinal_apply(df, s, f):
-    out = left_lookup(df, f.tables["codes"], s.column, "v")
+    out = look_up(df, f.tables, "codes", s.column)
     return _drop_if(out.withColumn(f"{s.column}_ordinal", F.col("code")).drop("code"), s)
 
 

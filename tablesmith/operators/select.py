@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import safe_corr
+from ..functions.numbers import chi2_pvalue, safe_corr
 from ..functions.schema import col, is_numeric, require_numeric
 from ..models.validate import problem_type
 from ..plans.step import Fitted, register
@@ -24,38 +23,20 @@ def correlation_scores(df: DataFrame, columns: list[str], target: str) -> DataFr
 
 
 def chi2_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """``(feature, chi2, dof)`` of independence between each category column and the target.
+    """``(feature, chi2, dof, p_value)`` of independence between each category column and the target.
 
     From contingency counts only; a category with no row of a class still adds its expected count.
     """
-    out = None
-    for c in columns:
-        cells = (
-            df.filter(col(c).isNotNull() & col(target).isNotNull())
-            .groupBy(col(c).cast("string").alias("x"), col(target).cast("string").alias("y"))
-            .agg(F.count(F.lit(1)).cast("double").alias("n"))
-        )
-        xs = cells.groupBy("x").agg(F.sum("n").alias("nx"))
-        ys = cells.groupBy("y").agg(F.sum("n").alias("ny"))
-        total = cells.agg(F.sum("n")).scalar()
-        # sum((n - e)^2 / e) over all cells = total * sum(n^2 / (nx ny)) - total: empty cells need no row
-        part = cells.join(xs, "x").join(ys, "y").agg(F.sum(F.expr("n * n / (nx * ny)")).alias("q"))
-        one = part.select(
-            F.lit(c).alias("feature"),
-            (total * F.col("q") - total).alias("chi2"),
-            ((xs.agg(F.count(F.lit(1))).scalar() - 1) * (ys.agg(F.count(F.lit(1))).scalar() - 1)).alias("dof"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def chi2_pvalues(df: DataFrame, columns: list[str], target: str) -> dict[str, float]:
-    names = [f"_i{i}" for i in range(len(columns))]
-    data = df.select(*[col(c).cast("string") for c in columns], col(target).cast("string")).dropna()
-    indexed = StringIndexer(inputCols=[*columns, target], outputCols=[*names, "_y"]).fit(data).transform(data)
-    vec = VectorAssembler(inputCols=names, outputCol="_x").transform(indexed)
-    row = ChiSquareTest.test(vec, "_x", "_y").first()
-    return dict(zip(columns, [float(p) for p in row["pValues"]]))
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), col(c).cast("string").alias("x")) for c in columns])
+    known = df.filter(col(target).isNotNull()).select(F.inline(pairs), col(target).cast("string").alias("y")).where("x IS NOT NULL")
+    cells = known.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    xs = cells.groupBy("feature", "x").agg(F.sum("n").alias("nx"))
+    ys = cells.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
+    sides = xs.groupBy("feature").agg(F.sum("nx").alias("total"), F.count("x").alias("kx")).join(ys.groupBy("feature").agg(F.count("y").alias("ky")), "feature")
+    # sum((n - e)^2 / e) over all cells = total * sum(n^2 / (nx ny)) - total: empty cells need no row
+    part = cells.join(xs, ["feature", "x"]).join(ys, ["feature", "y"]).groupBy("feature").agg(F.sum(F.expr("n * n / (nx * ny)")).alias("q"))
+    out = part.join(sides, "feature").select("feature", F.expr("total * q - total").alias("chi2"), F.expr("(kx - 1) * (ky - 1)").alias("dof"))
+    return out.withColumn("p_value", chi2_pvalue(F.col("chi2"), F.col("dof")))
 
 
 def vectors(df: DataFrame, columns: list[str], target: str, standardise: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import col
 from ..functions.stem import porter, porter2
-from ..plans.step import Fitted, register, small_or_cut
+from ..plans.step import Fitted, look_up, mapping_tables, register, small_or_cut
 
 # Fixed value: white space as Python's str.split() sees it; reads the same in Java and RE2.
 WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -75,40 +75,44 @@ def _stemming(df, s, f):
 register("text_processing", "stemming", apply=_stemming)
 
 
-def lemmatize(df: DataFrame, column: str, key: str, lemmas: DataFrame) -> DataFrame:
+def lemmatize(df: DataFrame, column: str, key: str, lemmas: DataFrame, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Adds ``{column}_lemmatized``: each word replaced by its lemma from the ``(word, lemma)`` table.
 
-    The lexicon is joined to the distinct words of each text, by broadcast only up to a checked size. ``key`` names the rows.
+    The distinct words of each text are looked up in the lexicon, words that many texts hold apart from the others. ``key`` names the rows.
     """
     if not key:
         raise ValueError("lemmatization needs a key column")
-    lexicon = small_or_cut(lemmas.groupBy("word").agg(F.min("lemma").alias("lemma")))
+    tables = tables or lexicon_tables(df, column, lemmas)
     words = tokens(F.lower(col(column).cast("string")))
-    hits = (
-        df.select(col(key).alias("_k"), F.explode(F.array_distinct(words)).alias("word"))
-        .join(lexicon, "word")
-        .groupBy("_k")
-        .agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "lemma")))).alias("_map"))
-    )
+    asked = df.select(col(key).alias("_k"), F.explode(F.array_distinct(words)).alias("word"))
+    hits = look_up(asked, tables, "lemmas", "word", "_word").where("lemma IS NOT NULL")
+    hits = hits.groupBy("_k").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "lemma")))).alias("_map"))
     joined = df.join(hits, col(key) == F.col("_k"), "left")
     text = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at("_map", w), w)), " ")
     return joined.withColumn(f"{column}_lemmatized", text).drop("_k", "_map")
 
 
+def lexicon_tables(df: DataFrame, column: str, lemmas: DataFrame) -> dict[str, DataFrame]:
+    """The lexicon as a fitted mapping: one lemma a word, the smallest."""
+    lexicon = lemmas.groupBy(F.col("word").alias("_word")).agg(F.min("lemma").alias("lemma"))
+    words = df.select(F.explode(F.array_distinct(tokens(F.lower(col(column).cast("string"))))).alias("word"))
+    return mapping_tables("lemmas", lexicon, words, F.col("word"), "_word")
+
+
 def _lemma_fit(df, s, found):
     """``lemmas`` is a path to a parquet table or a list of [word, lemma]."""
     given = s.params["lemmas"]
     table = df.sparkSession.read.parquet(given) if isinstance(given, str) else df.sparkSession.createDataFrame(
         [tuple(x) for x in given], "word string, lemma string"
     )
-    return Fitted({}, {"lemmas": table})
+    return Fitted({}, lexicon_tables(df, s.column, table))
 
 
 register(
     "text_processing",
     "lemmatization",
     fit=_lemma_fit,
-    apply=lambda df, s, f: lemmatize(df, s.column, s.key or "", f.tables["lemmas"]),
+    apply=lambda df, s, f: lemmatize(df, s.column, s.key or "", f.tables["lemmas"], f.tables),
 )
 
 
@@ -175,11 +179,38 @@ def _tfidf_apply(df, s, f):
 register("text_processing", "tfidf", fit=_tfidf_fit, apply=_tfidf_apply)
 
 
-def word_embeddings(df: DataFrame, column: str, size: int = 32, min_count: int = 5, seed: int = 42, epochs: int = 5) -> DataFrame:
-    """Adds ``{column}_embedding``: the mean of trained word vectors of each text."""
-    words = df.withColumn("_w", F.coalesce(tokens(F.lower(col(column).cast("string"))), F.array().cast("array<string>")))
+def word_vectors(df: DataFrame, column: str, size: int = 32, min_count: int = 5, seed: int = 42, epochs: int = 5) -> DataFrame:
+    """``(word, vector)`` trained on the texts of a table."""
+    words = df.select(F.coalesce(tokens(F.lower(col(column).cast("string"))), F.array().cast("array<string>")).alias("_w"))
     model = Word2Vec(vectorSize=size, minCount=min_count, maxIter=epochs, numPartitions=_parts(df), seed=seed, inputCol="_w", outputCol="_v").fit(words)
-    return model.transform(words).withColumn(f"{column}_embedding", vector_to_array("_v")).drop("_w", "_v")
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+
+
+def vector_tables(df: DataFrame, column: str, vectors: DataFrame) -> dict[str, DataFrame]:
+    """Word vectors as a fitted mapping; a vocabulary outgrows a broadcast soon, and its commonest words are in most texts."""
+    words = df.select(F.explode(F.array_distinct(tokens(F.lower(col(column).cast("string"))))).alias("word"))
+    return mapping_tables("vectors", vectors.withColumnRenamed("word", "_word"), words, F.col("word"), "_word")
+
+
+def mean_vectors(df: DataFrame, column: str, key: str, tables: dict[str, DataFrame], size: int) -> DataFrame:
+    """Adds ``{column}_embedding``: the mean of the vectors of a text's words, each as often as it occurs; zeros if no word has one.
+
+    A word of a text is looked up once and the sums of a text's words are added before they meet. ``key`` names the rows.
+    """
+    if not key:
+        raise ValueError("word embeddings need a key column")
+    words = df.select(col(key).alias("_k"), F.explode(tokens(F.lower(col(column).cast("string")))).alias("word"))
+    counted = words.groupBy("_k", "word").agg(F.count(F.lit(1)).alias("n"))
+    found = look_up(counted, tables, "vectors", "word", "_word").where("vector IS NOT NULL")
+    sums = found.groupBy("_k").agg(F.sum("n").alias("_n"), *[F.sum(F.col("n") * F.get("vector", F.lit(i))).alias(f"_v{i}") for i in range(size)])
+    means = sums.select("_k", F.array(*[F.col(f"_v{i}") / F.col("_n") for i in range(size)]).alias("_mean"))
+    joined = df.join(means, col(key) == F.col("_k"), "left")
+    return joined.withColumn(f"{column}_embedding", F.coalesce("_mean", F.array_repeat(F.lit(0.0), size))).drop("_k", "_mean")
+
+
+def word_embeddings(df: DataFrame, column: str, key: str, size: int = 32, min_count: int = 5, seed: int = 42, epochs: int = 5) -> DataFrame:
+    """Vectors trained on a table and applied to the same one."""
+    return mean_vectors(df, column, key, vector_tables(df, column, word_vectors(df, column, size, min_count, seed, epochs)), size)
 
 
 ROWS_PER_COPY = 20_000
@@ -190,8 +221,12 @@ def _parts(df: DataFrame) -> int:
     return df.count() // ROWS_PER_COPY + 1
 
 
-register(
-    "text_processing",
-    "word_embeddings",
-    apply=lambda df, s, f: word_embeddings(df, s.column, int(s.params.get("size", 32)), epochs=int(s.params.get("epochs", 5))),
-)
+def _embeddings_fit(df, s, found):
+    if not s.key:
+        raise ValueError("word embeddings need a key column")
+    size = int(s.params.get("size", 32))
+    vectors = word_vectors(df, s.column, size, int(s.params.get("min_count", 5)), epochs=int(s.params.get("epochs", 5)))
+    return Fitted({"size": size}, vector_tables(df, s.column, vectors))
+
+
+register("text_processing", "word_embeddings", fit=_embeddings_fit, apply=lambda df, s, f: mean_vectors(df, s.column, s.key, f.tables, f.params["size"]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_double
 from ..functions.schema import col, require_numeric
-from ..plans.step import Fitted, left_lookup, register, small_or_cut
+from ..plans.step import Fitted, look_up, mapping_tables, register
 
 
 def _min_agg(df, s):
@@ -190,11 +190,11 @@ def _rare_fit(df, s, found):
     total = df.agg(F.count(col(s.column))).first()[0]
     # share < threshold, in the form n / total < threshold
     frequent = counts.filter(F.col("n") / F.lit(float(total or 1)) >= F.lit(threshold)).select("v", F.lit(True).alias("_keep"))
-    return Fitted({"threshold": threshold}, {"frequent": small_or_cut(frequent)})
+    return Fitted({"threshold": threshold}, mapping_tables("frequent", frequent, df, col(s.column)))
 
 
 def _rare_apply(df, s, f):
-    out = left_lookup(df, f.tables["frequent"], s.column, "v")
+    out = look_up(df, f.tables, "frequent", s.column)
     c = col(s.column)
     return out.withColumn(s.column, F.when(c.isNull() | F.col("_keep"), c).otherwise(F.lit("Other"))).drop("_keep")
 
@@ -225,13 +225,13 @@ def _cluster_fit(hierarchical: bool):
         algo = BisectingKMeans if hierarchical else KMeans
         model = algo(k=k, seed=42, featuresCol="x", predictionCol="g").fit(vec)
         groups = model.transform(vec).select("v", F.concat(F.lit("group_"), F.col("g").cast("string")).alias("_g"))
-        return Fitted({"n_clusters": k}, {"groups": small_or_cut(groups)})
+        return Fitted({"n_clusters": k}, mapping_tables("groups", groups, df, col(s.column)))
 
     return fit
 
 
 def _cluster_apply(df, s, f):
-    out = left_lookup(df, f.tables["groups"], s.column, "v")
+    out = look_up(df, f.tables, "groups", s.column)
     c = col(s.column)
     return out.withColumn(s.column, F.when(c.isNotNull(), F.coalesce(F.col("_g"), F.lit("Other")))).drop("_g")
 

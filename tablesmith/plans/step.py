@@ -17,9 +17,10 @@ import json
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any, Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.lookup import look_up, mapping_tables  # noqa: F401  (part of the step toolbox)
 from ..functions.quantiles import exact_quantiles
 from ..functions.schema import col
 from ..session import small_or_cut  # noqa: F401  (part of the step toolbox)
@@ -100,11 +101,6 @@ def method_of(step: Step) -> Method:
     return found
 
 
-def left_lookup(df: DataFrame, table: DataFrame, column: str, table_key: str) -> DataFrame:
-    """Left join on one column; the strategy (broadcast, shuffle, skew split) is Spark's by size."""
-    return df.join(table.withColumnRenamed(table_key, "_lk"), col(column) == F.col("_lk"), "left").drop("_lk")
-
-
 def _names(value) -> set[str]:
     """All strings in a parameter, lists and mappings included: any of them may name a column."""
     if isinstance(value, str):
@@ -179,25 +175,34 @@ class FittedWorkflow:
     fitted: list[Fitted]
     skipped: list[tuple[Step, str]] = field(default_factory=list)
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, training: bool = False) -> DataFrame:
+        """Applies the steps in order. Steps that add or drop rows shape the training table; others keep their rows unless ``training``."""
         for s, f in zip(self.steps, self.fitted):
-            df = method_of(s).apply(df, s, f)
+            if training or not method_of(s).changes_rows:
+                df = method_of(s).apply(df, s, f)
         return df
 
     def audit(self, df: DataFrame) -> DataFrame:
-        """One row per step: how many rows (or values) it affects, and its fitted scalars."""
-        rows = []
-        for i, (s, f) in enumerate(zip(self.steps, self.fitted), start=1):
+        """One row per step: how many rows (or values) it affects, and its fitted scalars.
+
+        Counts are observed on the way through the steps, as they run on a training table, in one job for all of them.
+        """
+        seen: list[Observation] = []
+        for s, f in zip(self.steps, self.fitted):
             m = method_of(s)
-            out = m.apply(df, s, f)
+            counts = [F.count(F.lit(1)).alias("rows")]
             if m.affected:
-                affected = df.agg(m.affected(df, s, f).cast("long")).first()[0]
-            elif m.changes_rows:
-                affected = df.count() - out.count()
-            else:
-                affected = None
-            rows.append((i, s.step, ",".join(s.columns), s.method, affected, json.dumps(f.params, sort_keys=True, default=str)))
-            df = out
+                counts.append(m.affected(df, s, f).cast("long").alias("affected"))
+            seen.append(Observation())
+            df = m.apply(df.observe(seen[-1], *counts), s, f)
+        last = Observation()
+        df.observe(last, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+        found = [o.get for o in [*seen, last]]
+        rows = []
+        for i, (s, f) in enumerate(zip(self.steps, self.fitted)):
+            m = method_of(s)
+            affected = found[i]["affected"] if m.affected else found[i]["rows"] - found[i + 1]["rows"] if m.changes_rows else None
+            rows.append((i + 1, s.step, ",".join(s.columns), s.method, affected, json.dumps(f.params, sort_keys=True, default=str)))
         for s, message in self.skipped:
             rows.append((None, s.step, ",".join(s.columns), s.method, None, "skipped: " + message))
         schema = "step_no int, step string, column string, method string, affected bigint, fitted string"

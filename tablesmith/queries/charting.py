@@ -178,6 +178,22 @@ def _series(spark, sf):
     return rounded(V.line_series(table(spark, sf, "events"), "ts", "value", "day", "event_type"))
 
 
+_AT = "CAST(least(floor((o_custkey - lo) / ((hi - lo) / 100.0)), 99) AS INTEGER)"
+
+
+@query(
+    "chart_line_numeric",
+    f"""
+    WITH e AS (SELECT CAST(min(o_custkey) AS DOUBLE) AS lo, CAST(max(o_custkey) AS DOUBLE) AS hi FROM orders),
+    p AS (SELECT o_orderstatus AS "group", {_AT} AS "column", CAST(o_custkey AS DOUBLE) AS x, o_totalprice AS y FROM orders, e),
+    c AS (SELECT "group", "column", count(*) AS n, min({{'x': x, 'y': y}}) AS a, max({{'x': x, 'y': y}}) AS b, min({{'y': y, 'x': x}}) AS l, max({{'y': y, 'x': x}}) AS h FROM p GROUP BY 1, 2)
+    SELECT "group", "column", n, a.x AS x_first, a.y AS y_first, b.x AS x_last, b.y AS y_last, l.x AS x_low, l.y AS y_low, h.x AS x_high, h.y AS y_high FROM c
+    """,
+)
+def _line_numeric(spark, sf):
+    return V.line_points(table(spark, sf, "orders"), "o_custkey", "o_totalprice", "o_orderstatus", 100)
+
+
 PAIR = ("o_totalprice", "o_custkey")
 
 
@@ -209,22 +225,30 @@ def _violin(spark, sf):
     return rounded(V.violin(table(spark, sf, "events"), "value", "event_type"))
 
 
-@query(
-    "density_curve",
-    f"""
-    WITH v AS (SELECT l_quantity AS v, count(*) AS w FROM lineitem GROUP BY 1),
-    s AS (SELECT count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, stddev_samp(l_quantity) AS sd FROM lineitem),
+def _density_sql(c: str, digits: int) -> str:
+    return f"""
+    WITH v AS (SELECT {c} AS v, count(*) AS w FROM lineitem GROUP BY 1),
+    s AS (SELECT count(*) AS n, min({c}) AS lo, max({c}) AS hi, stddev_samp({c}) AS sd FROM lineitem),
     h AS (SELECT *, sd * pow(n, -0.2) AS h FROM s),
     g AS (SELECT unnest(range(0, 1000)) AS point),
     d AS (SELECT point, any_value(lo + point * ((hi - lo) / 999)) AS x,
       sum(w * exp(-0.5 * pow((lo + point * ((hi - lo) / 999) - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())) AS density FROM g, h, v GROUP BY point),
-    b AS (SELECT max(n) AS peak FROM (SELECT count(*) AS n FROM lineitem, s GROUP BY least(floor((l_quantity - lo) / ((hi - lo) / 20)), 19)))
-    SELECT CAST(point AS INTEGER) AS point, {r('x')} AS x, {r('density', 8)} AS density, {r('density * peak / (SELECT max(density) FROM d)', 3)} AS scaled FROM d, b
-    """,
-)
-def _density(spark, sf):
-    out = V.density(table(spark, sf, "lineitem"), "l_quantity")
-    return out.select("point", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"), F.round("scaled", 3).alias("scaled"))
+    b AS (SELECT max(n) AS peak FROM (SELECT count(*) AS n FROM lineitem, s GROUP BY least(floor(({c} - lo) / ((hi - lo) / 20)), 19)))
+    SELECT CAST(point AS INTEGER) AS point, {r('x')} AS x, {r('density', digits)} AS density, {r('density * peak / (SELECT max(density) FROM d)', 3)} AS scaled FROM d, b
+    """
+
+
+def _density_of(c: str, digits: int):
+    def run(spark, sf):
+        out = V.density(table(spark, sf, "lineitem"), c)
+        return out.select("point", F.round("x", 6).alias("x"), F.round("density", digits).alias("density"), F.round("scaled", 3).alias("scaled"))
+
+    return run
+
+
+query("density_curve", _density_sql("l_quantity", 8))(_density_of("l_quantity", 8))
+# densities of prices are about 1e-5: eight of their digits
+query("density_curve_continuous", _density_sql("l_extendedprice", 13))(_density_of("l_extendedprice", 13))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..plans.step import Step, apply_step
 from .common import ORDERS_N, query, r, rounded, table
 
@@ -20,6 +22,16 @@ def _onehot(spark, sf):
     return apply_step(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), Step("encode", ["o_orderstatus"], "onehot"))
 
 
+@query(
+    "encode_onehot_sparse",
+    """SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS c_name_index,
+    concat('(', (SELECT count(DISTINCT c_name) FROM customer), ',[', dense_rank() OVER (ORDER BY c_name) - 1, '],[1.0])') AS vector FROM customer""",
+)
+def _onehot_sparse(spark, sf):
+    out = apply_step(table(spark, sf, "customer"), Step("encode", ["c_name"], "onehot_sparse"))
+    return out.select("c_custkey", "c_name_index", F.col("c_name_onehot").cast("string").alias("vector"))
+
+
 @query(
     "encode_target",
     f"""WITH o AS {ORDERS_N.sql}, m AS (SELECT priority_n AS v, avg(o_totalprice) AS m FROM o WHERE priority_n IS NOT NULL GROUP BY priority_n)

@@ -34,17 +34,20 @@ def _select_corr(spark, sf):
 
 
 def _chi2_sql(c: str, y: str) -> str:
+    """Even degrees of freedom: the p-value is a finite sum."""
     return f"""
-    SELECT '{c}' AS feature, {r('sum((coalesce(n, 0) - e) * (coalesce(n, 0) - e) / e)', 4)} AS chi2,
-      (count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) AS dof
-    FROM (SELECT x, y, nx * ny / CAST((SELECT count(*) FROM lineitem) AS DOUBLE) AS e FROM
-      (SELECT {c} AS x, count(*) AS nx FROM lineitem GROUP BY 1) CROSS JOIN (SELECT {y} AS y, count(*) AS ny FROM lineitem GROUP BY 1))
-    LEFT JOIN (SELECT {c} AS x, {y} AS y, count(*) AS n FROM lineitem GROUP BY 1, 2) USING (x, y)"""
+    SELECT feature, {r('chi2', 4)} AS chi2, dof, {r('list_sum(list_transform(range(0, dof // 2), lambda i: exp(i * ln(chi2 / 2) - lgamma(i + 1) - chi2 / 2)))', 9)} AS p_value FROM (
+      SELECT '{c}' AS feature, sum((coalesce(n, 0) - e) * (coalesce(n, 0) - e) / e) AS chi2, (count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) AS dof
+      FROM (SELECT x, y, nx * ny / CAST((SELECT count(*) FROM lineitem) AS DOUBLE) AS e FROM
+        (SELECT {c} AS x, count(*) AS nx FROM lineitem GROUP BY 1) CROSS JOIN (SELECT {y} AS y, count(*) AS ny FROM lineitem GROUP BY 1))
+      LEFT JOIN (SELECT {c} AS x, {y} AS y, count(*) AS n FROM lineitem GROUP BY 1, 2) USING (x, y))"""
 
 
 @query("select_chi2", _chi2_sql("l_linestatus", "l_returnflag") + "\nUNION ALL\n" + _chi2_sql("l_linenumber", "l_returnflag"))
 def _chi2(spark, sf):
-    return rounded(S.chi2_scores(table(spark, sf, "lineitem"), ["l_linestatus", "l_linenumber"], "l_returnflag"), 4)
+    out = S.chi2_scores(table(spark, sf, "lineitem"), ["l_linestatus", "l_linenumber"], "l_returnflag")
+    return out.select("feature", F.round("chi2", 4).alias("chi2"), "dof", F.round("p_value", 9).alias("p_value"))
+
 
 
 def _frame(spark, scores: dict, kind: str):

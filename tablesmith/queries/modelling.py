@@ -133,15 +133,16 @@ def _parts(spark, sf, target):
     return T.spread(train), test
 
 
-def _classifier(key: str, model: str, target: str = "dear", **params):
-    @query(key)
+def _classifier(key: str, model: str, target: str = "dear", sql: str | None = None, **params):
+    @query(key, sql)
     def run(spark, sf):
         train, test = _parts(spark, sf, target)
+        classes = 2 if target == "dear" else 3
         try:
-            pred = T.fit_predict(model, "classification", train, test, 2 if target == "dear" else 3, **params)
+            pred = T.fit_predict(model, "classification", train, test, classes, **params)
         finally:
             train.unpersist()
-        return rounded(M.metrics_classification(pred), 4)
+        return rounded(T.metric_table(pred, "classification", [float(i) for i in range(classes)]), 4)
 
     return run
 
@@ -161,18 +162,17 @@ def _regressor(key: str, model: str, **params):
 
 _classifier("clf_logistic", "logistic_regression", "band")
 _classifier("clf_tree", "decision_tree", "band")
-_classifier("clf_forest", "random_forest", "band", numTrees=20)
+_classifier("clf_forest", "random_forest", "band")
 _classifier("clf_svm", "svm")
-_classifier("clf_nb", "naive_bayes", "band")
-_classifier("clf_gbt", "gradient_boosting", maxIter=10)
-_classifier("clf_xgb", "xgboost", maxIter=10)
+_classifier("clf_gbt", "gradient_boosting")
+_classifier("clf_xgb", "xgboost")
 _regressor("reg_tree", "decision_tree")
-_regressor("reg_forest", "random_forest", numTrees=20)
-_regressor("reg_gbt", "gradient_boosting", maxIter=10)
-_regressor("reg_xgb", "xgboost", maxIter=10)
+_regressor("reg_forest", "random_forest")
+_regressor("reg_gbt", "gradient_boosting")
+_regressor("reg_xgb", "xgboost")
 _regressor("reg_ridge", "ridge")
 _regressor("reg_lasso", "lasso")
-_regressor("reg_svr", "svr", iterations=30)
+_regressor("reg_svr", "svr")
 
 
 @query(
@@ -294,16 +294,38 @@ def _regression(spark, sf):
     return out.withColumn("value", F.when(F.col("metric") == "mse", F.round("value", 1)).otherwise(F.round("value", 4)))
 
 
+# naive Bayes: moments per class of the training part, log densities of the test part
+_LINE_TEST = "substr(md5(concat('42|', CAST(line_key AS VARCHAR))), 1, 8) < '33333333'"
+_NB_STATS = ", ".join(f"avg({f}) AS m_{f}, var_pop({f}) AS v_{f}" for f in FEATURES)
+_NB_DENSITY = " - ".join(["ln(c.n / CAST(w.n AS DOUBLE))", *[f"0.5 * ln(2 * pi() * (v_{f} + w.eps)) - (t.{f} - m_{f}) * (t.{f} - m_{f}) / (v_{f} + w.eps) / 2" for f in FEATURES]])
+_NB_SQL = f"""
+    WITH a AS (SELECT *, row_number() OVER () AS id FROM {LINES.sql}),
+    c AS (SELECT band, count(*) AS n, {_NB_STATS} FROM a WHERE NOT {_LINE_TEST} GROUP BY band),
+    w AS (SELECT count(*) AS n, 1e-9 * greatest({', '.join(f'var_pop({f})' for f in FEATURES)}) AS eps FROM a WHERE NOT {_LINE_TEST}),
+    s AS (SELECT t.id, t.band AS label, c.band AS cls, {_NB_DENSITY} AS score FROM a t, c, w WHERE {_LINE_TEST}),
+    x AS (SELECT *, exp(score - max(score) OVER (PARTITION BY id)) AS e, row_number() OVER (PARTITION BY id ORDER BY score DESC, cls) AS best FROM s),
+    p AS (SELECT id, any_value(label) AS label, max(cls) FILTER (best = 1) AS prediction, max(e) FILTER (cls = 0) / sum(e) AS s0, max(e) FILTER (cls = 1) / sum(e) AS s1,
+      max(e) FILTER (cls = 2) / sum(e) AS s2 FROM x GROUP BY id),
+    {_PER.replace('s AS (', 'q AS (')},
+    m AS (SELECT CAST(sum(tp) AS DOUBLE) AS c, CAST(sum(t) AS DOUBLE) AS n, sum(pr * t) AS wp, sum(rc * t) AS wr, sum(f1 * t) AS wf,
+      avg(rc) FILTER (t > 0) AS ba, CAST(sum(q * t) AS DOUBLE) AS pt, CAST(sum(q * q) AS DOUBLE) AS pp, CAST(sum(t * t) AS DOUBLE) AS tt FROM q),
+    u AS (SELECT sum(auc * n) / sum(n) AS auc FROM ({union([_auc_sql('p', f'label = {i}', f's{i}') for i in range(3)])}))
+    SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'balanced_accuracy', 'matthews', 'roc_auc']) AS metric,
+      unnest([{r('c / n', 4)}, {r('wp / n', 4)}, {r('wr / n', 4)}, {r('wf / n', 4)}, {r('ba', 4)}, {r('(c * n - pt) / (sqrt(n * n - pp) * sqrt(n * n - tt))', 4)}, {r('auc', 4)}]) AS value FROM m, u
+""".replace("c AS (SELECT l AS cls", "k AS (SELECT l AS cls").replace("AS f1 FROM c)", "AS f1 FROM k)")
+_classifier("clf_nb", "naive_bayes", "band", _NB_SQL)
+
+
 _CUM = f"""g AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM {P} GROUP BY score),
     k AS (SELECT score, pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g)"""
 
 
-@query("roc_curve", f"WITH {_CUM} SELECT {r('score')} AS threshold, {r('fp / CAST(n AS DOUBLE)')} AS fpr, {r('tp / CAST(p AS DOUBLE)')} AS tpr FROM k")
+@query("roc_curve", f"WITH {_CUM} SELECT {r('score')} AS threshold, {r('fp / CAST(n AS DOUBLE)')} AS fpr, {r('tp / CAST(p AS DOUBLE)')} AS tpr FROM k UNION ALL SELECT NULL, 0, 0")
 def _roc(spark, sf):
     return rounded(M.roc_curve(PREDICTIONS.df(spark, sf)))
 
 
-@query("pr_curve", f"WITH {_CUM} SELECT {r('score')} AS threshold, {r('tp / CAST(tp + fp AS DOUBLE)')} AS precision, {r('tp / CAST(p AS DOUBLE)')} AS recall FROM k")
+@query("pr_curve", f"WITH {_CUM} SELECT {r('score')} AS threshold, {r('tp / CAST(tp + fp AS DOUBLE)')} AS precision, {r('tp / CAST(p AS DOUBLE)')} AS recall FROM k UNION ALL SELECT NULL, 1, 0")
 def _pr(spark, sf):
     return rounded(M.pr_curve(PREDICTIONS.df(spark, sf)))
 
@@ -396,15 +418,76 @@ def _cv(spark, sf):
 
 @query("grid_search")
 def _grid(spark, sf):
-    grid = {"maxDepth": [3, 5], "minInstancesPerNode": [1, 4]}
-    return rounded(T.grid_search(LINES.df(spark, sf), FEATURES, "dear", "line_key", "decision_tree", grid, 3), 4)
+    return rounded(T.grid_search(LINES.df(spark, sf), FEATURES, "dear", "line_key", "decision_tree"), 4)
+
+
+def _bucket(key: str, folds: int) -> str:
+    return f"CAST('0x' || substr(md5(concat('42|', CAST({key} AS VARCHAR))), 1, 8) AS BIGINT) % {folds}"
+
+
+def _summary(points: str, folds: int) -> str:
+    """Mean and deviation of a point's scores, added in the order of the folds."""
+    at = [f"max(score) FILTER (fold = {f})" for f in range(folds)]
+    mean = f"({' + '.join(at)}) / {folds}"
+    dev = " + ".join(f"pow({x} - {mean}, 2)" for x in at)
+    return f"SELECT {points}, {mean} AS mean, sqrt(({dev}) / {folds}) AS std FROM f GROUP BY {points}"
+
+
+KNN_PART = Input("part", ("p_partkey", "p_type", "p_retailprice", "CAST(p_size AS DOUBLE) AS f1", "p_retailprice / 10 AS f2"))
+
+
+def _knn_folds(folds: int, ks: list[int], weights: list[str]) -> str:
+    """Every part's neighbours in other folds by brute force, votes of every point, accuracy per fold."""
+    w = "CASE w WHEN 'uniform' THEN 1.0::DOUBLE ELSE least(1 / nullif(sqrt(dist), 0), 1e12) END"
+    return f"""
+    WITH o AS (SELECT *, {_bucket('p_partkey', folds)} AS fold FROM {KNN_PART.sql}),
+    d AS (SELECT q.p_partkey AS id, q.fold, q.p_type AS label, t.p_type AS v, t.p_partkey AS tk, (q.f1 - t.f1) * (q.f1 - t.f1) + (q.f2 - t.f2) * (q.f2 - t.f2) AS dist
+      FROM o q, o t WHERE q.fold <> t.fold),
+    n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, tk) AS rk FROM d QUALIFY rk <= {max(ks)}),
+    g AS (SELECT * FROM (SELECT unnest({ks}) AS k), (SELECT unnest({weights}) AS w)),
+    v AS (SELECT id, fold, label, k, w, v, sum(coalesce({w}, 1e12) ORDER BY rk) AS votes FROM n, g WHERE rk <= k GROUP BY ALL),
+    b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id, k, w ORDER BY votes DESC, v) = 1),
+    f AS (SELECT k, w, fold, avg(CASE WHEN v = label THEN 1.0 ELSE 0.0 END) AS score FROM b GROUP BY k, w, fold),
+    z AS ({_summary('k, w', folds)})"""
+
+
+@query("cross_validate_knn", f"{_knn_folds(5, [5], ['uniform'])} SELECT CAST(fold AS INTEGER) AS fold, {r('score', 4)} AS score, {r('mean', 4)} AS mean, {r('std', 4)} AS std FROM f JOIN z USING (k, w)")
+def _cv_knn(spark, sf):
+    return rounded(T.cross_validate(KNN_PART.df(spark, sf), ["f1", "f2"], "p_type", "p_partkey", "knn", 5), 4)
+
+
+@query(
+    "grid_search_knn",
+    f"""{_knn_folds(3, T.GRIDS['knn']['n_neighbors'], T.GRIDS['knn']['weights'])},
+    j AS (SELECT *, '{{"n_neighbors": ' || k || ', "weights": "' || w || '"}}' AS params FROM z)
+    SELECT CAST(row_number() OVER (ORDER BY mean DESC, params) AS INTEGER) AS rank, params, {r('mean', 4)} AS mean_score, {r('std', 4)} AS std_score FROM j""",
+)
+def _grid_knn(spark, sf):
+    return rounded(T.grid_search(KNN_PART.df(spark, sf), ["f1", "f2"], "p_type", "p_partkey", "knn"), 4)
+
+
+_NB_GRID_SQL = f"""
+    WITH a AS (SELECT *, row_number() OVER () AS id, {_bucket('line_key', 3)} AS fold FROM {LINES.sql}),
+    h AS (SELECT unnest([0, 1, 2]) AS held), g AS (SELECT unnest([1e-9, 1e-8, 1e-7, 1e-6]) AS k),
+    c AS (SELECT held, band, count(*) AS n, {_NB_STATS} FROM a, h WHERE fold <> held GROUP BY held, band),
+    w AS (SELECT held, k, count(*) AS n, k * greatest({', '.join(f'var_pop({f})' for f in FEATURES)}) AS eps FROM a, h, g WHERE fold <> held GROUP BY held, k),
+    s AS (SELECT t.id, t.fold, w.k, t.band AS label, c.band AS cls, {_NB_DENSITY} AS score FROM a t JOIN c ON c.held = t.fold JOIN w ON w.held = t.fold),
+    b AS (SELECT id, fold, k, label, arg_min(cls, {{'a': -score, 'b': cls}}) AS v FROM s GROUP BY id, fold, k, label),
+    f AS (SELECT k, fold, avg(CASE WHEN v = label THEN 1.0 ELSE 0.0 END) AS score FROM b GROUP BY k, fold),
+    z AS ({_summary('k', 3)}), j AS (SELECT *, '{{"var_smoothing": ' || CASE k WHEN 1e-9 THEN '1e-09' WHEN 1e-8 THEN '1e-08' WHEN 1e-7 THEN '1e-07' ELSE '1e-06' END || '}}' AS params FROM z)
+    SELECT CAST(row_number() OVER (ORDER BY mean DESC, params) AS INTEGER) AS rank, params, {r('mean', 4)} AS mean_score, {r('std', 4)} AS std_score FROM j"""
+
+
+@query("grid_search_nb", _NB_GRID_SQL)
+def _grid_nb(spark, sf):
+    return rounded(T.grid_search(LINES.df(spark, sf), FEATURES, "band", "line_key", "naive_bayes"), 4)
 
 
 @query("train_many")
 def _train_many(spark, sf):
     df = T.split_random(LINES.df(spark, sf), "line_key")
     train, test = df.filter(~F.col("is_test")).drop("is_test"), df.filter("is_test").drop("is_test")
-    return rounded(T.train_many(train, test, FEATURES, "dear", "line_key", ["logistic_regression", "decision_tree", "naive_bayes"], cv=2), 4)
+    return rounded(T.train_many(train, test, FEATURES, "dear", "line_key", list(T.CLASSIFIERS), cv=2), 4)
 
 
 # two fixed rules as competing models, and one failed run

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.text import WHITESPACE, WORD, lemmatize, tfidf, vocabulary, word_embeddings
+from ..operators.text import WHITESPACE, WORD, lemmatize, mean_vectors, tfidf, tokens, vector_tables, vocabulary, word_embeddings
 from ..plans.step import Step, apply_step
 from .common import query, r, rounded, table
 
@@ -89,7 +89,27 @@ def _tfidf(spark, sf):
 
 @query("text_embeddings")
 def _embeddings(spark, sf):
-    out = word_embeddings(table(spark, sf, "documents"), "text", size=16)
+    out = word_embeddings(table(spark, sf, "documents"), "text", "doc_id", size=16)
     return out.select("doc_id", F.size("text_embedding").alias("dimensions"), F.round(F.aggregate("text_embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
 
 
+# a fitted vector table whose numbers both engines can work out: words of five or more documents
+_VECTOR = ["len(word)", "ascii(word)", "ascii(right(word, 1)) - len(word)"]
+
+
+@query(
+    "text_embeddings_apply",
+    f"""
+    WITH t AS (SELECT doc_id, unnest({_LOWER}) AS word FROM documents),
+    v AS (SELECT word, {", ".join(f"CAST({x} AS DOUBLE) AS v{i}" for i, x in enumerate(_VECTOR))} FROM t GROUP BY word HAVING count(DISTINCT doc_id) >= 5),
+    m AS (SELECT doc_id, {", ".join(f"avg(v{i}) AS m{i}" for i in range(3))} FROM t JOIN v USING (word) GROUP BY doc_id)
+    SELECT doc_id, {", ".join(r(f"coalesce(m{i}, 0)") + f" AS e{i}" for i in range(3))} FROM documents LEFT JOIN m USING (doc_id)
+    """,
+)
+def _embeddings_apply(spark, sf):
+    docs = table(spark, sf, "documents")
+    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.lower("text")))).alias("word")).groupBy("word").agg(F.count("doc_id").alias("n"))
+    numbers = [F.length("word"), F.ascii("word"), F.ascii(F.right("word", F.lit(1))) - F.length("word")]
+    vectors = words.where("n >= 5").select("word", F.array(*[x.cast("double") for x in numbers]).alias("vector"))
+    out = mean_vectors(docs, "text", "doc_id", vector_tables(docs, "text", vectors), 3)
+    return rounded(out.select("doc_id", *[F.col("text_embedding")[i].alias(f"e{i}") for i in range(3)]))

@@ -64,20 +64,22 @@ SMALL_TABLE_ROWS = 10_000
 SMALL_TABLE_CHARS = 8_000_000
 
 
-def small_or_cut(table: DataFrame) -> DataFrame:
-    """Fixes a small derived table before it is joined to a large one.
-
-    Up to SMALL_TABLE_ROWS rows and SMALL_TABLE_CHARS characters it becomes a local table that
-    is broadcast; beyond, it is checkpointed in the shared folder and joined by shuffle.
-    """
+def local_table(table: DataFrame) -> DataFrame | None:
+    """The table as a local one that is broadcast, if it has at most SMALL_TABLE_ROWS rows and SMALL_TABLE_CHARS characters."""
     try:
         rows = table.limit(SMALL_TABLE_ROWS + 1).collect()
     except PySparkException as e:
         if "maxResultSize" not in str(e):
             raise
-        return cut_lineage(table)
+        return None
     chars = sum(len(v) for r in rows for v in r if isinstance(v, str))
-    if len(rows) <= SMALL_TABLE_ROWS and chars <= SMALL_TABLE_CHARS:
-        # a local table has no size estimate of its own, hence the hint
-        return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
-    return cut_lineage(table)
+    if len(rows) > SMALL_TABLE_ROWS or chars > SMALL_TABLE_CHARS:
+        return None
+    # a local table has no size estimate of its own, hence the hint
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+
+
+def small_or_cut(table: DataFrame) -> DataFrame:
+    """Fixes a small derived table before it is joined to a large one: a local table, or beyond that size a checkpoint in the shared folder."""
+    small = local_table(table)
+    return cut_lineage(table) if small is None else small

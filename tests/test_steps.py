@@ -1,13 +1,18 @@
 """Steps on tiny tables: nulls, ties, constants, unseen values; fit on one table, apply to another."""
 
 import json
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.functions.moments import central_moments, correlations
-from tablesmith.functions.numbers import parse_double
+from tablesmith.functions.numbers import chi2_pvalue, parse_double
+from tablesmith.operators.charts import density, line_points
 from tablesmith.operators.correlate import vif_table
+from tablesmith.operators.select import chi2_scores
 from tablesmith.operators.text import lemmatize
 from tablesmith.plans.step import METHODS, FittedWorkflow, Step, Workflow, apply_step, fit_step
 
@@ -270,5 +275,153 @@ def test_fused_steps_see_what_earlier_ones_wrote(spark):
             if "unknown" not in str(e):
                 raise
             continue
-        got = Workflow(steps).fit(df).transform(df)
+        got = Workflow(steps).fit(df).transform(df, training=True)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), steps
+
+
+def test_transform_of_a_test_table_keeps_its_rows(spark):
+    train = spark.createDataFrame([(i, float(i % 9), "ab"[i % 5 == 0]) for i in range(60)] + [(60, 900.0, "a"), (61, 3.0, "a"), (61, 3.0, "a")], "id long, x double, c string")
+    test = spark.createDataFrame([(1, 5000.0, "a"), (2, 1.0, "b"), (2, 1.0, "b")], "id long, x double, c string")
+    steps = [
+        Step("remove_duplicates", method="all_columns"),
+        Step("handle_outliers", ["x"], "remove"),
+        Step("handle_imbalance", ["c"], "random_undersampling", key="id"),
+        Step("scale", ["x"], "minmax"),
+    ]
+    fitted = Workflow(steps).fit(train)
+    assert col(fitted.transform(test).orderBy("id"), "x") == [625.0, 0.125, 0.125]  # scaled by what was left of the training table
+    assert fitted.transform(test, training=True).count() < 3
+    assert fitted.transform(train, training=True).agg(F.max("x")).first()[0] == 1.0
+    got = {r["method"]: r["affected"] for r in fitted.audit(train).collect()}
+    assert got["all_columns"] == 1 and got["remove"] == 1 and got["random_undersampling"] == 61 - 24
+
+
+def test_audit_counts_each_step_on_what_the_one_before_left(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else float(i)) for i in range(100)] + [(200, 9999.0)], "id long, x double")
+    steps = [Step("handle_outliers", ["x"], "remove"), Step("impute_missing", ["x"], "median"), Step("impute_missing", ["x"], "mean"), Step("transform", ["x"], "log")]
+    fitted = Workflow(steps).fit(df)
+    sc = spark.sparkContext
+    sc.setJobGroup("audit", "audit")
+    audit = fitted.audit(df)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("audit"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [r["affected"] for r in audit.orderBy("step_no").collect()] == [1, 25, 0, 100]
+    assert jobs == 1
+    assert [r["affected"] for r in fitted.audit(df.where("id < 0")).orderBy("step_no").collect()] == [0, 0, 0, 0]
+
+
+def test_embeddings_are_fitted_state(spark, tmp_path):
+    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "", None, "unseen words only"]
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:5] * 6)], "id long, t string")
+    test = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    fitted = Workflow([Step("text_processing", ["t"], "word_embeddings", {"size": 4, "min_count": 2}, key="id")]).fit(train)
+    a, b = col(fitted.transform(train).where("id < 5"), "t_embedding"), col(fitted.transform(test), "t_embedding")
+    assert a == b[:5] and b[3:] == [[0.0] * 4] * 3 and any(b[0])
+    vectors = {r["_word"]: r["vector"] for r in fitted.fitted[0].tables["vectors"].collect()}
+    words = texts[0].split()
+    assert b[0] == pytest.approx([sum(vectors[w][i] for w in words) / len(words) for i in range(4)])
+    fitted.save(spark, str(tmp_path / "flow"))
+    assert col(FittedWorkflow.load(spark, str(tmp_path / "flow")).transform(test), "t_embedding") == b
+    with pytest.raises(ValueError):
+        Workflow([Step("text_processing", ["t"], "word_embeddings")]).fit(train)
+
+
+@pytest.fixture
+def large_tables(spark, monkeypatch):
+    """Mappings beyond a broadcast, joins by shuffle, partitions as they are dealt."""
+    import tablesmith.session as session
+
+    monkeypatch.setattr(session, "SMALL_TABLE_ROWS", 300)
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.enabled": "false"}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k in own:
+        spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("hot", ["v7", None])
+def test_hot_keys_of_a_large_mapping_are_spread(spark, large_tables, hot):
+    n = 40_000
+    value = F.when(F.col("id") % 10 > 0, F.lit(hot)).otherwise(F.concat(F.lit("v"), (F.col("id") % 3000).cast("string")))
+    df = spark.range(n).repartition(6).select("id", value.alias("c"), (F.col("id") % 5).cast("double").alias("y"))
+    steps = [Step("encode", ["c"], "frequency"), Step("encode", ["c"], "target", {"target_column": "y"})]
+    fitted = Workflow(steps).fit(df)
+    assert all(len(f.tables) == 2 for f in fitted.fitted)
+    out = fitted.transform(df)
+    sizes = sorted(r[1] for r in out.groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2] and len(sizes) == 8
+    rows = [(r["id"], r["c"], r["y"]) for r in df.collect()]
+    known = [c for _, c, _ in rows if c is not None]
+    counts, sums = Counter(known), Counter()
+    for _, c, y in rows:
+        sums[c] += y
+    mean = sum(y for _, _, y in rows) / n
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == n
+    for i, c, _ in rows:
+        want = (None, mean) if c is None else (counts[c] / len(known), sums[c] / counts[c])
+        assert (got[i]["c_freq_encoded"], got[i]["c_target_encoded"]) == (want[0], pytest.approx(want[1]))
+
+
+def test_lemmas_and_vectors_of_a_large_lexicon(spark, large_tables):
+    from tablesmith.operators.text import lemmatize, mean_vectors, vector_tables
+
+    df = spark.range(2000).select(F.col("id"), F.concat_ws(" ", F.lit("the Was"), F.concat(F.lit("w"), (F.col("id") % 900).cast("string"))).alias("t"))
+    lexicon = spark.range(900).select(F.concat(F.lit("w"), "id").alias("word"), F.concat(F.lit("l"), "id").alias("lemma")).union(spark.createDataFrame([("was", "be")], "a string, b string"))
+    got = {r["id"]: r["t_lemmatized"] for r in lemmatize(df, "t", "id", lexicon).collect()}
+    assert got == {i: f"the be l{i % 900}" for i in range(2000)}
+    vectors = lexicon.select("word", F.array(F.length("word").cast("double"), F.lit(1.0)).alias("vector"))
+    got = {r["id"]: r["t_embedding"] for r in mean_vectors(df, "t", "id", vector_tables(df, "t", vectors), 2).collect()}
+    assert got == {i: [(3 + len(f"w{i % 900}")) / 2, 1.0] for i in range(2000)}
+
+
+def test_chi2_pvalues(spark):
+    # exact upper tails: dof, value, chance
+    known = [(1, 3.841458820694124, 0.05), (1, 10.0, 0.001565402258002549), (2, 5.991464547107979, 0.05), (3, 7.814727903251179, 0.05), (4, 0.0, 1.0), (5, 1.145476226061769, 0.95), (10, 18.307038053275146, 0.05), (99, 123.2252214533618, 0.05), (1, 0.001, 0.9747728793699604), (1, 200.0, 2.0884875837625446e-45), (30, 3000.0, 0.0)]
+    df = spark.createDataFrame([(i, *k) for i, k in enumerate(known)], "id int, dof long, x double, p double")
+    got = [r[0] for r in df.select(chi2_pvalue(F.col("x"), F.col("dof")), "id").orderBy("id").collect()]
+    assert got == pytest.approx([p for *_, p in known], rel=1e-9, abs=1e-300)
+    rows = [(i, "xy"[i % 2], "abc"[i % 3], "pq"[(i // 2) % 2]) for i in range(200)] + [(900, None, "a", "p"), (901, "x", "a", None)]
+    out = {r["feature"]: r for r in chi2_scores(spark.createDataFrame(rows, "id long, a string, b string, y string"), ["a", "b"], "y").collect()}
+    assert out["a"]["dof"] == 1 and out["b"]["dof"] == 2 and all(0 <= r["p_value"] <= 1 for r in out.values())
+
+
+def test_line_of_four_points_a_column(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([0.0, 1.0, rnd.uniform(0, 10)]), rnd.choice([rnd.gauss(0, 3), 2.0]), rnd.choice("ab")) for i in range(400)] + [(900, None, 1.0, "a"), (901, 3.0, None, "b")]
+    df = spark.createDataFrame(rows, "id long, x double, y double, g string").repartition(4)
+    got = {(r["group"], r["column"]): r for r in line_points(df, "x", "y", "g", 16).collect()}
+    known = [(x, y, g) for _, x, y, g in rows if x is not None and y is not None]
+    lo, hi = min(k[0] for k in known), max(k[0] for k in known)
+    want = {}
+    for x, y, g in known:
+        want.setdefault((g, min(int((x - lo) / ((hi - lo) / 16)), 15)), []).append((x, y))
+    assert set(got) == set(want)
+    for k, points in want.items():
+        r, low, high = got[k], min((y, x) for x, y in points), max((y, x) for x, y in points)
+        assert (r["n"], (r["x_first"], r["y_first"]), (r["x_last"], r["y_last"])) == (len(points), min(points), max(points))
+        assert ((r["y_low"], r["x_low"]), (r["y_high"], r["x_high"])) == (low, high)
+    assert line_points(df.where("id < 0"), "x", "y").collect() == []
+    assert line_points(df.where("x = 1.0"), "x", "y").count() == 1
+
+
+@pytest.mark.parametrize("far", [0.0, 4000.0])
+def test_density_equals_the_sum_of_kernels(spark, far):
+    rnd = np.random.default_rng(1)
+    x = np.r_[rnd.normal(0, 1, 900), rnd.normal(6, 0.2, 100), far]
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(3)
+    out = density(df, "x", 200).orderBy("point").collect()
+    width = x.std(ddof=1) * len(x) ** -0.2
+    grid = np.linspace(x.min(), x.max(), 200)
+    want = np.exp(-0.5 * ((grid[:, None] - x) / width) ** 2).sum(1) / (len(x) * width * np.sqrt(2 * np.pi))
+    assert [r["density"] for r in out] == pytest.approx(want, rel=1e-8, abs=1e-15)
+
+
+def test_sparse_onehot(spark):
+    df = spark.createDataFrame([(i, f"n{i % 7}" if i % 5 else None) for i in range(60)], "id long, c string")
+    fitted = fit_step(df, Step("encode", ["c"], "onehot_sparse"))
+    other = spark.createDataFrame([(1, "n6"), (2, "zz"), (3, None), (4, "n0")], "id long, c string")
+    rows = apply_step(other, Step("encode", ["c"], "onehot_sparse"), fitted).orderBy("id").collect()
+    assert [r["c_index"] for r in rows] == [6, None, None, 0]
+    assert [(r["c_onehot"].size, list(r["c_onehot"].indices)) for r in rows] == [(7, [6]), (7, []), (7, []), (7, [0])]
