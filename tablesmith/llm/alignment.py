@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,13 @@ from pyspark.sql import functions as F
 from ..session import new_path
 from .common import only, per_worker
 
-BLOCK = 5_000_000
+BLOCK = 2_500_000
 #: windows kept per worker; windows of more tokens are not kept
-MAX_WINDOWS, MAX_TOKENS = 300_000, 64
+MAX_WINDOWS, MAX_TOKENS = 200_000, 64
+#: between the ids of A and of B in a window's key; no id has this value
+BETWEEN = b"\xff\xff\xff\xff"
+#: characters of a run without a word boundary from which on the slower engine takes a text
+RUN = 1_000
 
 
 def spelt_bytes() -> dict[str, int]:
@@ -47,27 +52,43 @@ class ByteLevel:
     Runs without a word boundary go to the engine whose time does not grow with the square of a run.
     """
 
-    LONG = re.compile(r"\S{1000}|\s{1000}|\d{1000}").search
-
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
         byte = spelt_bytes()
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
-        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
+        special = {t["content"] for t in file["added_tokens"]}
+        ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
+        self.path, self.slow = path, None
         self.fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.bytes[i] = token
 
+    def _long(self, text: str) -> list[int]:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
+        return self.slow.encode(text, add_special_tokens=False).ids
+
+    @staticmethod
+    def runs(text: str) -> bool:
+        """Whether a text has a long run of white space or of anything else."""
+        if len(text) < RUN:
+            return False
+        sizes = list(map(len, text.split()))
+        return max(sizes, default=0) >= RUN or (len(text) - sum(sizes) >= RUN and re.search(rf"\s{{{RUN}}}", text) is not None)
+
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [self.slow.encode(t, add_special_tokens=False).ids if self.LONG(t) else self.fast.encode_ordinary(t) for t in texts]
+        fast = self.fast.encode_ordinary
+        return [self._long(t) if self.runs(t) else fast(t) for t in texts]
+
+    def spell(self, ids: list[int]) -> bytes:
+        return self.fast.decode_bytes(ids)
 
 
 class Pieces:
@@ -84,22 +105,8 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def align_window(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> tuple[str, int, list[tuple[int, int]]]:
-    """(groups, how many, links) of two rows of ids that spell the same bytes."""
-    groups, links = [], []
-    i = j = at_a = at_b = 0  # tokens done, bytes done
-    from_a = from_b = 0
-    while i < len(a):
-        links.append((a[i], b[j]))
-        end_a, end_b = at_a + size_a[a[i]], at_b + size_b[b[j]]
-        if end_a <= end_b:
-            i, at_a = i + 1, end_a
-        if end_b <= end_a:
-            j, at_b = j + 1, end_b
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-            from_a, from_b = i, j
-    return ";".join(groups), len(groups), links
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
 
 
 class Aligner:
@@ -109,24 +116,41 @@ class Aligner:
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.size_a, self.size_b = (np.array([len(t) for t in v.bytes], np.int64) for v in (self.a, self.b))
         self.space_a, self.space_b = (np.array([t[:1] == b" " for t in v.bytes]) for v in (self.a, self.b))
+        # a token's text in the groups: inside a group, or as the last of its side
+        a, b = range(len(self.size_a)), range(len(self.size_b))
+        self.said = [f"{i}," for i in a] + [f"{i}|" for i in a] + [f"{i}," for i in b] + [f"{i};" for i in b]
+        self.said_size = np.array([len(x) for x in self.said], np.int64)
         self.forget()
 
     def forget(self) -> None:
-        self.windows: dict[tuple[bytes, bytes], int] = {}
+        self.windows: dict[bytes, int] = {}
         self.groups: list[str] = []
-        self.n_groups: list[int] = []
-        self.n_links: list[int] = []
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.links: list[int] = []  # pair numbers of all windows in a row
-
-    def learn(self, a: list[int], b: list[int]) -> int:
-        groups, n, links = align_window(a, b, self.size_a, self.size_b)
-        self.groups.append(groups)
-        self.n_groups.append(n)
-        self.n_links.append(len(links))
-        pairs = self.pairs
-        self.links.extend([pairs.setdefault(p, len(pairs)) for p in links])
-        return len(self.groups) - 1
+        self.n_groups = self.n_links = self.links = self.pair = np.zeros(0, np.int64)
+        self.pairs: dict[int, int] = {}
+
+    def learn(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> None:
+        """Groups and links of windows, given their tokens in a row and how many of them each has; both rows spell the same bytes."""
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        of = np.repeat(np.arange(len(in_a)), in_a)
+        # the tokens of B that share bytes with a token of A
+        low, high = np.searchsorted(end_b, end_a - self.size_a[a], "right"), np.searchsorted(end_b, end_a)
+        count = high - low + 1
+        pair = (np.repeat(a, count).astype(np.int64) << 32) | b[_ranges(low, count)]
+        known, place = np.unique(pair, return_inverse=True)
+        numbers = np.array([self.pairs.setdefault(p, len(self.pairs)) for p in known.tolist()], np.int64)
+        if len(self.pairs) > len(self.pair):
+            self.pair = np.fromiter(self.pairs, np.int64, len(self.pairs))
+        self.links = np.r_[self.links, numbers[place]]
+        self.n_links = np.r_[self.n_links, np.bincount(of, count, len(in_a)).astype(np.int64)]
+        # groups end where both rows have an end
+        both_a, both_b = end_b[high] == end_a, end_a[np.searchsorted(end_a, end_b)] == end_b
+        self.n_groups = np.r_[self.n_groups, np.bincount(of, both_a, len(in_a)).astype(np.int64)]
+        group = np.r_[2 * (np.cumsum(both_a) - both_a), 2 * (np.cumsum(both_b) - both_b) + 1]
+        size_a, size_b = len(self.size_a), len(self.size_b)
+        code = np.r_[a + size_a * both_a, 2 * size_a + b + size_b * both_b][np.argsort(group, kind="stable")]
+        text = "".join(map(self.said.__getitem__, code.tolist()))
+        stops = np.cumsum(self.said_size[code])[np.cumsum(in_a + in_b) - 1].tolist()
+        self.groups += [text[x : y - 1] for x, y in zip([0, *stops], stops)]
 
     @staticmethod
     def cuts(ids: np.ndarray, last: np.ndarray, size: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,53 +168,57 @@ class Aligner:
         asked = [i for i, r in enumerate(raws) if r]
         a = self.a.ids([" " + texts[i] for i in asked])
         b = self.b.ids([texts[i] for i in asked])
-        join = b"".join
-        spelt_a, spelt_b = self.a.bytes, self.b.bytes
-        good = [k for k, i in enumerate(asked) if join([spelt_a[t] for t in a[k]]) == raws[i] == join([spelt_b[t] for t in b[k]])]
+        join, spelt = b"".join, self.b.bytes.__getitem__
+        good = [k for k, i in enumerate(asked) if join(map(spelt, b[k])) == raws[i] == self.a.spell(a[k])]
+        del raws
         out: list[tuple] = [(0, 0, 0, 0, "", b"", b"")] * len(texts)
         if not good:
             return out, np.zeros((3, 0), np.int64)
         last_a, last_b = np.cumsum([len(a[k]) for k in good]), np.cumsum([len(b[k]) for k in good])
-        flat_a, flat_b = (np.fromiter((t for k in good for t in rows[k]), np.uint32, n) for rows, n in ((a, last_a[-1]), (b, last_b[-1])))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable([rows[k] for k in good]), np.uint32, n) for rows, n in ((a, last_a[-1]), (b, last_b[-1])))
+        sizes = [(len(x), len(y)) for x, y in zip(a, b)]
+        del a, b
         # texts of equal total length in both rows follow one another, so offsets stay comparable
         at_a, done_a = self.cuts(flat_a, last_a, self.size_a, self.space_a)
         at_b, done_b = self.cuts(flat_b, last_b, self.size_b, self.space_b)
         _, in_a, in_b = np.intersect1d(at_a, at_b, assume_unique=True, return_indices=True)
         stop_a, stop_b = done_a[in_a], done_b[in_b]
         raw_a, raw_b, known = flat_a.tobytes(), flat_b.tobytes(), self.windows
-        ends_a, ends_b = (4 * stop_a).tolist(), (4 * stop_b).tolist()
-        seen = []
+        seen, new, next_one = [], [], len(self.groups)
         s = t = 0
-        for e, f in zip(ends_a, ends_b):
-            key = (raw_a[s:e], raw_b[t:f])
+        for n, (e, f) in enumerate(zip((4 * stop_a).tolist(), (4 * stop_b).tolist())):
+            key = raw_a[s:e] + BETWEEN + raw_b[t:f]
             w = known.get(key)
             if w is None:
-                w = self.learn(flat_a[s // 4 : e // 4].tolist(), flat_b[t // 4 : f // 4].tolist())
-                if e - s + f - t <= 4 * MAX_TOKENS:
+                w = next_one
+                next_one += 1
+                new.append(n)
+                if len(key) <= 4 * MAX_TOKENS:
                     known[key] = w
             seen.append(w)
             s, t = e, f
+        if new:
+            more_a, more_b = np.diff(stop_a, prepend=0)[new], np.diff(stop_b, prepend=0)[new]
+            self.learn(flat_a[_ranges(stop_a[new] - more_a, more_a)], flat_b[_ranges(stop_b[new] - more_b, more_b)], more_a, more_b)
         win = np.array(seen)
-        n_links, n_groups = np.array(self.n_links), np.array(self.n_groups)
         firsts = np.r_[0, np.searchsorted(stop_a, last_a[:-1], "right")]  # each text's first window
-        per_text = np.diff(np.r_[firsts, len(win)])
-        links_of, groups_of = np.add.reduceat(n_links[win], firsts), np.add.reduceat(n_groups[win], firsts)
+        lasts = [*firsts[1:].tolist(), len(win)]
+        links_of, groups_of = np.add.reduceat(self.n_links[win], firsts), np.add.reduceat(self.n_groups[win], firsts)
         # pair numbers of all links, in a row
-        count = n_links[win]
-        starts = (np.cumsum(n_links) - n_links)[win]
-        which = np.array(self.links)[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - starts, count)]
-        text = np.repeat(np.repeat(np.arange(len(good)), per_text), count)
+        count = self.n_links[win]
+        which = self.links[_ranges((np.cumsum(self.n_links) - self.n_links)[win], count)]
+        text = np.repeat(np.arange(len(good)), links_of)
         both, times = np.unique(text * len(self.pairs) + which, return_counts=True)
         text, which = both // len(self.pairs), both % len(self.pairs)
         used, place, documents = np.unique(which, return_inverse=True, return_counts=True)
-        pairs = np.array(list(self.pairs), np.int64)[used]
+        pairs = self.pair[used]
         cut = np.flatnonzero(np.diff(text)) + 1
+        words = self.groups
         for g, (k, places, n) in enumerate(zip(good, np.split(place, cut), np.split(times, cut))):
             step = np.diff(places, prepend=0)
-            words = self.groups
-            said = ";".join([words[w] for w in seen[firsts[g] : firsts[g] + per_text[g]]])
-            out[asked[k]] = (len(a[k]), len(b[k]), int(groups_of[g]), int(links_of[g]), said, _packed(step), _packed(n))
-        return out, np.vstack([pairs.T, documents])
+            said = ";".join([words[w] for w in seen[firsts[g] : lasts[g]]])
+            out[asked[k]] = (*sizes[k], int(groups_of[g]), int(links_of[g]), said, _packed(step), _packed(n))
+        return out, np.vstack([pairs >> 32, pairs & 0xFFFFFFFF, documents])
 
 
 def _packed(v: np.ndarray) -> bytes:

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from tablesmith.llm.alignment import Aligner, ByteLevel, Pieces, align, align_window, spelt_bytes
+from tablesmith.llm.alignment import Aligner, ByteLevel, Pieces, align, spelt_bytes
 from tablesmith.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, block string, a int"
@@ -83,13 +83,16 @@ def test_ids_equal_the_tokenizers(spark, plain):
 
 
 def test_windows():
-    size = np.array([0, 1, 2, 3, 4])
-    assert align_window([2, 1, 3], [1, 2, 3], size, size) == ("2,1|1,2;3|3", 2, [(2, 1), (2, 2), (1, 2), (3, 3)])
+    aligner = Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    aligner.size_a[:5] = aligner.size_b[:5] = range(5)
+    aligner.learn(np.array([2, 1, 3, 4]), np.array([1, 2, 3, 4]), np.array([3, 1]), np.array([3, 1]))
+    assert aligner.groups == ["2,1|1,2;3|3", "4|4"] and list(aligner.n_groups) == [2, 1] and list(aligner.n_links) == [4, 1]
+    assert [(p >> 32, p & 0xFFFFFFFF) for p in aligner.pair[aligner.links].tolist()] == [(2, 1), (2, 2), (1, 2), (3, 3), (4, 4)]
     aligner = Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
     aligner.block(["one two one two three"] * 4)
     assert 3 <= len(aligner.windows) <= 5  # a word is worked out once
     aligner.block(["z" * 5000])
-    assert all(len(a) + len(b) <= 4 * 64 for a, b in aligner.windows)
+    assert all(len(key) <= 4 * 64 for key in aligner.windows)
 
 
 def test_odd_rows(spark):
