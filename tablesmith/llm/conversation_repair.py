@@ -160,36 +160,58 @@ def parse_blocks(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.Dat
         yield pd.DataFrame([made()], columns=columns)
 
 
-def put_together(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The cheapest way through a conversation's blocks: (conv, cost, audit, illegal, edits per block)."""
-    pdf = pdf.sort_values(["part", "no"])
-    state: dict[str, tuple[int, str, tuple | None]] = {"0": (0, "", None)}
-    illegal, tail = 0, None
-    for part, no, head, end, bad, ways in zip(*(pdf[c] for c in ("part", "no", "head", "tail", "illegal", "ways"))):
-        illegal += bad + (tail is not None and tail + head not in LEGAL)
-        tail = end
+class Way:
+    """The cheapest ways through a conversation's blocks so far, by the stack they leave."""
+
+    def __init__(self) -> None:
+        self.state: dict[str, tuple[int, str, tuple | None]] = {"0": (0, "", None)}
+        self.illegal, self.tail = 0, None
+
+    def add(self, part: int, no: int, head: str, tail: str, illegal: int, ways) -> None:
+        self.illegal += illegal + (self.tail is not None and self.tail + head not in LEGAL)
+        self.tail = tail
         after: dict[str, tuple[int, str, tuple | None]] = {}
         for w in ways:
-            if w["before"] not in state:
+            if w["before"] not in self.state:
                 continue
-            cost, audit, path = state[w["before"]]
+            cost, audit, path = self.state[w["before"]]
             cost += w["cost"]
             best = after.get(w["after"])
             if best is None or cost < best[0] or (cost == best[0] and audit + w["audit"] < best[1]):
                 after[w["after"]] = (cost, audit + w["audit"], (path, part, no, w["before"], w["audit"]))
-        state = after
-    ends = {}
-    for stack, (cost, audit, path) in state.items():
-        for end, (more, inserted) in with_inserts({stack: (0, "")}).items():
-            if end in ACCEPT:
-                ends[stack, end] = (cost + more, audit + inserted, path, inserted)
-    cost, audit, path, inserted = min(ends.values(), key=lambda e: e[:2])
-    edits = []
-    while path is not None:
-        path, part, no, before, own = path
-        edits.append({"part": part, "no": no, "before": before, "edits": own + inserted})
-        inserted = ""
-    return pd.DataFrame([(pdf["conv"].iloc[0], cost, audit, illegal, edits)], columns=["conv", "cost", "audit", "illegal", "edits"])
+        self.state = after
+
+    def end(self) -> tuple[int, str, int, list[dict]]:
+        """(cost, audit, illegal, edits per block), after turns that are inserted at the end."""
+        ends = []
+        for stack, (cost, audit, path) in self.state.items():
+            for end, (more, inserted) in with_inserts({stack: (0, "")}).items():
+                if end in ACCEPT:
+                    ends.append((cost + more, audit + inserted, path, inserted))
+        cost, audit, path, inserted = min(ends, key=lambda e: e[:2])
+        edits = []
+        while path is not None:
+            path, part, no, before, own = path
+            edits.append({"part": part, "no": no, "before": before, "edits": own + inserted})
+            inserted = ""
+        return cost, audit, self.illegal, edits
+
+
+def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks in order, conversation after conversation, to (conv, cost, audit, illegal, edits)."""
+    columns = ["conv", "cost", "audit", "illegal", "edits"]
+    conv, way = None, None
+    for b in batches:
+        out = []
+        for own, *block in zip(*(b[c] for c in ("conv", "part", "no", "head", "tail", "illegal", "ways"))):
+            if way is None or own != conv:
+                if way is not None:
+                    out.append((conv, *way.end()))
+                conv, way = own, Way()
+            way.add(*block)
+        yield pd.DataFrame(out, columns=columns)
+    if way is not None:
+        yield pd.DataFrame([(conv, *way.end())], columns=columns)
 
 
 def edited(rows, before: str, edits: str) -> list[dict[str, str]]:
@@ -235,7 +257,8 @@ def repair(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     blocks.write.parquet(path)
     blocks = spark.read.parquet(path)
     ways = blocks.select("conv", "part", "no", "head", "tail", "illegal", "ways")
-    solved = ways.groupBy("conv").applyInPandas(put_together, "conv string, cost long, audit string, illegal long, edits array<struct<part:int,no:int,before:string,edits:string>>")
+    in_order = ways.repartition("conv").sortWithinPartitions("conv", "part", "no")
+    solved = in_order.mapInPandas(put_together, "conv string, cost long, audit string, illegal long, edits array<struct<part:int,no:int,before:string,edits:string>>")
     solved = cut_lineage(solved)
     counted = r.withColumn("blank", F.when(F.col("blank"), F.col("copies")).otherwise(0)).withColumn("truncated", F.col("truncated").cast("long"))
     by_turn = counted.groupBy("conv", "turn").agg(*[F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated")])
