@@ -3,7 +3,8 @@
 A call has an identifier, a name, arguments as JSON text and, in ``after``, the identifier of the call whose result it builds on (null
 for none). Results meet their call in a hash join. The order is topological: a call's ``level`` is the number of calls before it on its
 path, found by pointer doubling, so a chain of n calls takes log2(n) joins. Arguments are validated against the JSON schema of the name,
-and the message is written as canonical JSON: no white space, keys by UTF-16 code units, whole floats as integers.
+and the message is written as canonical JSON: no white space, keys by UTF-16 code units, numbers as RFC 8785 has them.
+Arguments that cannot be written so are ``bad_json``: numbers beyond a double, half surrogate pairs, nesting beyond ``DEPTH``.
 
 All joins are salted look-ups, so one call may be followed by, or one identifier repeated in, any share of the rows; no
 conversation is ever collected. Sorting by (level, call_id) gives an order in which each call comes after the one it builds on.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +32,22 @@ from .common import only, salted_lookup
 # Fixed value: JSON names of Python's types.
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
+#: levels of nesting that arguments may have
+DEPTH = 200
+
+
+def number(x: float) -> str:
+    """A finite double as RFC 8785 writes it: shortest digits, no exponent from 1e-6 up to 1e21."""
+    if x.is_integer() and abs(x) < 1e21:
+        return str(int(x))
+    text = repr(x)
+    if "e" not in text:
+        return text
+    digits, power = text.split("e")
+    if -7 < int(power) < 0:
+        return format(Decimal(text), "f")
+    return f"{digits}e{int(power):+d}"
+
 
 def canonical(value) -> str:
     """Canonical JSON text."""
@@ -38,17 +56,34 @@ def canonical(value) -> str:
         return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-        return str(int(value))
+    if isinstance(value, float):
+        return number(value)
     return json.dumps(value, ensure_ascii=False, allow_nan=False)
 
 
+def _is(value, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, KINDS[kind])
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: true is not 1."""
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    return isinstance(a, bool) == isinstance(b, bool) and a == b
+
+
 def fits(value, schema: dict) -> bool:
-    """Whether a value satisfies a schema: type, enum, bounds, lengths, items, properties, required, additionalProperties."""
-    kind = schema.get("type")
-    if kind and (not isinstance(value, KINDS[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
+    """Whether a value satisfies a schema: type or types, enum, bounds, lengths, items, properties, required, additionalProperties."""
+    kinds = schema.get("type") or []
+    if kinds and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return False
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         return False
     if isinstance(value, str):
         return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf)
@@ -68,12 +103,31 @@ def _no_constant(name: str):
     raise ValueError(name)
 
 
+def _finite(text: str) -> float:
+    x = float(text)
+    if not math.isfinite(x):
+        raise ValueError(text)
+    return x
+
+
+def _shallow(value) -> bool:
+    """Whether a value has at most DEPTH levels, found without recursion."""
+    level, depth = [value], 0
+    while level:
+        depth += 1
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+    return depth <= DEPTH
+
+
 def checked(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[str, object]:
     """(status, parsed arguments)."""
     if name not in schemas:
         return "unknown_tool", None
     try:
-        value = json.loads(arguments or "", parse_constant=_no_constant)
+        value = json.loads(arguments or "", parse_constant=_no_constant, parse_float=_finite)
+        if not _shallow(value):
+            return "bad_json", None
+        canonical(value).encode()  # half surrogate pairs have no UTF-8
     except (ValueError, RecursionError):
         return "bad_json", None
     return ("ok" if fits(value, schemas[name]) else "bad_arguments"), value

@@ -1,7 +1,8 @@
 import json
+import random
 import zlib
 
-from tablesmith.llm.tool_calls import TOOLS, calls_of, canonical, fits, link
+from tablesmith.llm.tool_calls import TOOLS, calls_of, canonical, checked, fits, link
 
 CALLS = "call_id string, after string, name string, arguments string, status string"
 RESULTS = "call_id string, at long, content string, level long"
@@ -27,10 +28,9 @@ def test_whole_table(spark):
     assert set(got) == set(calls) | set(answers)
     for i, t in calls.items():
         pick = zlib.crc32(t["text"].encode()) % 3
-        line = t["text"].split("\n")[0]
-        args = [{"query": line, "limit": t["turn"] + 1}, {"to": "en", "text": t["text"]}, {"words": len(t["text"]) // 20, "text": t["text"]}][pick]
+        args = [{"query": t["text"], "limit": t["turn"] + 1}, {"to": "en", "text": t["text"]}, {"words": len(t["text"]) // 20, "text": t["text"]}][pick]
         tool = ["search", "translate", "summarise"][pick]
-        ok = [0 < len(line) <= 400, len(t["text"]) <= 4000, len(t["text"]) // 20 >= 5][pick]
+        ok = [0 < len(t["text"]) <= 400, len(t["text"]) <= 4000, len(t["text"]) // 20 >= 5][pick]
         dangling = after[i] is not None and after[i] not in calls
         status = "bad_arguments" if not ok else "dangling" if dangling else "ok" if i in answers else "no_result"
         want = {"after": after[i], "arguments": args, "id": i, "name": tool, "result": answers.get(i)}
@@ -80,3 +80,31 @@ def test_canonical_and_schema():
     assert canonical({"b": 1.0, "a": [True, None, "é\n"], "\U0001f600": 1, "￮": 2}) == '{"a":[true,null,"é\\n"],"b":1,"\U0001f600":1,"￮":2}'
     assert not fits({"query": "q", "limit": True}, TOOLS["search"]) and not fits({"query": "q", "limit": 1, "x": 0}, TOOLS["search"])
     assert fits({"query": "q", "limit": 1}, TOOLS["search"]) and not fits([], TOOLS["search"]) and not fits({"text": "a", "to": "xx"}, TOOLS["translate"])
+
+
+def test_odd_arguments_end_in_a_status(spark):
+    deep = lambda n: "[" * n + "]" * n
+    bad = ['{"text": "x", "words": 1e400}', '{"text": "\\ud800", "words": 7}', deep(1500), deep(100_000), '{"text": ' + deep(300) + "}", "1" * 5000, '{"\\udfff": 1}']
+    fine = ['{"text": "\\ud83d\\ude00", "words": 7}', '{"text": "x", "words": 7.0}', '{"text": "x", "words": 1e1}']
+    calls = [(f"c{i:02}", None, "summarise", a, "s") for i, a in enumerate(bad + fine)]
+    rows = link(spark.createDataFrame(calls, CALLS).repartition(3), spark.createDataFrame([], RESULTS), TOOLS).collect()
+    got = {r.call_id: r for r in rows}
+    assert [got[f"c{i:02}"].status for i in range(len(calls))] == ["bad_json"] * len(bad) + ["no_result"] * len(fine)
+    assert json.loads(got["c08"].message)["arguments"] == {"text": "x", "words": 7}
+
+
+def test_any_text_gets_a_status():
+    rng = random.Random(4)
+    parts = ["{", "}", "[", "]", ",", ":", '"', "text", '"text"', '"words"', "1", "-0", "1e-7", "1e999", "NaN", "true", "null", "\\u", "\\ud800", "é", "\0", " ", "0.1"]
+    for _ in range(10_000):
+        status, value = checked("summarise", "".join(rng.choices(parts, k=rng.randint(0, 14))), TOOLS)
+        assert status in ("bad_json", "bad_arguments", "ok")
+        if status != "bad_json":
+            assert json.loads(canonical(value)) == value
+
+
+def test_numbers_and_types():
+    known = {1e-7: "1e-7", 1e-6: "0.000001", 1.5e-5: "0.000015", 1e21: "1e+21", 1e20: "100000000000000000000", -0.0: "0", 0.1: "0.1", 1.25e-9: "1.25e-9", 123456.75: "123456.75", 5e-324: "5e-324", 1.7976931348623157e308: "1.7976931348623157e+308"}
+    assert {x: canonical(x) for x in known} == known
+    assert fits(1.0, {"type": "integer"}) and not fits(1.5, {"type": "integer"}) and not fits(True, {"type": ["integer", "null"]}) and fits(None, {"type": ["integer", "null"]})
+    assert not fits(True, {"enum": [1]}) and fits([1.0], {"enum": [[1]]}) and not fits([True], {"enum": [[1]]})
