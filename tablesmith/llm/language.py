@@ -16,7 +16,6 @@ labelled row nothing can be learned: all texts are ``und``. An empty table gives
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,7 +57,6 @@ def buckets(text: str, bits: int = BITS) -> Iterator[np.ndarray]:
 
 
 _BLANK = _blank()
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -164,7 +162,7 @@ def predict(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
         for b in batches:
             out = []
             for text in b.pop("text"):
-                if text is None or not model.languages or not LETTER.search(text):
+                if text is None or not model.languages or not any(map(str.isalpha, text)):
                     out.append((UNKNOWN, 0.0, True))
                     continue
                 p = model.chances(text)

@@ -25,11 +25,11 @@ def test_held_out_accuracy(spark, docs):
 def test_odd_rows(spark, docs):
     model = train(docs, per_language=50)
     long = "Die der nicht ein und. " * 60000
-    data = [(1, None, "x"), (2, "", "x"), (3, " 12 :: \n", "x"), (None, "The the of is by", "x"), (5, long, "x"), (5, long, "x"), (7, "日本", "y")]
+    data = [(1, None, "x"), (2, "", "x"), (3, " 12 :: \n", "x"), (4, "½ ² ①", "x"), (None, "The the of is by", "x"), (5, long, "x"), (5, long, "x"), (7, "日本", "y")]
     rows = predict(spark.createDataFrame(data, "doc_id long, text string, score string"), model).collect()
     got = {r.doc_id: r for r in rows}
-    assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and all(got[i].rejected and got[i].score == 0 for i in (1, 2, 3))
-    assert got[5].lang_pred == "de" and got[None].lang_pred in model.languages and len(rows) == 7
+    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["und"] * 4 and all(got[i].rejected and got[i].score == 0 for i in (1, 2, 3, 4))
+    assert got[5].lang_pred == "de" and got[None].lang_pred in model.languages and len(rows) == 8
 
 
 def test_slices_cover_a_long_text(monkeypatch):
