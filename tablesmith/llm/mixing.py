@@ -189,7 +189,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
 
 
 def oracle() -> str:
-    """The same in SQL, the least number of sweeps and the rate steps written out."""
+    """The same in SQL: sweeps as a recursive query with the same tolerance and end, the rate steps written out."""
     dims = list(ALPHA)
     ctes = [
         r"""t AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS text,
@@ -199,24 +199,26 @@ def oracle() -> str:
         ELSE 'prose' END AS topic, greatest(words, 1) AS tokens FROM t)""",
         "c AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM r GROUP BY ALL)",
         *[f"q_{d} AS (SELECT {d}, pow(sum(tokens), {a}) / sum(pow(sum(tokens), {a})) OVER () AS share FROM c GROUP BY {d})" for d, a in ALPHA.items()],
-        "w0 AS MATERIALIZED (SELECT *, CAST(tokens AS DOUBLE) AS weight FROM c)",
     ]
-    n = 0
-    for _ in range(SWEEPS):
-        for d in dims:
-            n += 1
-            ctes.append(
-                f"w{n} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * share / sum(weight) OVER (PARTITION BY {d}) AS weight FROM w{n - 1} JOIN q_{d} USING ({d}))"
-            )
-    ctes.append(f"f0 AS MATERIALIZED (SELECT {BUDGET} * sum(tokens) / sum(weight) AS rate FROM w{n})")
+    cells = "SELECT n, source, lang, topic, tokens, weight FROM w WHERE NOT done"
+    for d in dims:
+        cells = f"SELECT n, source, lang, topic, tokens, weight * share / sum(weight) OVER (PARTITION BY {d}) AS weight FROM ({cells}) JOIN q_{d} USING ({d})"
+    errors = [f"abs(sum(weight) OVER (PARTITION BY {d}) / sum(weight) OVER () / (SELECT share FROM q_{d} q WHERE q.{d} = x.{d}) - 1)" for d in dims]
+    ctes += [
+        f"""w AS (SELECT 0 AS n, source, lang, topic, tokens, CAST(tokens AS DOUBLE) AS weight, FALSE AS done FROM c
+        UNION ALL SELECT n + 1, source, lang, topic, tokens, weight, (n + 1 >= {SWEEPS} AND max(error) OVER () <= {TOLERANCE}) OR n + 1 >= {MAX_SWEEPS}
+        FROM (SELECT *, greatest({', '.join(errors)}) AS error FROM ({cells}) x))""",
+        "z AS MATERIALIZED (SELECT source, lang, topic, tokens, weight FROM w WHERE n = (SELECT max(n) FROM w))",
+    ]
+    ctes.append(f"f0 AS MATERIALIZED (SELECT {BUDGET} * sum(tokens) / sum(weight) AS rate FROM z)")
     for i in range(1, RATE_STEPS):
         ctes.append(
-            f"f{i} AS MATERIALIZED (SELECT coalesce(({BUDGET} * sum(tokens) - coalesce(sum(tokens) FILTER (weight * rate >= tokens), 0)) / nullif(sum(weight) FILTER (weight * rate < tokens), 0), any_value(rate)) AS rate FROM w{n}, f{i - 1})"
+            f"f{i} AS MATERIALIZED (SELECT coalesce(({BUDGET} * sum(tokens) - coalesce(sum(tokens) FILTER (weight * rate >= tokens), 0)) / nullif(sum(weight) FILTER (weight * rate < tokens), 0), any_value(rate)) AS rate FROM z, f{i - 1})"
         )
     number = "CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT)"
     return (
-        "WITH " + ",\n".join(ctes) + f"""
+        "WITH RECURSIVE " + ",\n".join(ctes) + f"""
     SELECT doc_id, source, lang, topic, tokens, round(chance, 9) AS chance, CAST({number} AS DOUBLE) / 4294967296.0 < chance AS kept
-    FROM (SELECT r.doc_id, source, lang, topic, r.tokens, least(1.0, rate * weight / w{n}.tokens) AS chance
-          FROM r JOIN w{n} USING (source, lang, topic), f{RATE_STEPS - 1})"""
+    FROM (SELECT r.doc_id, source, lang, topic, r.tokens, least(1.0, rate * weight / z.tokens) AS chance
+          FROM r JOIN z USING (source, lang, topic), f{RATE_STEPS - 1})"""
     )
