@@ -93,12 +93,13 @@ CLASSIFIERS = ("logistic_regression", "decision_tree", "random_forest", "svm", "
 REGRESSORS = ("linear_regression", "ridge", "lasso", "decision_tree", "random_forest", "svr", "knn", "gradient_boosting", "xgboost")
 
 
-# What the models start from where nothing is said, in Spark's names. Depth 30 is Spark's deepest tree and stands for no limit.
+# What the models start from where nothing is said, in Spark's names. Depth 30 is Spark's deepest tree and stands for no limit;
+# the memory lets a pass over the table split many nodes of a deep tree.
 DEFAULTS: dict[tuple[str, str], dict[str, Any]] = {
     ("classification", "logistic_regression"): {"maxIter": 100, "standardization": False},
     ("classification", "svm"): {"maxIter": 100, "standardization": False},
-    **{(p, "decision_tree"): {"maxDepth": 30} for p in ("classification", "regression")},
-    **{(p, "random_forest"): {"numTrees": 100, "maxDepth": 30} for p in ("classification", "regression")},
+    **{(p, "decision_tree"): {"maxDepth": 30, "maxMemoryInMB": 1024} for p in ("classification", "regression")},
+    **{(p, "random_forest"): {"numTrees": 100, "maxDepth": 30, "maxMemoryInMB": 1024} for p in ("classification", "regression")},
     **{(p, "gradient_boosting"): {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3} for p in ("classification", "regression")},
     **{(p, "xgboost"): {"maxIter": 100, "stepSize": 0.3, "maxDepth": 6} for p in ("classification", "regression")},
 }
