@@ -80,7 +80,10 @@ def _stratified(spark, sf):
     return T.split_stratified(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey")
 
 
-@query("assemble_features")
+@query(
+    "assemble_features",
+    """SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS DOUBLE) AS label, [o_totalprice, CAST(o_custkey AS DOUBLE)] AS features FROM orders""",
+)
 def _assemble(spark, sf):
     out = T.assemble(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], "o_orderstatus", "o_orderkey")
     return out.select("o_orderkey", "label", vector_to_array("features").alias("features"))
@@ -253,13 +256,14 @@ _PER = f"""c AS (SELECT l AS cls, (SELECT count(*) FROM p WHERE label = l AND pr
       coalesce(2 * tp / nullif(CAST(q + t AS DOUBLE), 0), 0) AS f1 FROM c)"""
 
 
-@query(
-    "metrics_classification",
-    f"""WITH p AS {P3}, {_PER}, m AS (SELECT CAST(sum(tp) AS DOUBLE) AS c, CAST(sum(t) AS DOUBLE) AS n, sum(pr * t) AS wp, sum(rc * t) AS wr, sum(f1 * t) AS wf,
+def classification_sql(src: str) -> str:
+    return f"""WITH p AS {src}, {_PER}, m AS (SELECT CAST(sum(tp) AS DOUBLE) AS c, CAST(sum(t) AS DOUBLE) AS n, sum(pr * t) AS wp, sum(rc * t) AS wr, sum(f1 * t) AS wf,
       avg(rc) FILTER (t > 0) AS ba, CAST(sum(q * t) AS DOUBLE) AS pt, CAST(sum(q * q) AS DOUBLE) AS pp, CAST(sum(t * t) AS DOUBLE) AS tt FROM s)
     SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'balanced_accuracy', 'matthews']) AS metric,
-      unnest([{r('c / n')}, {r('wp / n')}, {r('wr / n')}, {r('wf / n')}, {r('ba')}, {r('(c * n - pt) / (sqrt(n * n - pp) * sqrt(n * n - tt))')}]) AS value FROM m""",
-)
+      unnest([{r('c / n')}, {r('wp / n')}, {r('wr / n')}, {r('wf / n')}, {r('ba')}, {r('(c * n - pt) / (sqrt(n * n - pp) * sqrt(n * n - tt))')}]) AS value FROM m"""
+
+
+@query("metrics_classification", classification_sql(P3))
 def _classification(spark, sf):
     return rounded(M.metrics_classification(PREDICTIONS_3.df(spark, sf)))
 

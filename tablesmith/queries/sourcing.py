@@ -10,7 +10,8 @@ from ..sources.readers import sample_n, scan, scan_csv, scan_json
 from ..sources.registry import upsert, vector_topk
 from ..sources.sinks import write_csv, write_metrics
 from ..models.metrics import metrics_classification
-from .common import EVENTS_N, PREDICTIONS, Input, query, r, rounded, table
+from .common import EVENTS_N, PREDICTIONS, Input, query, r, rounded, table, union
+from .modelling import classification_sql
 
 ORDER_PLAIN = Input("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
 _ORDER_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
@@ -35,9 +36,24 @@ def _scan_named(spark, sf):
     return table(spark, sf, "part")
 
 
-@query("dispatch_format", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+_ENDINGS = ("csv", "json", "jsonl", "parquet")
+
+
+@query(
+    "dispatch_format",
+    union([f"SELECT '{e}' AS ending, c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer" for e in _ENDINGS]),
+)
 def _dispatch(spark, sf):
-    return scan(spark, f"{sf}/customer.parquet")
+    source, parts = table(spark, sf, "customer"), None
+    for ending in _ENDINGS:
+        path = new_path(spark, "customer") + f".{ending}"
+        if ending == "csv":
+            write_csv(source, path)
+        else:
+            source.write.format("parquet" if ending == "parquet" else "json").save(path)
+        part = scan(spark, path, source.schema).select(F.lit(ending).alias("ending"), *source.columns)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 @query("sample_n", "SELECT event_id, user_id, event_type, value FROM events ORDER BY md5(concat('42|', CAST(event_id AS VARCHAR))), event_id LIMIT 1000")
@@ -45,7 +61,7 @@ def _sample(spark, sf):
     return sample_n(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), "event_id")
 
 
-@query("write_csv")
+@query("write_csv", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def _write_csv(spark, sf):
     path = new_path(spark, "parts-out")
     source = table(spark, sf, "part")
@@ -53,7 +69,7 @@ def _write_csv(spark, sf):
     return scan_csv(spark, path, source.schema)
 
 
-@query("write_metrics")
+@query("write_metrics", f"SELECT 'rule' AS model, metric, value FROM ({classification_sql(PREDICTIONS.sql)})")
 def _write_metrics(spark, sf):
     path = new_path(spark, "metrics-out")
     metrics = metrics_classification(PREDICTIONS.df(spark, sf)).withColumn("model", F.lit("rule"))
@@ -120,7 +136,22 @@ AUDITED = [
 ]
 
 
-@query("workflow_json")
+_STEPS = [
+    '{"columns": ["value_n"], "key": null, "method": "mean", "order_by": [], "params": {}, "partition_by": [], "reason": "", "step": "impute_missing"}',
+    '{"columns": ["value"], "key": null, "method": "winsorize", "order_by": [], "params": {}, "partition_by": [], "reason": "", "step": "handle_outliers"}',
+    '{"columns": ["value_n"], "key": null, "method": "log", "order_by": [], "params": {}, "partition_by": [], "reason": "", "step": "transform"}',
+]
+
+
+@query(
+    "workflow_json",
+    union(
+        [
+            f"SELECT CAST({i} AS INTEGER) AS step_no, 'events' AS dataset, count(*) AS row_count, CAST(6 AS INTEGER) AS column_count, 'event_id,ts,user_id,event_type,value,value_n' AS columns, '{s}' AS step FROM events"
+            for i, s in enumerate(_STEPS, start=1)
+        ]
+    ),
+)
 def _workflow_json(spark, sf):
     flow = Workflow.from_json(Workflow(AUDITED).to_json(dataset="events"))
     return flow.describe(EVENTS_N.df(spark, sf), "events")

@@ -54,7 +54,3 @@ def scan_named(spark: SparkSession, name: str, root: str) -> DataFrame:
 def sample_n(df: DataFrame, key: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """At most n rows, chosen by seeded hash of the key: top-n per task, then one merge of n rows."""
     return df.withColumn("_h", hash_key(col(key), seed)).orderBy("_h", col(key)).limit(n).drop("_h")
-
-
-def count_rows(df: DataFrame) -> int:
-    return df.agg(F.count(F.lit(1))).first()[0]
