@@ -103,7 +103,19 @@ def _smote(spark, sf):
     return _balance_check(smote(_labelled_docs(spark, sf), "toxic", "doc_id", ["n_chars", "words"]))
 
 
-@query("adasyn")
+@query(
+    "adasyn",
+    """
+    WITH d AS (SELECT doc_id, toxic, CAST(n_chars AS DOUBLE) AS a, CAST(len(string_split(text, ' ')) AS DOUBLE) AS b FROM labels JOIN documents USING (doc_id)),
+    c AS (SELECT toxic, count(*) AS n, max(count(*)) OVER () - count(*) AS short FROM d GROUP BY toxic),
+    k AS (SELECT q.doc_id, q.toxic, CASE WHEN t.toxic <> q.toxic THEN 1.0 ELSE 0.0 END AS other,
+        row_number() OVER (PARTITION BY q.doc_id ORDER BY (q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b), t.doc_id) AS rk
+      FROM d q JOIN c ON c.toxic = q.toxic AND short > 0 JOIN d t ON t.doc_id <> q.doc_id),
+    s AS (SELECT doc_id, toxic, avg(other) AS share FROM k WHERE rk <= 5 GROUP BY doc_id, toxic),
+    p AS (SELECT toxic, CAST(sum(round(share * (short / whole))) AS BIGINT) AS made FROM (SELECT *, sum(share) OVER (PARTITION BY toxic) AS whole FROM s) JOIN c USING (toxic) WHERE whole > 0 GROUP BY toxic)
+    SELECT toxic, n + coalesce(made, 0) AS n, coalesce(made, 0) AS n_synthetic, true AS inside FROM c LEFT JOIN p USING (toxic)
+    """,
+)
 def _adasyn(spark, sf):
     return _balance_check(adasyn(_labelled_docs(spark, sf), "toxic", "doc_id", ["n_chars", "words"]))
 
