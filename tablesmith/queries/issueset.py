@@ -400,8 +400,8 @@ rule(
     "suggest_time",
     "time",
     lambda spark, sf: table(spark, sf, "orders"),
-    """SELECT 'time' AS rule, 'time_features' AS step, 'o_orderdate' AS columns, m AS method, 'datetime_column' AS reason, CAST(NULL AS DOUBLE) AS metric
-    FROM (SELECT unnest(['date_parts', 'cyclical']) AS m) WHERE (SELECT count(*) FROM orders) >= 0""",
+    """SELECT 'time' AS rule, 'time_features' AS step, column_name AS columns, m AS method, 'datetime_column' AS reason, CAST(NULL AS DOUBLE) AS metric
+    FROM (DESCRIBE orders), (SELECT unnest(['date_parts', 'cyclical']) AS m) WHERE column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE'""",
 )
 rule(
     "suggest_imbalance",
@@ -434,20 +434,28 @@ rule(
         "k",
     ),
 )
+
+
+def _numbers_of(src: str) -> str:
+    """The table's own list of numeric columns, in order."""
+    return f"""(SELECT count(*) AS k, string_agg(column_name, ',') AS names, string_agg(column_name, ',') FILTER (i <= 2) AS two FROM (
+      SELECT column_name, row_number() OVER () AS i FROM (DESCRIBE SELECT * FROM {src}) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT')))"""
+
+
 WIDE = Input("lineitem", (*LINE_NUMERIC, "l_quantity * l_discount AS saved", "l_extendedprice * l_tax AS taxed"))
 rule(
     "suggest_reduction",
     "reduction",
     WIDE.df,
-    f"""SELECT 'reduction' AS rule, 'dimensionality_reduction' AS step, '{",".join((*LINE_NUMERIC, "saved", "taxed"))}' AS columns, 'pca' AS method,
-    'many_numeric' AS reason, CAST(5 AS DOUBLE) AS metric FROM (SELECT count(*) AS n FROM lineitem) WHERE n >= 0""",
+    f"""SELECT 'reduction' AS rule, 'dimensionality_reduction' AS step, names AS columns, 'pca' AS method,
+    'many_numeric' AS reason, CAST(least(5, k) AS DOUBLE) AS metric FROM {_numbers_of(WIDE.sql)} WHERE k >= 10""",
 )
 rule(
     "suggest_interaction",
     "interaction",
     lambda spark, sf: table(spark, sf, "lineitem"),
-    """SELECT 'interaction' AS rule, 'feature_interaction' AS step, 'l_orderkey,l_partkey' AS columns, 'multiplication' AS method,
-    'numeric_pair' AS reason, CAST(8 AS DOUBLE) AS metric FROM (SELECT count(*) AS n FROM lineitem) WHERE n >= 0""",
+    f"""SELECT 'interaction' AS rule, 'feature_interaction' AS step, two AS columns, 'multiplication' AS method,
+    'numeric_pair' AS reason, CAST(k AS DOUBLE) AS metric FROM {_numbers_of('lineitem')} WHERE k >= 2""",
 )
 rule(
     "suggest_binning",
