@@ -50,8 +50,8 @@ def edited(rng, words, n, vocabulary):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("block", [4, 1024])
-def test_groups_and_drift(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,small", [(4, 2), (1024, 0), (1024, 32)])
+def test_groups_and_drift(spark, monkeypatch, block, small):
     rng = np.random.default_rng(5)
     vocabulary = np.array([f"w{i}" for i in range(3000)])
     texts = [" ".join(rng.choice(vocabulary, rng.integers(5, 80))) for _ in range(60)]
@@ -65,6 +65,7 @@ def test_groups_and_drift(spark, monkeypatch, block):
     texts += [texts[70]] * 20 + [texts[70].upper()]
     rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
     monkeypatch.setattr(nd.remaining_pairs, "__defaults__", (block,))
+    monkeypatch.setattr(nd, "SMALL", small)
     check(frame(spark, rows), rows)
 
 
