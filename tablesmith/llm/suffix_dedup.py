@@ -14,7 +14,7 @@ Texts are UTF-8 bytes. A byte goes if a string of ``length`` bytes that covers i
 4. *Boundaries.* Windows whose right part agrees with the bucket's first or last suffix may have a twin beyond: their digests, one per
    distinct window and bucket, are counted over all buckets.
 
-Nothing is capped. A task holds one bucket or one block of texts; the driver gets splitters (at most ``SAMPLES`` a bucket).
+Nothing is capped. A task holds one bucket or one block of texts; the driver gets about ``SAMPLES`` leading strings a bucket.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all. Rows with equal texts get equal results, whatever their
 identifiers. Texts longer than a block are cut into blocks that overlap by ``length`` - 1 bytes. An empty table gives no rows; other columns
@@ -297,16 +297,22 @@ def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, lead: i
     splitters: list[bytes] = []
     if buckets > 1:
 
+        # texts by a bound on their hash, then anchors: about SAMPLES for each bucket, whatever the size of the table
+        share = min(1.0, max(SAMPLE_TEXTS, SAMPLES * buckets) / n)
+        part = min(1.0, SAMPLES * buckets / (share * size * 2 / (length - gram + 2)))
+
         def leads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for data, _, _, starts, stops in _pieces(batches, length, step):
-                at = anchors(data, starts, stops, length, gram)[3]
-                yield pd.DataFrame({"lead": [data[x : x + lead] + b"\1" for x in at.tolist()]})
+            from xxhash import xxh64_intdigest
+
+            for data, uids, base, starts, stops in _pieces(batches, length, step):
+                text, _, _, at = anchors(data, starts, stops, length, gram)
+                own = np.array([xxh64_intdigest(u) for u in uids], np.uint64)[text] + (base[text] + at - starts[text]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                own = (own ^ (own >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                yield pd.DataFrame({"lead": [data[x : x + lead] + b"\1" for x in at[own <= np.uint64((2**64 - 4096) * part)].tolist()]})
 
-        share = min(1.0, max(SAMPLE_TEXTS, SAMPLES * buckets) / n)
         bound = -(1 << 63) + int((2.0**64 - 4096) * share)
         some = long.where(F.xxhash64("id") <= bound).mapInPandas(leads, "lead binary")
-        got = some.orderBy(F.xxhash64("lead")).limit(SAMPLES * buckets).collect()
-        ordered = sorted(bytes(r.lead) for r in got)
+        ordered = sorted(bytes(r.lead) for r in some.collect())
         splitters = [ordered[i * len(ordered) // buckets] for i in range(1, buckets)] if ordered else []
     blocks = long.mapInPandas(lambda b: _blocks(b, length, gram, splitters, lead, step, block), "bucket long, rows binary")
     path = new_path(spark, "suffix-spans")
