@@ -39,7 +39,7 @@ ROWS_PER_BUCKET = 60_000
 #: leading strings sampled for each bucket; texts in the sample
 SAMPLES, SAMPLE_TEXTS = 20, 4_000
 #: bytes of text hashed at a time, and sent at a time
-STEP, BLOCK = 1_000_000, 6_000_000
+STEP, BLOCK = 500_000, 4_000_000
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
