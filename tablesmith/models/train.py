@@ -27,7 +27,7 @@ from ..functions.numbers import hash_key
 from ..functions.order import rank_by_hash
 from ..functions.schema import col, is_numeric
 from ..session import small_or_cut
-from . import bayes, nearest
+from . import bayes, cells, nearest
 from .bayes import GaussianBayes
 from .metrics import metrics_classification, metrics_regression, roc_auc_of_chances
 from .validate import problem_type
@@ -146,9 +146,11 @@ def estimator(model: str, problem: str, classes: int = 2, **params):
 
 
 def fit_model(model: str, problem: str, train: DataFrame, classes: int = 2, **params):
-    """The fitted model; a penalty that is not given is C = 1, in Spark's terms one over the number of rows."""
+    """The fitted model; a penalty that is not given is C = 1, in Spark's terms one over the number of rows. Trees are trained on cells."""
     if model in PENALISED and "regParam" not in params:
         params = {**params, "regParam": 1.0 / max(train.count(), 1)}
+    if cells.fits(model, params):
+        return cells.fit(estimator, model, problem, train, classes, {**DEFAULTS.get((problem, model), {}), **params}, SEED)
     return estimator(model, problem, classes, **params).fit(train)
 
 
@@ -310,6 +312,15 @@ def _fold_scores(data: DataFrame, model: str, problem: str, folds: int, classes:
     return out
 
 
+def _point_scores(data: DataFrame, model: str, problem: str, folds: int, classes: int, points: list[dict]) -> list[list[float]]:
+    """Scores of each point by fold; trees share the cells of a fold, other points are trained side by side."""
+    if all(cells.fits(model, p) and "maxBins" not in p for p in points):
+        own = DEFAULTS.get((problem, model), {})
+        return cells.fold_scores(estimator, model, problem, data, folds, classes, [{**own, **p} for p in points], SEED, SEARCH_THREADS)
+    with ThreadPoolExecutor(SEARCH_THREADS) as pool:  # points have nothing to do with one another
+        return list(pool.map(lambda p: _fold_scores(data, model, problem, folds, classes, p), points))
+
+
 def cross_validate(df: DataFrame, features: list[str], target: str, key: str, model: str, cv: int = 5, params: dict | None = None) -> DataFrame:
     """``(fold, score, mean, std)``: accuracy or RMSE per fold, population deviation."""
     if not 2 <= cv <= 10:
@@ -320,7 +331,7 @@ def cross_validate(df: DataFrame, features: list[str], target: str, key: str, mo
     else:
         data = spread(with_fold(assemble(df, features, target, key), key, cv))
         try:
-            scores = _fold_scores(data, model, problem, cv, _classes(data, problem), params or {})
+            scores = _point_scores(data, model, problem, cv, _classes(data, problem), [params or {}])[0]
         finally:
             data.unpersist()
     mean = sum(scores) / cv
@@ -404,8 +415,7 @@ def grid_search(
         data = spread(with_fold(assemble(df, features, target, key), key, cv))
         try:
             rows, classes = data.count(), _classes(data, problem)
-            with ThreadPoolExecutor(SEARCH_THREADS) as pool:  # points have nothing to do with one another
-                found = list(pool.map(lambda p: _fold_scores(data, model, problem, cv, classes, spark_params(model, p, rows)), points))
+            found = _point_scores(data, model, problem, cv, classes, [spark_params(model, p, rows) for p in points])
         finally:
             data.unpersist()
     results = []

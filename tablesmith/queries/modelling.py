@@ -410,7 +410,7 @@ def _qq_line(spark, sf):
 def _importance(spark, sf):
     train, _ = _parts(spark, sf, "dear")
     try:
-        model = T.estimator("random_forest", "classification", maxDepth=5).fit(train)
+        model = T.fit_model("random_forest", "classification", train, maxDepth=5)
     finally:
         train.unpersist()
     return spark.createDataFrame([(f, round(v, 6)) for f, v in T.feature_importance(model, FEATURES)], "feature string, importance double")
