@@ -4,8 +4,9 @@ Donors are split into cells around pivot points (Voronoi cells; see Lu, Shen, Ch
 "Efficient processing of k nearest neighbor joins using MapReduce", 2012). A query first
 visits the cells nearest to it, which bounds its k-th distance; it then visits only those
 other cells that the triangle inequality cannot rule out. Cells and the queries sent to
-them are cut into chunks of bounded size, so dense regions spread over many tasks, and of
-donors at the same point only the first k keys are kept, which cannot change any answer.
+them are cut into chunks of bounded size, so dense regions spread over many tasks; a task puts its donors into boxes of few
+points and sees only those within a query's bound. Of donors
+at the same point only the first k keys are kept, which cannot change any answer.
 Tasks emit k rows per query, never pairs.
 """
 
@@ -26,6 +27,7 @@ MAX_PIVOTS = 4_096
 DONORS_PER_CHUNK = 50_000
 QUERIES_PER_CHUNK = 100_000
 BLOCK = 4_000_000
+LEAF = 256
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,6 +44,83 @@ def _blocks(rows: int, width: int):
         yield slice(start, min(rows, start + step))
 
 
+def _leaves(b: np.ndarray) -> list[np.ndarray]:
+    """Positions of the points, cut at the middle of the widest feature until at most LEAF are left; each in rising order."""
+    out, todo = [], [np.flatnonzero(np.isfinite(b).all(axis=1))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= LEAF:
+            if len(part):
+                out.append(np.sort(part))
+            continue
+        widest = int(np.ptp(b[part], axis=0).argmax())
+        order, half = np.argpartition(b[part, widest], len(part) // 2), len(part) // 2
+        todo += [part[order[:half]], part[order[half:]]]
+    return out
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, take: int, parts: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, donor, squared distance) of the ``take`` nearest by (distance, position), donors of a query's own part left out.
+
+    Donors lie in boxes of few points. A query sees its boxes from the nearest on, until the next is farther than the last one it keeps; all queries
+    do their first box, then their second and so on, so the work for a query does not grow with the donors.
+    """
+    leaves = _leaves(b)
+    none = np.zeros(0, dtype=np.int64)
+    if not leaves:
+        return none, none, np.zeros(0)
+    low, high = np.array([b[x].min(axis=0) for x in leaves]), np.array([b[x].max(axis=0) for x in leaves])
+    found = []
+    for block in _blocks(len(a), max(len(leaves), LEAF)):
+        points = a[block]
+        gap = np.zeros((len(points), len(leaves)))
+        for f in range(a.shape[1]):  # as distances are added, so that rounding cannot lift a box above its points
+            x = points[:, f][:, None]
+            gap += np.square(np.maximum(np.maximum(low[:, f][None, :] - x, x - high[:, f][None, :]), 0.0))
+        order = np.argsort(gap, axis=1, kind="stable")
+        bound = np.full(len(points), np.inf)
+        have = (none, none, np.zeros(0))
+        open_ = np.arange(len(points))
+        for turn in range(len(leaves)):
+            box = order[open_, turn]
+            near = gap[open_, box] <= bound[open_]
+            open_, box = open_[near], box[near]  # boxes come in order: a query that is done stays done
+            if not len(open_):
+                break
+            by = np.argsort(box, kind="stable")
+            new = [have]
+            for group in np.split(open_[by], np.flatnonzero(np.diff(box[by])) + 1):
+                leaf = leaves[order[group[0], turn]]
+                dist = _distances(points[group], b[leaf])
+                if parts:
+                    dist[parts[0][block][group][:, None] == parts[1][leaf][None, :]] = np.inf
+                edge = bound[group]
+                if len(leaf) > take:
+                    edge = np.minimum(edge, np.partition(dist, take - 1, axis=1)[:, take - 1])
+                at, pick = np.nonzero((dist <= edge[:, None]) & (dist < np.inf))
+                new.append((group[at], leaf[pick], dist[at, pick]))
+            at, pick, dist = (np.concatenate(x) for x in zip(*new))
+            sort = np.lexsort((pick, dist, at))
+            at, pick, dist = at[sort], pick[sort], dist[sort]
+            starts = np.r_[0, np.flatnonzero(np.diff(at)) + 1] if len(at) else none
+            rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+            last = rank == take - 1
+            bound[at[last]] = dist[last]
+            kept = rank < take
+            have = (at[kept], pick[kept], dist[kept])
+            if turn >= 1:  # what belongs to queries that are done is put aside, so that later turns sort only what they change
+                nexts = order[:, turn + 1] if turn + 1 < len(leaves) else None
+                more = np.zeros(len(points), dtype=bool)
+                if nexts is not None:
+                    more[open_] = gap[open_, nexts[open_]] <= bound[open_]
+                stays = more[have[0]]
+                found.append((have[0][~stays] + block.start, have[1][~stays], have[2][~stays]))
+                have = tuple(x[stays] for x in have)
+        found.append((have[0] + block.start, have[1], have[2]))
+    at, pick, dist = (np.concatenate(x) for x in zip(*found))
+    return at, pick, dist
+
+
 def knn_join(
     queries: DataFrame,
     donors: DataFrame,
@@ -180,19 +259,31 @@ class _Cells:
         self.radius = {g: np.array([stats.get((g, j), (0, 0.0))[1] for j in range(len(p))]) for g, p in pivots.items()}
         self.parts = {g: -(-c // donors_per_chunk) for g, c in self.count.items()}
 
-    def visits(self, g: str, points: np.ndarray, bound: np.ndarray | None, parts: np.ndarray):
-        """Boolean (query, cell): the nearest cells holding enough donors, or the rest within the bound."""
-        dist = np.sqrt(_distances(points, self.pivots[g]))
+    def _home(self, g: str, dist: np.ndarray, parts: np.ndarray) -> np.ndarray:
         order = np.argsort(dist, axis=1, kind="stable")
-        usable = np.tile(self.count[g], (len(points), 1))
+        usable = np.tile(self.count[g], (len(dist), 1))
         for f in set(parts.tolist()):
             if (g, f) in self.own:
                 usable[parts == f] -= self.own[g, f]
         usable = np.take_along_axis(usable, order, axis=1)
-        have = np.cumsum(usable, axis=1)
-        home_sorted = (have - usable) < self.need
-        home = np.zeros_like(home_sorted)
-        np.put_along_axis(home, order, home_sorted, axis=1)
+        home = np.zeros(dist.shape, dtype=bool)
+        np.put_along_axis(home, order, (np.cumsum(usable, axis=1) - usable) < self.need, axis=1)
+        return home
+
+    def visits(self, g: str, points: np.ndarray, bound: np.ndarray | None, parts: np.ndarray):
+        """Boolean (query, cell): the nearest cells holding enough donors, or the rest within the bound."""
+        dist = np.sqrt(_distances(points, self.pivots[g]))
+        first = dist.argmin(axis=1)
+        usable = self.count[g][first]
+        for f in set(parts.tolist()):
+            if (g, f) in self.own:
+                here = parts == f
+                usable[here] -= self.own[g, f][first[here]]
+        home = np.zeros(dist.shape, dtype=bool)
+        home[np.arange(len(points)), first] = True
+        few = np.flatnonzero(usable < self.need)  # the nearest cell does not hold enough: all are ordered
+        if len(few):
+            home[few] = self._home(g, dist[few], parts[few])
         occupied = self.count[g][None, :] > 0
         if bound is None:
             return home & occupied
@@ -251,25 +342,12 @@ def _visit(routed: DataFrame, donors: DataFrame, xs, payload, need: int, queries
     def search(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ds):
             return nothing()
+        # in key order, so that the smaller position wins a tie
         ds = ds.sort_values("_d", kind="stable").reset_index(drop=True)
         a, b = qs[xs].to_numpy(dtype=float), ds[xs].to_numpy(dtype=float)
-        take = min(need, len(b))
-        keys, picks, dists = [], [], []
-        for part in _blocks(len(a), len(b)):
-            dist = _distances(a[part], b)
-            if apart:
-                dist[qs["_f"].to_numpy()[part][:, None] == ds["_f"].to_numpy()[None, :]] = np.inf
-            # donors are in key order, so a stable sort breaks ties by key; partition first to keep the sort short
-            edge = np.partition(dist, take - 1, axis=1)[:, take - 1]
-            at, pick = np.nonzero(dist <= edge[:, None])
-            frame = pd.DataFrame({"at": at, "pick": pick, "dist": dist[at, pick]})
-            frame = frame.sort_values(["at", "dist", "pick"], kind="stable")
-            frame = frame[(frame.groupby("at").cumcount() < take) & (frame["dist"] < np.inf)]
-            keys.append(qs["_q"].to_numpy()[part][frame["at"]])
-            picks.append(frame["pick"].to_numpy())
-            dists.append(np.sqrt(frame["dist"].to_numpy()))
-        pick = np.concatenate(picks)
-        out = {"_q": np.concatenate(keys), "_donor": ds["_d"].to_numpy()[pick], "_distance": np.concatenate(dists)}
+        parts = (qs["_f"].to_numpy(), ds["_f"].to_numpy()) if apart else None
+        at, pick, dist = _nearest(a, b, need, parts)
+        out = {"_q": qs["_q"].to_numpy()[at], "_donor": ds["_d"].to_numpy()[pick], "_distance": np.sqrt(dist)}
         return pd.DataFrame({**out, **{p: ds[p].to_numpy()[pick] for p in payload}})
 
     keys = [*place, "_salt"]

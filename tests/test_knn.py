@@ -116,3 +116,32 @@ def test_neighbours_of_other_parts(spark, limits):
     for r in sorted(out, key=lambda r: (r["id"], r["_rank"])):
         got.setdefault(r["id"], []).append(r["_donor"])
     assert got == {i: [j for _, j in sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b, _ in rows if j % 3 != i % 3)[:5]] for i, x, y, _ in rows}
+
+
+def test_boxes_find_what_brute_force_finds(monkeypatch):
+    import numpy as np
+
+    from tablesmith.functions import knn
+
+    rng = np.random.default_rng(3)
+    for width, grid, apart in [(2, None, False), (3, 6, False), (2, 40, True), (1, 3, True)]:
+        b = rng.normal(size=(5000, width)) if grid is None else rng.integers(0, grid, (5000, width)).astype(float)
+        a = np.vstack([b[:300], rng.normal(size=(200, width)) * 5])
+        parts = (rng.integers(0, 3, len(a)), rng.integers(0, 2, len(b))) if apart else None
+        b[7] = np.nan
+        seen = [0]
+        plain = knn._distances
+        monkeypatch.setattr(knn, "_distances", lambda x, y: (seen.__setitem__(0, seen[0] + len(x) * len(y)), plain(x, y))[1])
+        at, pick, dist = knn._nearest(a, b, 7, parts)
+        monkeypatch.setattr(knn, "_distances", plain)
+        got = {}
+        for i in np.lexsort((pick, dist, at)):
+            got.setdefault(int(at[i]), []).append((dist[i], int(pick[i])))
+        d = plain(a, b)
+        if apart:
+            d[parts[0][:, None] == parts[1][None, :]] = np.inf
+        for i in range(len(a)):
+            want = sorted((x, j) for j, x in enumerate(d[i]) if x < np.inf)[:7]
+            assert got.get(i, []) == want
+        if grid is None:
+            assert seen[0] < 0.4 * len(a) * len(b)  # brute force sees all
