@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.ml.feature import StopWordsRemover, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -49,8 +48,12 @@ def _stopwords(df, s, f):
 register("text_processing", "stopwords", apply=_stopwords)
 
 
+#: stems a worker remembers at once, before the words of one more text
+KNOWN_WORDS = 50_000
+
+
 def _stemming(df, s, f):
-    """One Arrow-batched call per batch; repeated words are looked up, no shuffle is needed."""
+    """Text by text, so a worker holds few texts and a bounded number of words; repeated words are looked up, no shuffle is needed."""
     kind = s.params.get("stemmer", "porter")
     if kind not in ("porter", "snowball"):
         raise ValueError(f"unknown stemmer '{kind}'")
@@ -58,16 +61,20 @@ def _stemming(df, s, f):
         raise ValueError("the snowball stemmer is built for English only")
     stem = porter if kind == "porter" else porter2
 
-    @F.pandas_udf("string")
-    def stemmed(texts: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-
-        def one(word: str) -> str:
-            if word not in known:
-                known[word] = stem(word)
-            return known[word]
-
-        return texts.map(lambda t: None if t is None else " ".join([one(w) for w in t.lower().split()]))
+    known: dict[str, str] = {}
+
+    # plain rows, not Arrow batches: a batch of ten thousand whole texts has no bound in bytes
+    @F.udf("string", useArrow=False)
+    def stemmed(text: str | None) -> str | None:
+        if text is None:
+            return None
+        words = text.lower().split()
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = stem(w)
+        return " ".join([known[w] for w in words])
 
     return df.withColumn(f"{s.column}_stemmed", stemmed(_text(s)))
 
@@ -199,8 +206,12 @@ def mean_vectors(df: DataFrame, column: str, key: str, tables: dict[str, DataFra
     """
     if not key:
         raise ValueError("word embeddings need a key column")
-    words = df.select(col(key).alias("_k"), F.explode(tokens(F.lower(col(column).cast("string")))).alias("word"))
-    counted = words.groupBy("_k", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = df.select(col(key).alias("_k"), F.sort_array(tokens(F.lower(col(column).cast("string")))).alias("_t"))
+    # sorted words of a text: a word's number is the way from the start of its run to that of the next, so no pair is shuffled to be counted
+    starts = F.filter(F.transform("_t", lambda w, i: F.when((i == 0) | (w != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
+    counted = counted.withColumn("_s", starts)
+    runs = F.transform("_s", lambda i, j: F.struct(F.get("_t", i).alias("word"), (F.coalesce(F.get("_s", j + 1), F.size("_t")) - i).cast("long").alias("n")))
+    counted = counted.select("_k", F.inline(runs))
     found = look_up(counted, tables, "vectors", "word", "_word").where("vector IS NOT NULL")
     sums = found.groupBy("_k").agg(F.sum("n").alias("_n"), *[F.sum(F.col("n") * F.get("vector", F.lit(i))).alias(f"_v{i}") for i in range(size)])
     means = sums.select("_k", F.array(*[F.col(f"_v{i}") / F.col("_n") for i in range(size)]).alias("_mean"))
