@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 MAX_BINS, SAMPLE_ROWS = 32, 10_000
 #: rows of cells in a partition of training data, trees that are trained side by side
 CELLS_PER_PART, TREE_THREADS = 20_000, 8
+#: rows of a cell, on average, from which a forest is trained on cells
+LEAST_SHARED = 4
 FOREST, BOOSTED = "random_forest", ("gradient_boosting", "xgboost")
 MODELS = ("decision_tree", FOREST, *BOOSTED)
 
@@ -168,6 +170,11 @@ def fit_forest(build, problem: str, rows: DataFrame, classes: int, at, params: d
     trees, seed = own.pop("numTrees", 20), own.pop("seed", seed)
     if own.get("featureSubsetStrategy", "auto") == "auto" and trees > 1:  # alone, a tree would take all
         own["featureSubsetStrategy"] = "sqrt" if problem == "classification" else "onethird"
+    if trees > 1:
+        total, kinds = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("_bins"))).first()
+        if kinds * LEAST_SHARED > total:  # many features: hardly a cell has two rows, and Spark draws rows for all trees at once
+            est = build(FOREST, problem, classes, **{**own, "numTrees": trees, "seed": seed, "featuresCol": "_cells"})
+            return CellModel(est.fit(rows.withColumn("_cells", array_to_vector("_bins"))), at)
     drawn, n = _few_parts(_drawn(rows, problem, trees, seed) if trees > 1 else _sums(rows, problem))
     vectors = drawn.withColumn("_cells", array_to_vector("_bins")).persist()
     try:

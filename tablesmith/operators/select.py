@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +53,15 @@ def vectors(df: DataFrame, columns: list[str], target: str, standardise: bool =
 
 
 def forest_scores(df: DataFrame, columns: list[str], target: str, trees: int = 20) -> dict[str, float]:
-    data = vectors(df, columns, target, standardise=False)
-    algo = RandomForestClassifier if problem_type(df, target) == "classification" else RandomForestRegressor
-    model = algo(numTrees=trees, maxDepth=5, seed=42).fit(data)
+    from ..models.train import fit_model  # which needs the operators' steps
+
+    problem = problem_type(df, target)
+    data = vectors(df, columns, target, standardise=False).persist()
+    try:
+        classes = int(data.agg(F.max("label")).first()[0]) + 1 if problem == "classification" else 0
+        model = fit_model("random_forest", problem, data, classes, numTrees=trees, maxDepth=5)
+    finally:
+        data.unpersist()
     return dict(zip(columns, [float(v) for v in model.featureImportances.toArray()]))
 
 

@@ -120,3 +120,11 @@ def test_bins_are_cut_as_spark_cuts(spark):
     assert used and used <= set(cells.cuts(data, 42)[0])
     bins = cells.binned(data, cells.cuts(data, 42)).select("_bins", vector_to_array("features").alias("v")).collect()
     assert all(r["_bins"][0] == sum(c < r["v"][0] for c in cells.cuts(data, 42)[0]) for r in bins[:200])
+
+
+def test_forest_of_rows_that_share_no_cell(spark):
+    df = spark.range(600).select("id", *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(31))).cast("double").alias(f"x{i}") for i in range(5)])
+    data = T.assemble(df.withColumn("z", F.col("x0") * 3 + F.col("x1")), [f"x{i}" for i in range(5)], "z", "id").persist()
+    model = T.fit_model("random_forest", "regression", data, numTrees=10, maxDepth=6)
+    assert isinstance(model, cells.CellModel) and model.featureImportances.toArray().argmax() == 0
+    assert model.transform(data).count() == 600
