@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover, Word2Vec
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import skipgram
 from ..functions.schema import col
 from ..functions.stem import porter, porter2
 from ..plans.step import Fitted, look_up, mapping_tables, register, small_or_cut
+from ..session import cut_lineage
 
 # Fixed value: white space as Python's str.split() sees it; reads the same in Java and RE2.
 WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -188,24 +191,63 @@ register("text_processing", "tfidf", fit=_tfidf_fit, apply=_tfidf_apply)
 
 def word_vectors(df: DataFrame, column: str, size: int = 32, min_count: int = 5, seed: int = 42, epochs: int = 5) -> DataFrame:
     """``(word, vector)`` trained on the texts of a table."""
-    words = df.select(F.coalesce(tokens(F.lower(col(column).cast("string"))), F.array().cast("array<string>")).alias("_w"))
-    model = Word2Vec(vectorSize=size, minCount=min_count, maxIter=epochs, numPartitions=_parts(df), seed=seed, inputCol="_w", outputCol="_v").fit(words)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    return skipgram.train(df.select(F.lower(col(column).cast("string")).alias("_w")), "_w", size, min_count, seed, epochs)
+
+
+#: numbers of a fitted vector table that each Python worker holds
+HELD_NUMBERS = 32_000_000
 
 
 def vector_tables(df: DataFrame, column: str, vectors: DataFrame) -> dict[str, DataFrame]:
-    """Word vectors as a fitted mapping; a vocabulary outgrows a broadcast soon, and its commonest words are in most texts."""
+    """Word vectors as a fitted mapping; one too large to be held by workers is looked up by shuffle, and its commonest words are in most texts."""
+    table = cut_lineage(vectors.withColumnRenamed("word", "_word"))
+    numbers = table.agg(F.sum(F.size("vector"))).first()[0] or 0
+    if numbers <= HELD_NUMBERS:
+        return {"vectors": table}
     words = df.select(F.explode(F.array_distinct(tokens(F.lower(col(column).cast("string"))))).alias("word"))
-    return mapping_tables("vectors", vectors.withColumnRenamed("word", "_word"), words, F.col("word"), "_word")
+    return mapping_tables("vectors", table, words, F.col("word"), "_word")
+
+
+def _held_vectors(tables: dict[str, DataFrame], size: int):
+    """Words and vectors of a fitted table for every worker; nothing if it is too large, or its vectors are of another size or repeat a word."""
+    table = tables["vectors"]
+    if "vectors_hot" in tables or table.count() * size > HELD_NUMBERS:
+        return None
+    found = table.select("_word", "vector").toArrow().combine_chunks()
+    words, vectors = found["_word"], found["vector"]
+    plain = not words.null_count and not vectors.null_count and pc.count_distinct(words).as_py() == len(words)
+    if not plain or set(pc.list_value_length(vectors).unique().to_pylist()) - {size}:
+        return None
+    numbers = pc.list_flatten(vectors)
+    if numbers.null_count:
+        return None
+    matrix = numbers.to_numpy().reshape(-1, size)
+    single = matrix.astype("float32")
+    sc = table.sparkSession.sparkContext
+    return sc.broadcast(pa.chunked_array(words.chunks, pa.string()).combine_chunks()), sc.broadcast(single if (single == matrix).all() else matrix)
 
 
 def mean_vectors(df: DataFrame, column: str, key: str, tables: dict[str, DataFrame], size: int) -> DataFrame:
     """Adds ``{column}_embedding``: the mean of the vectors of a text's words, each as often as it occurs; zeros if no word has one.
 
-    A word of a text is looked up once and the sums of a text's words are added before they meet. ``key`` names the rows.
+    A table of bounded size is read at once and held by every worker, which adds up its texts; in a larger one a word of a text is looked up once and
+    the sums of a text's words are added before they meet. ``key`` names the rows.
     """
     if not key:
         raise ValueError("word embeddings need a key column")
+    held = _held_vectors(tables, size)
+    if held:
+        texts = df.select(col(key).alias("_k"), F.lower(col(column).cast("string")).alias("_t"))
+        found = skipgram.sums_of_vectors(texts, "_k", "_t", *held, size)
+        sums = found.groupBy("_k").agg(F.sum("_n").alias("_n"), *[F.sum(f"_v{i}").alias(f"_v{i}") for i in range(size)])
+    else:
+        sums = _sums_by_shuffle(df, column, key, tables, size)
+    means = sums.select("_k", F.array(*[F.col(f"_v{i}") / F.col("_n") for i in range(size)]).alias("_mean"))
+    joined = df.join(means, col(key) == F.col("_k"), "left")
+    return joined.withColumn(f"{column}_embedding", F.coalesce("_mean", F.array_repeat(F.lit(0.0), size))).drop("_k", "_mean")
+
+
+def _sums_by_shuffle(df: DataFrame, column: str, key: str, tables: dict[str, DataFrame], size: int) -> DataFrame:
     counted = df.select(col(key).alias("_k"), F.sort_array(tokens(F.lower(col(column).cast("string")))).alias("_t"))
     # sorted words of a text: a word's number is the way from the start of its run to that of the next, so no pair is shuffled to be counted
     starts = F.filter(F.transform("_t", lambda w, i: F.when((i == 0) | (w != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
@@ -213,10 +255,7 @@ def mean_vectors(df: DataFrame, column: str, key: str, tables: dict[str, DataFra
     runs = F.transform("_s", lambda i, j: F.struct(F.get("_t", i).alias("word"), (F.coalesce(F.get("_s", j + 1), F.size("_t")) - i).cast("long").alias("n")))
     counted = counted.select("_k", F.inline(runs))
     found = look_up(counted, tables, "vectors", "word", "_word").where("vector IS NOT NULL")
-    sums = found.groupBy("_k").agg(F.sum("n").alias("_n"), *[F.sum(F.col("n") * F.get("vector", F.lit(i))).alias(f"_v{i}") for i in range(size)])
-    means = sums.select("_k", F.array(*[F.col(f"_v{i}") / F.col("_n") for i in range(size)]).alias("_mean"))
-    joined = df.join(means, col(key) == F.col("_k"), "left")
-    return joined.withColumn(f"{column}_embedding", F.coalesce("_mean", F.array_repeat(F.lit(0.0), size))).drop("_k", "_mean")
+    return found.groupBy("_k").agg(F.sum("n").alias("_n"), *[F.sum(F.col("n") * F.get("vector", F.lit(i))).alias(f"_v{i}") for i in range(size)])
 
 
 def word_embeddings(df: DataFrame, column: str, key: str, size: int = 32, min_count: int = 5, seed: int = 42, epochs: int = 5) -> DataFrame:
@@ -224,14 +263,6 @@ def word_embeddings(df: DataFrame, column: str, key: str, size: int = 32, min_co
     return mean_vectors(df, column, key, vector_tables(df, column, word_vectors(df, column, size, min_count, seed, epochs)), size)
 
 
-ROWS_PER_COPY = 20_000
-
-
-def _parts(df: DataFrame) -> int:
-    """Training partitions by the number of texts, whatever the cluster (each trains a copy that is then averaged)."""
-    return df.count() // ROWS_PER_COPY + 1
-
-
 def _embeddings_fit(df, s, found):
     if not s.key:
         raise ValueError("word embeddings need a key column")
