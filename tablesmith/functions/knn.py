@@ -6,7 +6,7 @@ visits the cells nearest to it, which bounds its k-th distance; it then visits o
 other cells that the triangle inequality cannot rule out. Cells and the queries sent to
 them are cut into chunks of bounded size, so dense regions spread over many tasks; a task puts its donors into boxes of few
 points and sees only those within a query's bound. Of donors
-at the same point only the first k keys are kept, which cannot change any answer.
+at the same point only the first k keys are kept, which cannot change any answer, and queries at the same point are searched once.
 Tasks emit k rows per query, never pairs.
 """
 
@@ -158,7 +158,10 @@ def knn_join(
         col(donor_key).cast("long").alias("_d"), group.alias("_g"), part, *feats, *[col(p) for p in payload]
     )
     same = Window.partitionBy("_g", "_f", *xs).orderBy("_d")
-    d = d.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= need).drop("_copy")
+    # ranked once: counted, searched for pivots and located
+    d = cut_lineage(d.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= need).drop("_copy"))
+    at = ["_g", "_f", *xs]
+    points = cut_lineage(q.select(*at).distinct())
 
     n_groups, n_donors = d.agg(F.count_distinct("_g"), F.count(F.lit(1))).first()
     if not n_donors:
@@ -170,7 +173,7 @@ def knn_join(
     if n_donors > donors_per_cell:
         # read by the cell statistics and by both rounds
         located = cut_lineage(located)
-    many = q.count() > queries_per_chunk
+    many = points.count() > queries_per_chunk
     stats: dict[tuple, tuple[int, float]] = {}
     own: dict[tuple, int] = {}
     for r in located.groupBy("_g", "_cell", "_f").agg(F.count(F.lit(1)).alias("n"), F.max("_radius").alias("r")).collect():
@@ -180,21 +183,24 @@ def knn_join(
     cells = _Cells(pivots, stats, xs, need, donors_per_chunk, own if apart else {})
     donors_cut = located.withColumn("_chunk", F.pmod(F.xxhash64("_d"), _chunks(stats, donors_per_chunk))).drop("_radius")
 
-    first = _visit(_route(q, cells, xs), donors_cut, xs, payload, need, queries_per_chunk if many else None, apart is not None)
-    top = Window.partitionBy("_q").orderBy("_distance", "_donor")
+    first = _visit(_route(points, cells, xs), donors_cut, xs, payload, need, queries_per_chunk if many else None, apart is not None)
+    top = Window.partitionBy(*at).orderBy("_distance", "_donor")
     if len(stats) > 1:
         # The work of round one feeds both the bound of round two and the result.
         first = cut_lineage(first)
         ranked = first.withColumn("_rank", F.row_number().over(top)).filter(F.col("_rank") <= need)
-        bound = ranked.groupBy("_q").agg(F.max(F.when(F.col("_rank") == need, F.col("_distance"))).alias("_bound"))
+        bound = ranked.groupBy(*at).agg(F.max(F.when(F.col("_rank") == need, F.col("_distance"))).alias("_bound"))
         second = _visit(
-            _route(q.join(bound, "_q", "left"), cells, xs, bounded=True), donors_cut, xs, payload, need, queries_per_chunk if many else None, apart is not None
+            _route(points.join(bound, at, "left"), cells, xs, bounded=True), donors_cut, xs, payload, need, queries_per_chunk if many else None, apart is not None
         )
         found = ranked.drop("_rank").unionByName(second)
     else:
         found = first
+    near = found.withColumn("_rank", F.row_number().over(top)).filter(F.col("_rank") <= need).drop("_rank")
+    found = q.join(near, at)
     if exclude_self:
         found = found.filter(F.col("_donor") != F.col("_q"))
+    top = Window.partitionBy("_q").orderBy("_distance", "_donor")
     out = found.withColumn("_rank", F.row_number().over(top)).filter(F.col("_rank") <= k)
     return out.select(F.col("_q").alias(query_key), "_rank", "_donor", "_distance", *[col(p) for p in payload])
 
@@ -328,10 +334,11 @@ def _visit(routed: DataFrame, donors: DataFrame, xs, payload, need: int, queries
     for r in hot:
         here = (F.col("_g") == r["_g"]) & (F.col("_cell") == r["_cell"]) & (F.col("_chunk") == r["_chunk"])
         salts_q = F.when(here, F.lit(-(-r["n"] // queries_per_chunk))).otherwise(salts_q)
-    left = routed.withColumn("_salt", F.pmod(F.xxhash64("_q"), salts_q.cast("long")))
+    at = ["_g", "_f", *xs]
+    left = routed.withColumn("_salt", F.pmod(F.xxhash64(*at), salts_q.cast("long")))
     right = donors.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts_q.cast("long") - 1)))
-    fields = [T.StructField("_q", T.LongType()), T.StructField("_donor", T.LongType()), T.StructField("_distance", T.DoubleType())]
-    schema = T.StructType([*fields, *[donors.schema[p] for p in payload]])
+    fields = [T.StructField("_donor", T.LongType()), T.StructField("_distance", T.DoubleType())]
+    schema = T.StructType([*[routed.schema[c] for c in at], *fields, *[donors.schema[p] for p in payload]])
 
     def nothing() -> pd.DataFrame:
         kinds = {"string": "str", "double": "float64", "float": "float32", "int": "int32", "boolean": "bool"}
@@ -346,8 +353,8 @@ def _visit(routed: DataFrame, donors: DataFrame, xs, payload, need: int, queries
         ds = ds.sort_values("_d", kind="stable").reset_index(drop=True)
         a, b = qs[xs].to_numpy(dtype=float), ds[xs].to_numpy(dtype=float)
         parts = (qs["_f"].to_numpy(), ds["_f"].to_numpy()) if apart else None
-        at, pick, dist = _nearest(a, b, need, parts)
-        out = {"_q": qs["_q"].to_numpy()[at], "_donor": ds["_d"].to_numpy()[pick], "_distance": np.sqrt(dist)}
+        asked, pick, dist = _nearest(a, b, need, parts)
+        out = {**{c: qs[c].to_numpy()[asked] for c in at}, "_donor": ds["_d"].to_numpy()[pick], "_distance": np.sqrt(dist)}
         return pd.DataFrame({**out, **{p: ds[p].to_numpy()[pick] for p in payload}})
 
     keys = [*place, "_salt"]

@@ -97,11 +97,19 @@ def _few_parts(cells: DataFrame) -> tuple[DataFrame, int]:
     return few, n
 
 
-def _sums(rows: DataFrame, problem: str) -> DataFrame:
+def _by_bins(rows: DataFrame, width: int, by: list[str], *aggs: Column) -> DataFrame:
+    """Groups of equal ``_bins`` (and ``by``), bin by bin: numbers are hashed much faster than arrays."""
+    bins = [f"_b{i}" for i in range(width)]
+    found = rows.groupBy(*[F.get("_bins", F.lit(i)).alias(b) for i, b in enumerate(bins)], *by).agg(*aggs)
+    return found.select(F.array(*bins).alias("_bins"), *[c for c in found.columns if c not in bins])
+
+
+def _sums(rows: DataFrame, problem: str, width: int) -> DataFrame:
     """``(_bins, label, weight)``."""
+    weight = F.count(F.lit(1)).cast("double").alias("weight")
     if problem == "classification":
-        return rows.groupBy("_bins", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return rows.groupBy("_bins").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+        return _by_bins(rows, width, ["label"], weight)
+    return _by_bins(rows, width, [], F.avg("label").alias("label"), weight)
 
 
 def _drawn(rows: DataFrame, problem: str, trees: int, seed: int) -> DataFrame:
@@ -175,7 +183,7 @@ def fit_forest(build, problem: str, rows: DataFrame, classes: int, at, params: d
         if kinds * LEAST_SHARED > total:  # many features: hardly a cell has two rows, and Spark draws rows for all trees at once
             est = build(FOREST, problem, classes, **{**own, "numTrees": trees, "seed": seed, "featuresCol": "_cells"})
             return CellModel(est.fit(rows.withColumn("_cells", array_to_vector("_bins"))), at)
-    drawn, n = _few_parts(_drawn(rows, problem, trees, seed) if trees > 1 else _sums(rows, problem))
+    drawn, n = _few_parts(_drawn(rows, problem, trees, seed) if trees > 1 else _sums(rows, problem, len(at)))
     vectors = drawn.withColumn("_cells", array_to_vector("_bins")).persist()
     try:
         if trees > 1:
@@ -204,7 +212,7 @@ def fit(build, model: str, problem: str, train: DataFrame, classes: int, params:
     rows = binned(train, at).select("_bins", "label")
     if model == FOREST:
         return fit_forest(build, problem, rows, classes, at, params, seed)
-    cells, n = _few_parts(_sums(rows, problem))
+    cells, n = _few_parts(_sums(rows, problem, len(at)))
     try:
         return fit_cells(build, model, problem, cells, n, classes, at, params)
     finally:
@@ -223,10 +231,9 @@ def fold_scores(
         train, held = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
         at = cuts(train, seed)
         rows = binned(train, at).select("_bins", "label")
-        tested = binned(held, at).groupBy("_bins", *(["label"] if problem == "classification" else [])).agg(
-            F.count(F.lit(1)).alias("n"), *([] if problem == "classification" else [F.avg("label").alias("label"), F.var_pop("label").alias("rest")])
-        )
-        cells, n = _few_parts(_sums(rows, problem))
+        counted = [F.count(F.lit(1)).alias("n"), *([] if problem == "classification" else [F.avg("label").alias("label"), F.var_pop("label").alias("rest")])]
+        tested = _by_bins(binned(held, at), len(at), ["label"] if problem == "classification" else [], *counted)
+        cells, n = _few_parts(_sums(rows, problem, len(at)))
         tested, _ = _few_parts(tested)
 
         def score(params: dict[str, Any]) -> float:

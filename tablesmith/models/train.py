@@ -334,16 +334,24 @@ def cross_validate(df: DataFrame, features: list[str], target: str, key: str, mo
             scores = _point_scores(data, model, problem, cv, _classes(data, problem), [params or {}])[0]
         finally:
             data.unpersist()
-    mean = sum(scores) / cv
-    std = (sum((s - mean) ** 2 for s in scores) / cv) ** 0.5
+    mean, std = _mean_std(scores)
     return df.sparkSession.createDataFrame([(i, s, mean, std) for i, s in enumerate(scores)], "fold int, score double, mean double, std double")
 
 
+def _mean_std(scores: list[float]) -> tuple[float, float]:
+    mean = sum(scores) / len(scores)
+    return mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
+
+
 def _knn_scores(df, features, target, key, problem, cv, points) -> list[list[float]]:
     points = [(int(p.get("n_neighbors", 5)), p.get("weights", "uniform")) for p in points]
-    data = with_fold(df.select(*dict.fromkeys([key, target, *features])), key, cv)
-    lists = nearest.neighbour_lists(data, features, target, key, max(k for k, _ in points))
-    return nearest.fold_scores(lists, points, problem, cv)
+    # read as queries, as donors and for the labels
+    data = with_fold(df.select(*dict.fromkeys([key, target, *features])), key, cv).persist()
+    try:
+        lists = nearest.neighbour_lists(data, features, target, key, max(k for k, _ in points))
+        return nearest.fold_scores(lists, points, problem, cv)
+    finally:
+        data.unpersist()
 
 
 def _bayes_scores(df, features, target, key, problem, cv, points) -> list[list[float]]:
@@ -351,11 +359,15 @@ def _bayes_scores(df, features, target, key, problem, cv, points) -> list[list[f
         raise ValueError("naive Bayes is a classifier")
     data = spread(with_fold(assemble(df, features, target, key), key, cv))
     try:
-        return bayes.fold_scores(data, cv, [float(p.get("var_smoothing", bayes.SMOOTHING)) for p in points])
+        return _bayes_fold_scores(data, cv, points)
     finally:
         data.unpersist()
 
 
+def _bayes_fold_scores(data, cv, points) -> list[list[float]]:
+    return bayes.fold_scores(data, cv, [float(p.get("var_smoothing", bayes.SMOOTHING)) for p in points])
+
+
 #: models that score all points of a grid, in all folds, together
 ALL_POINTS = {"knn": _knn_scores, "naive_bayes": _bayes_scores}
 
@@ -443,11 +455,23 @@ def train_many(
 
     n = len(features)
     parts = parts.select(key, "label", array_to_vector(F.slice("_a", 1, n)).alias("features"), F.col("_a")[n].alias("_t"))
-    a = spread(parts.filter("_t = 0").drop("_t"))
+    if cv and not 2 <= cv <= 10:
+        raise ValueError("cv is 2 to 10 folds")
+    # every fit and validation reads the assembled rows, with their fold
+    a = parts.filter("_t = 0").drop("_t")
+    a = spread(with_fold(a, key, cv) if cv else a)
     b = parts.filter("_t = 1").drop("_t").persist()
+
+    def scores_of(m: str, params: dict) -> list[float]:
+        if m == "naive_bayes" and problem == "classification":
+            return _bayes_fold_scores(a, cv, [params])[0]
+        if m in ALL_POINTS:
+            return ALL_POINTS[m](train, features, target, key, problem, cv, [params])[0]
+        return _point_scores(a, m, problem, cv, classes, [params])[0]
+
     rows: list[tuple[str, str, float | None, str | None]] = []
     try:
-        classes, total = _classes(parts, problem), a.count()
+        classes, total = _classes(a.select("label").union(b.select("label")), problem), a.count()
         numbers = [float(i) for i in range(classes)]
         values = [r[0] for r in train.select(target).union(test.select(target)).distinct().dropna().orderBy(target).collect()] if problem == "classification" and "knn" in models else []
         for m in models:
@@ -457,13 +481,17 @@ def train_many(
                     best = grid_search(train, features, target, key, m, top=1).first()
                     params = json.loads(best["params"]) if m in ALL_POINTS else spark_params(m, json.loads(best["params"]), total)
                 if m == "knn":
-                    table = metric_table(knn_predict(train, test, features, target, key, problem, classes=values, **params), problem, values)
+                    pred = knn_predict(train, test, features, target, key, problem, classes=values, **params)
                 else:
-                    table = metric_table(fit_predict(m, problem, a, b, classes, **params), problem, numbers)
-                rows += [(m, r["metric"], r["value"], None) for r in table.collect()]
+                    pred = fit_predict(m, problem, a, b, classes, **params)
+                pred = pred.persist()  # metrics read it several times
+                try:
+                    rows += [(m, r["metric"], r["value"], None) for r in metric_table(pred, problem, values if m == "knn" else numbers).collect()]
+                finally:
+                    pred.unpersist()
                 if cv:
-                    folds = cross_validate(train, features, target, key, m, cv, params).first()
-                    rows += [(m, "cv_mean", folds["mean"], None), (m, "cv_std", folds["std"], None)]
+                    mean, std = _mean_std(scores_of(m, params))
+                    rows += [(m, "cv_mean", mean, None), (m, "cv_std", std, None)]
             except Exception as e:  # one failed model must not end the comparison
                 text = f"{type(e).__name__}: {e}".splitlines()[0]
                 worst = [("accuracy", 0.0), ("balanced_accuracy", 0.0), ("f1", 0.0)] if problem == "classification" else [

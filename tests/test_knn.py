@@ -145,3 +145,27 @@ def test_boxes_find_what_brute_force_finds(monkeypatch):
             assert got.get(i, []) == want
         if grid is None:
             assert seen[0] < 0.4 * len(a) * len(b)  # brute force sees all
+
+
+def test_equal_points_are_searched_once(spark, monkeypatch):
+    """Queries at one point, keys that come twice and no key at all: few points are searched, every query has its neighbours."""
+    from tablesmith.functions import knn
+
+    rows = [(i, float(i % 3), 0.0) for i in range(200)]
+    q = spark.createDataFrame([*rows, (7, 1.0, 0.0), (8, 0.0, 0.0), (None, 0.0, 0.0), (9, None, 0.0)], "id long, x double, y double")
+    d = spark.createDataFrame([(1000 + i, i / 10, 0.0) for i in range(60)], "id long, x double, y double")
+    asked = []
+    route = knn._route
+    monkeypatch.setattr(knn, "_route", lambda points, *a, **kw: asked.append(points.count()) or route(points, *a, **kw))
+    out = knn_join(q, d, ["x", "y"], 4, "id", "id", **SMALL).collect()
+    assert asked == [3, 3]
+    got = {}
+    for r in sorted(out, key=lambda r: (r["id"] is None, r["id"], r["_rank"])):
+        got.setdefault(r["id"], []).append((r["_rank"], r["_donor"]))
+    near = {x: [j for _, j in sorted(((x - i / 10) ** 2, 1000 + i) for i in range(60))[:4]] for x in (0.0, 1.0, 2.0)}
+    plain = {i: [*enumerate(near[x], 1)] for i, x, _ in rows if i not in (7, 8)}
+    # rows of one key share their ranks: 7 comes twice at one point, 8 at two
+    plain[7] = [*enumerate([near[1.0][0], near[1.0][0], near[1.0][1], near[1.0][1]], 1)]
+    both = sorted((round((x - (j - 1000) / 10) ** 2, 9), j) for x in (2.0, 0.0) for j in near[x])
+    plain[8], plain[None] = [*enumerate([j for _, j in both[:4]], 1)], [*enumerate(near[0.0], 1)]
+    assert got == plain

@@ -189,3 +189,18 @@ def test_train_many_reports_auc_for_all_models(spark):
     assert {r["model"] for r in out if r["metric"] == "cv_mean"} == set(auc)
     tuned = T.train_many(train, test, ["x", "y"], "cls", "id", ["knn", "naive_bayes"], tune=True).collect()
     assert not [r for r in tuned if r["error"]]
+
+
+def test_compared_models_share_the_assembled_rows(spark, monkeypatch):
+    rnd = random.Random(11)
+    rows = [(i, rnd.gauss(0, 1), float(i % 4), int(rnd.random() < 0.3 + 0.1 * (i % 4))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, x double, y double, c int")
+    train, test = df.filter("k % 5 > 0"), df.filter("k % 5 = 0")
+    made, spread = [], T.spread
+    monkeypatch.setattr(T, "spread", lambda data: made.append(1) or spread(data))
+    models = ["logistic_regression", "decision_tree", "naive_bayes", "knn"]
+    found = {(r["model"], r["metric"]): r["value"] for r in T.train_many(train, test, ["x", "y"], "c", "k", models, cv=2).collect()}
+    assert len(made) == 1
+    for m in models:
+        one = T.cross_validate(train, ["x", "y"], "c", "k", m, 2).first()
+        assert found[m, "cv_mean"] == pytest.approx(one["mean"], abs=1e-9) and found[m, "cv_std"] == pytest.approx(one["std"], abs=1e-9)
